@@ -6,8 +6,6 @@ cell is background. Voxels without a row are background without a prior.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -141,13 +139,10 @@ def states_from_masks(votes: DataFrame, grid: Grid, x_transform, y_transform, pe
 
 
 def polygon_edges(vertices: DataFrame) -> DataFrame:
-    """Consecutive vertex pairs of each closed ring."""
-    w = Window.partitionBy("polygon").orderBy("vertex")
-    return (
-        vertices.withColumns({"x2": F.lead("x").over(w), "y2": F.lead("y").over(w)})
-        .where(F.col("x2").isNotNull())
-        .select("polygon", F.col("x").alias("x1"), F.col("y").alias("y1"), "x2", "y2")
-    )
+    """Consecutive vertex pairs of each closed ring, paired by an equi join on the ordinal."""
+    start = vertices.select("polygon", "vertex", F.col("x").alias("x1"), F.col("y").alias("y1"))
+    end = vertices.select("polygon", (F.col("vertex") - 1).alias("vertex"), F.col("x").alias("x2"), F.col("y").alias("y2"))
+    return start.join(end, ["polygon", "vertex"]).select("polygon", "x1", "y1", "x2", "y2")
 
 
 def rasterize_polygons(vertices: DataFrame, grid: Grid) -> DataFrame:

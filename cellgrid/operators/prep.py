@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellgrid.operators.skew import dense_index, order_statistics
@@ -134,10 +134,10 @@ def tilt_coefficients(df: DataFrame) -> DataFrame:
     )
     det = F.col("xx") * F.col("yy") - F.col("xy") * F.col("xy")
     s = s.withColumns({
-        "bx": F.coalesce(F.try_divide(F.col("yy") * F.col("xz") - F.col("xy") * F.col("yz"), det), F.lit(0.0)),
-        "by": F.coalesce(F.try_divide(F.col("xx") * F.col("yz") - F.col("xy") * F.col("xz"), det), F.lit(0.0)),
+        "slope_x": F.coalesce(F.try_divide(F.col("yy") * F.col("xz") - F.col("xy") * F.col("yz"), det), F.lit(0.0)),
+        "slope_y": F.coalesce(F.try_divide(F.col("xx") * F.col("yz") - F.col("xy") * F.col("xz"), det), F.lit(0.0)),
     })
-    return s.select((F.col("mz") - F.col("bx") * F.col("mx") - F.col("by") * F.col("my")).alias("b0"), "bx", "by")
+    return s.select((F.col("mz") - F.col("slope_x") * F.col("mx") - F.col("slope_y") * F.col("my")).alias("b0"), "slope_x", "slope_y")
 
 
 def regress_out_tilt(df: DataFrame) -> DataFrame:
@@ -146,7 +146,7 @@ def regress_out_tilt(df: DataFrame) -> DataFrame:
     if flat["a"] == flat["b"]:
         return df
     c = tilt_coefficients(df).first()
-    return df.withColumn("z", F.col("z") - F.lit(c["b0"]) - F.lit(c["bx"]) * F.col("x") - F.lit(c["by"]) * F.col("y"))
+    return df.withColumn("z", F.col("z") - F.lit(c["b0"]) - F.lit(c["slope_x"]) * F.col("x") - F.lit(c["slope_y"]) * F.col("y"))
 
 
 def clip_and_scale_z(df: DataFrame, low: float = 0.01, high: float = 0.99) -> DataFrame:
@@ -162,11 +162,9 @@ def normalize_z(df: DataFrame) -> DataFrame:
     return clip_and_scale_z(regress_out_tilt(df))
 
 
-def first_per_group(df: DataFrame, keys: list[str], order: str, keep: list[str]) -> DataFrame:
-    """Row with the lowest ``order`` per key, by aggregation rather than a window."""
-    best = F.min_by(F.struct(*keep), F.col(order)).alias("r")
-    return df.groupBy(*keys).agg(best).select(*keys, "r.*")
-
-
-def running_window(keys: list[str], order: list[str]):
-    return Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+def stitch_fovs(df: DataFrame, offsets: DataFrame, pixel_size: float) -> DataFrame:
+    """Local pixel positions to global microns: each field of view has its own origin, y points down."""
+    return df.join(offsets, "fov_name").withColumns({
+        "x": F.col("x") * F.lit(pixel_size) - F.col("x_fov"),
+        "y": -(F.col("y") * F.lit(pixel_size)) - F.col("y_fov"),
+    })

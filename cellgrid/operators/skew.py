@@ -7,6 +7,8 @@ from bisect import bisect_right
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cellgrid.session import materialize
+
 _LOW32 = (1 << 32) - 1
 
 
@@ -63,23 +65,31 @@ def dense_index(keys: DataFrame, by: list[str], out: str = "idx", splits: int |
     return ranged.withColumn(out, (base + F.row_number().over(w) - 1).cast("bigint")).drop("_p")
 
 
-def salted_rank(df: DataFrame, keys: list[str], order: list[str], salts: int = 64, out: str = "rank") -> DataFrame:
-    """0-based rank inside each key, ordered by (hash salt of ``order``, ``order``).
+def salted_prefix(
+    df: DataFrame, keys: list[str], order: list[str], weight: str, out: str = "earlier", hot_rows: int = 1_000_000
+) -> DataFrame:
+    """Sum of ``weight`` over the earlier rows of each (non-null) key, in ``order``.
 
-    Rows of one key are spread over ``salts`` groups, ranked there, and shifted
-    by the sizes of earlier groups, so a key with most of the rows still runs
-    in many tasks. ``order`` should identify the row.
+    Keys with more than ``hot_rows`` rows are found by a count first. Their rows
+    are spread over hash salts and ordered by (salt, ``order``): each salt is
+    summed in its own task and shifted by the totals of earlier salts. ``order``
+    should identify the row.
     """
-    salted = df.withColumn("_s", F.pmod(F.xxhash64(*order), F.lit(salts)))
-    sizes = salted.groupBy(*keys, "_s").agg(F.count(F.lit(1)).alias("_m"))
-    w = Window.partitionBy(*keys).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.withColumn("_start", F.coalesce(F.sum("_m").over(w), F.lit(0))).drop("_m")
-    cond = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in keys] + [F.col("a._s") == F.col("b._s")]
-    joined = salted.alias("a").join(starts.alias("b"), cond)
-    w2 = Window.partitionBy(*[F.col(f"a.{c}") for c in keys], F.col("a._s")).orderBy(
-        *[F.col(f"a.{c}") for c in order]
-    )
-    return joined.select("a.*", (F.col("b._start") + F.row_number().over(w2) - 1).cast("bigint").alias(out)).drop("_s")
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_m")).where(F.col("_m") > F.lit(hot_rows))
+    hot = materialize(sizes.select(*keys, F.ceil(F.col("_m") / F.lit(float(hot_rows))).cast("int").alias("_salts")), "hot")
+    inner = [*keys]
+    salted = df
+    if not hot.isEmpty():
+        inner = [*keys, "_s"]
+        salted = df.join(hot, keys, "left").withColumn("_s", F.pmod(F.xxhash64(*order), F.coalesce("_salts", F.lit(1))))
+    before = Window.partitionBy(*inner).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    ranked = salted.withColumn(out, F.coalesce(F.sum(weight).over(before), F.lit(0)))
+    if len(inner) == len(keys):
+        return ranked
+    totals = salted.where(F.col("_salts").isNotNull()).groupBy(*inner).agg(F.sum(weight).alias("_v"))
+    over = Window.partitionBy(*keys).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    bases = totals.withColumn("_base", F.coalesce(F.sum("_v").over(over), F.lit(0))).drop("_v")
+    return ranked.join(bases, inner, "left").withColumn(out, F.col(out) + F.coalesce("_base", F.lit(0))).drop("_s", "_salts", "_base")
 
 
 def order_statistics(df: DataFrame, col: str, ranks: list[int], bins: int = 4096) -> list[float]:
