@@ -74,11 +74,11 @@ def transcript_metadata(voxelized: DataFrame, split: DataFrame, grid: Grid) -> D
         )).alias("p"),
     ).select("*", "p.*").where("m > 0")
     slots = Window.partitionBy(*key).orderBy("late", "dk", "dj", "di").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.withColumn("from", F.coalesce(F.sum("m").over(slots), F.lit(0)))
+    parts = parts.withColumn("slot", F.coalesce(F.sum("m").over(slots), F.lit(0)))
     parts = parts.select(
-        *key, "di", "dj", "dk", F.when(F.col("late") == 0, F.col("cell")).alias("assigned"), "from", (F.col("from") + F.col("m")).alias("to")
+        *key, "di", "dj", "dk", F.when(F.col("late") == 0, F.col("cell")).alias("assigned"), "slot", (F.col("slot") + F.col("m")).alias("slot_end")
     )
-    both = runs.join(parts, key).where("lo < to AND from < hi")
+    both = runs.join(parts, key).where("lo < slot_end AND slot < hi")
     vs = F.lit(grid.voxel_size)
     return both.select(
         *[c for c in ("transcript_id", "fov") if c in about], "gene",
@@ -86,7 +86,7 @@ def transcript_metadata(voxelized: DataFrame, split: DataFrame, grid: Grid) -> D
         (F.col("x") + F.col("di") * vs).alias("x"), (F.col("y") + F.col("dj") * vs).alias("y"),
         (F.col("z") + F.col("dk") * F.lit(grid.voxel_size_z)).alias("z"),
         F.col("assigned").alias("assignment"), F.col("assigned").isNull().alias("background"),
-        (F.least("hi", "to") - F.greatest("lo", "from")).alias("n"),
+        (F.least("hi", "slot_end") - F.greatest("lo", "slot")).alias("n"),
     )
 
 
