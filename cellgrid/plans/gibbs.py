@@ -15,6 +15,7 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from cellgrid.functions import keyed, variates
@@ -31,17 +32,17 @@ _EMBEDDING = 25
 _NORM = 100.0
 
 
-@pandas_udf("double")
+@pandas_udf(T.DoubleType())
 def gamma_udf(key: pd.Series, shape: pd.Series) -> pd.Series:
     return pd.Series(variates.gamma(variates.stream(key.to_numpy(), 0), shape.to_numpy()))
 
 
-@pandas_udf("bigint")
+@pandas_udf(T.LongType())
 def binomial_udf(key: pd.Series, n: pd.Series, p: pd.Series) -> pd.Series:
     return pd.Series(variates.binomial(variates.stream(key.to_numpy(), 0), n.to_numpy(), p.to_numpy()))
 
 
-@pandas_udf("double")
+@pandas_udf(T.DoubleType())
 def negbin_udf(r: pd.Series, p: pd.Series, k: pd.Series) -> pd.Series:
     return pd.Series(variates.negbin_logpmf(r.to_numpy(), p.to_numpy(), k.to_numpy()))
 

@@ -14,12 +14,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from cellgrid.functions import keyed
 from cellgrid.functions.offsets import MOORE
 from cellgrid.functions.scalar import dot, halfnormal_logpdf, inverse_isoperimetric_quotient
-from cellgrid.operators.grid import VOXEL, Grid, shift
+from cellgrid.operators.grid import VOXEL, Grid, in_grid, shift
 from cellgrid.operators.initial import STATE, mismatch_edges
 from cellgrid.options import Options
 from cellgrid.plans.state import ModelState
@@ -29,7 +30,7 @@ TARGET = ["ti", "tj", "tk"]
 _ADJACENT = np.array([[max(abs(a - b) for a, b in zip(p, q, strict=True)) == 1 for q in MOORE] for p in MOORE])
 
 
-@pandas_udf("boolean")
+@pandas_udf(T.BooleanType())
 def articulates(mask: pd.Series) -> pd.Series:
     """Whether removing the centre disconnects the marked ones of its 26 neighbours.
 
@@ -97,7 +98,7 @@ def neighbourhood(proposals: DataFrame, states: DataFrame, grid: Grid) -> DataFr
     """Tallies of like neighbours around each target, and the target's own prior."""
     bits = {d: b for b, d in enumerate(MOORE)}
     marked = proposals.select(*[F.col(t).alias(v) for t, v in zip(TARGET, VOXEL, strict=True)], *TARGET, "cur", "prop")
-    near = shift(marked, [(0, 0, 0), *MOORE]).where(F.col("k").between(0, grid.layers - 1))
+    near = shift(marked, [(0, 0, 0), *MOORE]).where(in_grid(grid))
     got = near.join(states.select(*STATE), VOXEL, "left")
     away = F.abs("di") + F.abs("dj") + F.abs("dk")
     is_cur, is_prop = F.col("cell").eqNullSafe(F.col("cur")), F.col("cell").eqNullSafe(F.col("prop"))
