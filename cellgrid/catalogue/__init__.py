@@ -1,8 +1,8 @@
 """Registered queries over the shared tables and their SQL counterparts."""
 
-from cellgrid.catalogue import prep_queries, shape_queries, voxel_queries
+from cellgrid.catalogue import model_queries, prep_queries, shape_queries, voxel_queries
 
-_MODULES = (prep_queries, voxel_queries, shape_queries)
+_MODULES = (prep_queries, voxel_queries, shape_queries, model_queries)
 
 
 def all_queries():

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cellgrid.catalogue import ctes as C
 from cellgrid.operators import density, initial, measures, prep
 from cellgrid.operators.grid import Grid, grid_for, voxel_counts, voxelize
+from cellgrid.session import materialize
 from cellgrid.sources import fixtures as fx
 
 
@@ -57,6 +58,7 @@ def keyed_states(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Grid]:
 
 def states(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Grid]:
     s, grid = keyed_states(spark, sf_dir)
+    s = materialize(s, "keyed")  # read for the cell index and again for the recoding
     return initial.recode_cells(s, initial.used_cells(s)), grid
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cellgrid.functions.offsets import diamond
 from cellgrid.operators.grid import VOXEL, Grid, shift
 from cellgrid.operators.skew import order_statistics
+from cellgrid.session import materialize
 
 TAIL = 1e-3  # kernel weight below which molecules are ignored
 REACH = 3  # voxels around occupied ones that also get a density
@@ -48,6 +49,7 @@ def density_edges(density: DataFrame, bins: int = 5) -> list[float]:
 
 def density_bins(density: DataFrame, bins: int = 5) -> DataFrame:
     """Bin = number of edges at or below the density, at most ``bins - 1``."""
+    density = materialize(density, "density")  # each pass of the order statistics reads it
     edges = density_edges(density, bins)
     passed = sum((F.when(F.col("density") >= F.lit(e), 1).otherwise(0) for e in edges), F.lit(0))
     return density.select("i", "j", F.least(F.lit(bins - 1), passed).cast("bigint").alias("bin"))

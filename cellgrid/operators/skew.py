@@ -43,7 +43,7 @@ def dense_index(keys: DataFrame, by: list[str], out: str = "idx", splits: int |
     spark = keys.sparkSession
     if splits is None:
         splits = min(512, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
-    uniq = keys.select(*by).distinct()
+    uniq = materialize(keys.select(*by).distinct(), "keys")  # read three times below
     key = F.struct(*by)
     sample = uniq.orderBy(F.xxhash64(*by)).limit(splits - 1).select(*by).collect() if splits > 1 else []
     bounds = sorted(tuple(r) for r in sample)
