@@ -168,7 +168,7 @@ def write_array(df: DataFrame, path: str, size: int, dtype: str, columns: list[s
     write_bytes(f"{path}/.zarray", json.dumps(meta).encode())
     write_bytes(f"{path}/.zattrs", json.dumps(attrs or {}).encode())
 
-    def put(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def put(key: tuple[int, ...], pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("idx")
         c = int(key[0])
         write_bytes(f"{path}/{c}" if flat else f"{path}/{c}.0", _pack([pdf[n].to_numpy() for n in columns], dtype, chunk))
