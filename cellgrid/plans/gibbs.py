@@ -50,6 +50,8 @@ def negbin_udf(r: pd.Series, p: pd.Series, k: pd.Series) -> pd.Series:
 # -- initial values -----------------------------------------------------------
 def initial_components(assigned: DataFrame, cells: DataFrame, components: int, seed: int) -> DataFrame:
     """Starting component of each cell: k-means on a random projection of its expression."""
+    if components == 1:
+        return cells.select("cell", F.lit(0).alias("z"))
     totals = assigned.groupBy("cell").agg(F.sum("n").alias("total"))
     counts = assigned.groupBy("cell", "gene").agg(F.sum("n").alias("n")).join(totals, "cell")
     weight = F.log1p(F.lit(_NORM) * F.col("n") / F.col("total"))
@@ -94,10 +96,12 @@ def initial_theta(gene_order: DataFrame, unfactored: int, hidden: int, seed: int
 def _normalize_theta(theta: DataFrame, hidden: int) -> DataFrame:
     """Scale each latent's loadings to sum to one over genes (K sums, exact)."""
     theta = materialize(theta, "theta")
+    if not hidden:
+        return theta
     sums = theta.where(F.col("theta").isNotNull()).agg(
         *[keyed.exact_sum(F.col("theta")[k] * F.lit(1e3)).alias(f"s{k}") for k in range(hidden)]
     ).first()
-    if not hidden or sums[0] is None:
+    if sums[0] is None:
         return theta
     scale = F.array(*[F.lit(1e3 / v if v else 1.0) for v in sums])
     return theta.withColumn("theta", F.zip_with("theta", scale, lambda a, b: a * b))
