@@ -28,17 +28,16 @@ def canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@lru_cache(maxsize=8)
-def _z_and_grid(spark: SparkSession, sf_dir: str):
-    t = canonical(spark, sf_dir)
-    scaled = prep.clip_and_scale_z(t)
-    grid = grid_for(scaled, C.VOXEL_SIZE, C.LAYERS, C.QUAD * C.VOXEL_SIZE)
-    return scaled, grid
+def memo(fn):
+    """Keep the result of a shared stage for the session: a table written once, then scanned."""
+    return lru_cache(maxsize=8)(fn)
 
 
+@memo
 def prepared(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Grid]:
-    """Transcripts with scaled depth, and the grid over them (limits found once per session)."""
-    return _z_and_grid(spark, sf_dir)
+    """Transcripts with scaled depth, laid out by tile, and the grid over them."""
+    t = prep.clip_and_scale_z(materialize(canonical(spark, sf_dir), "canonical"))
+    return materialize(prep.cluster_spatially(t), "transcripts"), grid_for(t, C.VOXEL_SIZE, C.LAYERS, C.QUAD * C.VOXEL_SIZE)
 
 
 def voxelized(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Grid]:
@@ -51,27 +50,34 @@ def counts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Grid]:
     return voxel_counts(v), grid
 
 
+def compute_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v, _ = voxelized(spark, sf_dir)
+    return initial.states_from_assignments(v, C.NUCLEAR_REASSIGNMENT, C.PRIOR_REASSIGNMENT)
+
+
+@memo
 def keyed_states(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Grid]:
-    v, grid = voxelized(spark, sf_dir)
-    return initial.states_from_assignments(v, C.NUCLEAR_REASSIGNMENT, C.PRIOR_REASSIGNMENT), grid
+    return materialize(compute_states(spark, sf_dir), "keyed"), prepared(spark, sf_dir)[1]
 
 
+@memo
 def states(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Grid]:
     s, grid = keyed_states(spark, sf_dir)
-    s = materialize(s, "keyed")  # read for the cell index and again for the recoding
-    return initial.recode_cells(s, initial.used_cells(s)), grid
+    return materialize(initial.recode_cells(s, initial.used_cells(s)), "states"), grid
 
 
+@memo
 def binned(spark: SparkSession, sf_dir: str) -> DataFrame:
     v, grid = voxelized(spark, sf_dir)
-    return density.density_bins(density.local_density(v, grid, C.BANDWIDTH), C.BINS)
+    return materialize(density.density_bins(density.local_density(v, grid, C.BANDWIDTH), C.BINS), "bins")
 
 
+@memo
 def labelled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Grid]:
     """Counts with origin layer, density and current cell."""
     c, grid = counts(spark, sf_dir)
     s, _ = states(spark, sf_dir)
-    return measures.label_counts(density.attach_origin(c, binned(spark, sf_dir)), s), grid
+    return materialize(measures.label_counts(density.attach_origin(c, binned(spark, sf_dir)), s), "labelled"), grid
 
 
 def rounded(df: DataFrame, *cols: str, digits: int = 6) -> DataFrame:

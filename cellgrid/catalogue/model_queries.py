@@ -14,7 +14,6 @@ from cellgrid.operators import measures
 from cellgrid.options import Options, validate
 from cellgrid.plans import expectations as X
 from cellgrid.plans import gibbs, morphology, repositioning, segment
-from cellgrid.session import materialize
 from cellgrid.sources import fixtures as fx
 
 R, S = 1.5, 0.7
@@ -28,7 +27,6 @@ RUN = validate(Options(
 def _parts(spark, sf):
     """Labelled counts with simple two-factor parameters computed from the data."""
     lab, grid = labelled(spark, sf)
-    lab = materialize(lab, "labelled")  # four branches below read it
     assigned = measures.cell_gene_counts(lab)
     back = measures.unassigned_counts(lab)
     vol = states(spark, sf)[0].where("cell IS NOT NULL").groupBy("cell").agg(F.count(F.lit(1)).alias("v"))

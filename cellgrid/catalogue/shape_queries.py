@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cellgrid.catalogue import ctes as C
-from cellgrid.catalogue.inputs import binned, canonical, keyed_states, labelled, prepared, rounded, states, voxelized
+from cellgrid.catalogue.inputs import binned, canonical, counts, keyed_states, labelled, prepared, rounded, states, voxelized
 from cellgrid.functions import scalar
 from cellgrid.functions.offsets import MOORE_2D
-from cellgrid.operators import initial, measures, outline, results
+from cellgrid.operators import density, initial, measures, outline, results
 from cellgrid.operators.grid import VOXEL
 from cellgrid.session import materialize
 from cellgrid.sinks import baysor, matrix
@@ -38,7 +38,9 @@ def cell_centroids(spark, sf):
 
 
 def cell_gene_counts(spark, sf):
-    return measures.cell_gene_counts(labelled(spark, sf)[0])
+    """Counted from the voxels up, so the join with the states is part of the query."""
+    c, _ = counts(spark, sf)
+    return measures.cell_gene_counts(measures.label_counts(density.attach_origin(c, binned(spark, sf)), states(spark, sf)[0]))
 
 
 def unassigned_counts(spark, sf):

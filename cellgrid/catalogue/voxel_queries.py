@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cellgrid.catalogue import ctes as C
-from cellgrid.catalogue.inputs import binned, counts, keyed_states, prepared, rounded, states, voxelized
+from cellgrid.catalogue.inputs import binned, compute_states, counts, keyed_states, prepared, rounded, states, voxelized
 from cellgrid.functions.offsets import VERTICAL, VON_NEUMANN, VON_NEUMANN_XY, diamond
 from cellgrid.operators import density, initial
 from cellgrid.operators import grid as G
@@ -46,7 +46,8 @@ def used_cells(spark, sf):
 
 
 def initial_states(spark, sf):
-    return rounded(states(spark, sf)[0], *LOGS)
+    s = compute_states(spark, sf)
+    return rounded(initial.recode_cells(s, initial.used_cells(s)), *LOGS)
 
 
 def barcode_states(spark, sf):

@@ -11,6 +11,8 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from cellgrid.functions.literals import doubles
+
 _MANTISSA = (1 << 53) - 1
 
 
@@ -40,7 +42,7 @@ def inverse_cdf(probs: list[float], u: Column) -> Column:
         cum.append(acc)
     if not cum:
         return F.lit(0)
-    return F.size(F.filter(F.array(*[F.lit(c) for c in cum]), lambda c: c < u))
+    return F.size(F.filter(doubles(cum), lambda c: c < u))
 
 
 _SCALE = float(1 << 20)

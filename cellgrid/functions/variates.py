@@ -97,15 +97,41 @@ def multinomial(key: np.ndarray, n, weights: np.ndarray) -> np.ndarray:
     return out
 
 
+_DIRECT = 64  # table-count trials done one by one
+
+
+def _log_gap(pos, s, r):
+    """Log probability of no success in trials pos ... s."""
+    return lgamma(s + 1.0) - lgamma(pos) - lgamma(r + s + 1.0) + lgamma(r + pos)
+
+
 def tables(key: np.ndarray, n, r) -> np.ndarray:
-    """Chinese-restaurant table counts: sum over t < n of Bernoulli(r / (r + t))."""
-    n = np.broadcast_to(np.asarray(n, dtype=np.int64), key.shape)
-    r = np.broadcast_to(np.asarray(r, dtype=np.float64), key.shape)
-    out = np.zeros(key.shape, dtype=np.int64)
-    for t in range(int(n.max(initial=0))):
-        on = np.nonzero(n > t)
-        out[on] += uniform(key[on], t) < r[on] / (r[on] + t)
-    return out
+    """Chinese-restaurant table counts: sum over t < n of Bernoulli(r / (r + t)).
+
+    After the first few trials successes are rare, so the draw jumps from one
+    to the next by inverting the gap distribution; cost grows with log n.
+    """
+    n = np.array(np.broadcast_to(n, key.shape), dtype=np.int64).ravel()
+    r = np.array(np.broadcast_to(r, key.shape), dtype=np.float64).ravel()
+    flat, out = key.ravel(), np.zeros(key.size, dtype=np.int64)
+    for t in range(min(int(n.max(initial=0)), _DIRECT)):
+        on = np.flatnonzero(n > t)
+        out[on] += uniform(flat[on], t) < r[on] / (r[on] + t)
+    on, pos, draw = np.flatnonzero(n > _DIRECT), np.full(key.size, _DIRECT, dtype=np.int64), _DIRECT
+    while on.size:
+        goal, p, rr = np.log(uniform(flat[on], draw)), pos[on].astype(np.float64), r[on]
+        lo, hi = pos[on].copy(), n[on] - 1
+        hit = _log_gap(p, hi.astype(np.float64), rr) <= goal
+        on, goal, p, rr, lo, hi = on[hit], goal[hit], p[hit], rr[hit], lo[hit], hi[hit]
+        while on.size and (lo < hi).any():
+            mid = (lo + hi) // 2
+            reached = _log_gap(p, mid.astype(np.float64), rr) <= goal
+            lo, hi = np.where(reached, lo, mid + 1), np.where(reached, mid, hi)
+            lo = np.minimum(lo, hi)
+        out[on] += 1
+        pos[on] = hi + 1
+        on, draw = on[pos[on] < n[on]], draw + 1
+    return out.reshape(key.shape)
 
 
 def polyagamma_mean(h, z):

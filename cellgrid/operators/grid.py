@@ -8,6 +8,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cellgrid.functions.literals import offset_structs
 from cellgrid.functions.offsets import Offset
 
 VOXEL = ["i", "j", "k"]
@@ -93,16 +94,10 @@ def voxel_counts(voxelized: DataFrame) -> DataFrame:
     return voxelized.groupBy(*VOXEL, "gene").agg(F.sum("n").alias("n"))
 
 
-def _offset_array(offsets: list[Offset]) -> Column:
-    return F.array(
-        *[F.struct(F.lit(a).alias("di"), F.lit(b).alias("dj"), F.lit(c).alias("dk")) for a, b, c in offsets]
-    )
-
-
 def shift(df: DataFrame, offsets: list[Offset]) -> DataFrame:
     """One row per (row, offset), with the shifted voxel in place of ``i, j, k``."""
     keep = [c for c in df.columns if c not in VOXEL]
-    return df.select(*VOXEL, *keep, F.explode(_offset_array(offsets)).alias("o")).select(
+    return df.select(*VOXEL, *keep, F.explode(offset_structs(offsets)).alias("o")).select(
         (F.col("i") + F.col("o.di")).alias("i"),
         (F.col("j") + F.col("o.dj")).alias("j"),
         (F.col("k") + F.col("o.dk")).alias("k"),

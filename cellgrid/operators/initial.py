@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from cellgrid.functions.offsets import VERTICAL, VON_NEUMANN, VON_NEUMANN_XY, Offset
 from cellgrid.functions.scalar import affine_det, affine_x, logistic
-from cellgrid.operators.grid import VOXEL, Grid, neighbour_messages, tile_of
+from cellgrid.operators.grid import VOXEL, Grid, by_tile, neighbour_messages, tile_of
 from cellgrid.operators.skew import dense_index
 
 STATE = [*VOXEL, "cell", "prior_cell", "log_prior", "log_1m_prior"]
@@ -247,9 +247,10 @@ def mismatch_edges(states: DataFrame, grid: Grid) -> DataFrame:
 
     Every occupied voxel reports to its six pairs (named by their lower
     voxel); a pair seen once borders background, a pair seen twice is an edge
-    if the cells differ. One aggregation, no self join.
+    if the cells differ. The reports are made after the tile shuffle, in the
+    tile of the lower voxel: one shuffle of the voxels, no self join.
     """
-    occupied = states.where(F.col("cell").isNotNull()).select(*VOXEL, "cell")
+    occupied = by_tile(states.where(F.col("cell").isNotNull()).select(*VOXEL, "cell"), grid)
     forward = [d for d in VON_NEUMANN if sum(d) > 0]
     sides = F.array(*[
         F.struct(*[F.lit(c).alias(f"e{a}") for a, c in zip("ijk", d, strict=True)], F.lit(s).alias("second"))
@@ -260,13 +261,15 @@ def mismatch_edges(states: DataFrame, grid: Grid) -> DataFrame:
     rows = rows.select(
         *[(F.col(c) - back * F.col(f"e.e{c}")).alias(f"a_{c}") for c in VOXEL],
         *[(F.col(c) + (1 - back) * F.col(f"e.e{c}")).alias(f"b_{c}") for c in VOXEL],
-        F.col("e.second").alias("second"), "cell",
+        F.col("e.second").alias("second"), "cell", "tu", "tv",
     ).where(f"a_i >= 0 AND a_j >= 0 AND a_k >= 0 AND b_k < {grid.layers}")
+    rows = rows.where((tile_of(F.col("a_i"), grid.tile) == F.col("tu")) & (tile_of(F.col("a_j"), grid.tile) == F.col("tv")))
     pair = [f"{s}_{c}" for s in "ab" for c in VOXEL]
     return (
-        rows.groupBy(*pair)
+        rows.groupBy("tu", "tv", *pair)
         .agg(F.max(F.when(~F.col("second"), F.col("cell"))).alias("cell_a"), F.max(F.when(F.col("second"), F.col("cell"))).alias("cell_b"))
         .where(~F.col("cell_a").eqNullSafe(F.col("cell_b")))
+        .drop("tu", "tv")
     )
 
 

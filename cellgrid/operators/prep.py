@@ -22,8 +22,8 @@ def quality_filter(df: DataFrame, min_qv: float, qv: str = "qv") -> DataFrame:
     """Drop rows below ``min_qv``; a missing column, NULL or NaN quality is kept."""
     if qv not in df.columns:
         return df
-    low = (F.col(qv) < F.lit(float(min_qv))) & ~F.isnan(F.col(qv).cast("double"))
-    return df.where(~F.coalesce(low, F.lit(False)))
+    # NaN sorts above every number, so the comparison keeps it; this form reaches the Parquet scan
+    return df.where((F.col(qv) >= F.lit(float(min_qv))) | F.col(qv).isNull())
 
 
 def check_pattern(pattern: str) -> str:
@@ -162,6 +162,17 @@ def normalize_z(df: DataFrame) -> DataFrame:
     return clip_and_scale_z(regress_out_tilt(df))
 
 
+def cluster_spatially(df: DataFrame, block: float = 128.0) -> DataFrame:
+    """Lay rows out by square blocks before a table that is scanned many times.
+
+    Molecules of a voxel end up side by side, so later aggregations by voxel
+    combine before they shuffle. A rebalance, unlike a plain repartition, lets
+    adaptive execution split a crowded block and merge sparse ones.
+    """
+    blocks = [F.floor(F.col(c) / F.lit(block)).cast("bigint").alias(f"_{c}") for c in ("x", "y")]
+    return df.select("*", *blocks).hint("rebalance", "_x", "_y").drop("_x", "_y")
+
+
 def stitch_fovs(df: DataFrame, offsets: DataFrame, pixel_size: float) -> DataFrame:
     """Local pixel positions to global microns: each field of view has its own origin, y points down."""
     return df.join(offsets, "fov_name").withColumns({

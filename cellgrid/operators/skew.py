@@ -134,3 +134,17 @@ def order_statistics(df: DataFrame, col: str, ranks: list[int], bins: int = 4096
             todo += [(hist[at]["lo"], hist[at]["hi"], w) for at, w in inside.items()]
         work = todo
     return [answers[r] for r in ranks]
+
+
+def expand_copies(df: DataFrame, n: str = "n", limit: int = 100_000) -> DataFrame:
+    """One row per copy of rows that stand for ``n`` each.
+
+    Rows with very many copies are first cut into chunks that are shuffled
+    apart, so no single task writes them all out.
+    """
+    few = df.where(F.col(n) <= F.lit(limit))
+    many = df.where(F.col(n) > F.lit(limit)).withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col(n) - 1) / F.lit(float(limit))))))
+    many = many.withColumn(n, F.least(F.lit(limit), F.col(n) - F.col("_chunk") * F.lit(limit))).repartition("_chunk").drop("_chunk")
+    cols = [c for c in df.columns if c != n]
+    both = few.select(*cols, n).unionByName(many.select(*cols, n))
+    return both.select(*cols, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col(n))).alias("copy"))

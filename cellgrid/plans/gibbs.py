@@ -73,7 +73,7 @@ def initial_phi(cells: DataFrame, latents: int, seed: int) -> DataFrame:
     key = keyed.row_key(seed, "cell", F.lit("phi"))
     draw = F.transform(F.sequence(F.lit(0), F.lit(latents - 1)), lambda k: F.exp(
         F.sqrt(F.lit(-2.0) * F.log(_hashed(key, k * 2))) * F.cos(F.lit(2.0 * np.pi) * _hashed(key, k * 2 + 1))))
-    return cells.withColumn("phi", draw)
+    return cells.withColumn("phi", draw).withColumn("phi_sum", F.aggregate("phi", F.lit(0.0), lambda a, v: a + v))
 
 
 def _hashed(key, draw):
@@ -139,7 +139,7 @@ def allocate(state: ModelState, assigned: DataFrame, opts: Options, iteration: i
     """Split assigned counts into background (latent -1) and latent factors."""
     u, h = state.unfactored, state.hidden
     phi = state.cells.select("cell", "phi")
-    both = assigned.join(phi, "cell").join(state.theta, "gene").join(state.rates, ["gene", "k0", "density"], "left")
+    both = assigned.join(phi, "cell").join(state.loadings(), "gene").join(state.background(), ["gene", "k0", "density"], "left")
     weights = F.when(F.col("slot").isNull(), F.zip_with(F.slice("phi", u + 1, max(h, 1)), "theta", lambda a, b: a * b))
     lam = F.when(F.col("slot").isNotNull(), F.element_at("phi", F.coalesce("slot", F.lit(0)) + 1)).otherwise(
         F.aggregate(F.coalesce("weights", F.array().cast("array<double>")), F.lit(0.0), lambda a, v: a + v))
@@ -198,7 +198,7 @@ def _update_cells(c: Components, latents: int, weighted: bool, choose: bool):
             wide = variates.stream(key, 2)[:, None] + np.arange(latents, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15)
             rate = c.s[z] / (1.0 + c.s[z] * ev[:, None])
             phi = variates.gamma(wide, c.r[z] + x) * rate
-            yield pd.DataFrame({"cell": b["cell"], "z": z, "scale": b["scale"], "ev": ev, "phi": list(phi), "ks": b["ks"], "xs": b["xs"]})
+            yield pd.DataFrame({"cell": b["cell"], "z": z, "scale": b["scale"], "ev": ev, "phi": list(phi), "phi_sum": phi.sum(axis=1), "ks": b["ks"], "xs": b["xs"]})
 
     return run
 
@@ -242,7 +242,7 @@ def _update_scales(c: Components, latents: int):
             tau = TAU_SCALE + w.sum(axis=1)
             mean = ((x - r) / 2.0 - w * (np.log(s) + lv[:, None])).sum(axis=1) / tau
             scale = np.exp(mean + variates.normal(variates.stream(key, 5)) / np.sqrt(tau))
-            yield pd.DataFrame({"cell": b["cell"], "z": z, "scale": scale, "phi": b["phi"]})
+            yield pd.DataFrame({"cell": b["cell"], "z": z, "scale": scale, "phi": b["phi"], "phi_sum": b["phi_sum"]})
 
     return run
 
@@ -297,7 +297,7 @@ def gibbs_step(state: ModelState, opts: Options, burnin: bool, sample_z: bool =
     )
     updated = rows.mapInPandas(
         _update_cells(comp, k_all, opts.use_mixture_weights, sample_z),
-        "cell long, z int, scale double, ev double, phi array<double>, ks array<long>, xs array<long>",
+        "cell long, z int, scale double, ev double, phi array<double>, phi_sum double, ks array<long>, xs array<long>",
     )
     updated = materialize(updated.withColumn("key", keyed.row_key(seed, it, F.lit("cell"), "cell")), "cells")
 
@@ -320,10 +320,10 @@ def gibbs_step(state: ModelState, opts: Options, burnin: bool, sample_z: bool =
     comp = replace(comp, s=np.exp(mean + g.standard_normal(tau.shape) / np.sqrt(tau)))
 
     if opts.use_scaled_cells:
-        new_cells = updated.mapInPandas(_update_scales(comp, k_all), "cell long, z int, scale double, phi array<double>")
+        new_cells = updated.mapInPandas(_update_scales(comp, k_all), "cell long, z int, scale double, phi array<double>, phi_sum double")
         new_cells = materialize(new_cells, "scaled")
     else:
-        new_cells = updated.select("cell", "z", F.lit(1.0).alias("scale"), "phi")
+        new_cells = updated.select("cell", "z", F.lit(1.0).alias("scale"), "phi", "phi_sum")
 
     theta = _sample_theta(state, inside, seed, it)
     rates = _sample_rates(state, lab, alloc, seed, it)

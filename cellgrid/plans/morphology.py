@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from cellgrid.functions import keyed
+from cellgrid.functions.literals import doubles
 from cellgrid.functions.offsets import MOORE
 from cellgrid.functions.scalar import dot, halfnormal_logpdf, inverse_isoperimetric_quotient
 from cellgrid.operators.grid import VOXEL, Grid, in_grid, shift
@@ -96,15 +97,14 @@ def propose(states: DataFrame, grid: Grid, seed: int, stage: Column, bubble: flo
 
 def neighbourhood(proposals: DataFrame, states: DataFrame, grid: Grid) -> DataFrame:
     """Tallies of like neighbours around each target, and the target's own prior."""
-    bits = {d: b for b, d in enumerate(MOORE)}
     marked = proposals.select(*[F.col(t).alias(v) for t, v in zip(TARGET, VOXEL, strict=True)], *TARGET, "cur", "prop")
     near = shift(marked, [(0, 0, 0), *MOORE]).where(in_grid(grid))
     got = near.join(states.select(*STATE), VOXEL, "left")
     away = F.abs("di") + F.abs("dj") + F.abs("dk")
     is_cur, is_prop = F.col("cell").eqNullSafe(F.col("cur")), F.col("cell").eqNullSafe(F.col("prop"))
-    bit = F.lit(0).cast("bigint")
-    for (a, b, c), n in bits.items():
-        bit = F.when((F.col("di") == a) & (F.col("dj") == b) & (F.col("dk") == c), F.lit(1 << n).cast("bigint")).otherwise(bit)
+    # number of the neighbour in the offset table, which lists a 3 x 3 x 3 cube without its centre
+    cube = "((di + 1) * 9 + (dj + 1) * 3 + (dk + 1))"
+    bit = F.expr(f"shiftleft(1L, {cube} - CASE WHEN {cube} > 13 THEN 1 ELSE 0 END)")
     near6, flat8, own = away == 1, (away > 0) & (F.col("dk") == 0), away == 0
 
     def tally(cond: Column) -> Column:
@@ -123,22 +123,31 @@ def neighbourhood(proposals: DataFrame, states: DataFrame, grid: Grid) -> DataFr
 
 
 def count_gain(proposals: DataFrame, state: ModelState) -> DataFrame:
-    """Change in count log likelihood if each target's molecules change cell."""
+    """Change in count log likelihood if each target's molecules change cell.
+
+    Only the molecules at the targets are looked at: they are laid out twice,
+    for the losing and the gaining cell, and meet each cell's factors once in a
+    join by cell; the factors are reduced to a rate right there.
+    """
     u, h = state.unfactored, max(state.hidden, 1)
     here = state.counts.select(*[F.col(v).alias(t) for t, v in zip(TARGET, VOXEL, strict=True)], "gene", "k0", "density", "n")
-    here = here.groupBy(*TARGET, "gene", "k0", "density").agg(F.sum("n").alias("n"))
-    rows = here.join(proposals.select(*TARGET, "phi_cur", "phi_prop"), TARGET).join(state.theta, "gene")
-    rows = rows.join(state.rates, ["gene", "k0", "density"], "left")
-
-    def lam(phi: str) -> Column:
-        own = F.element_at(phi, F.coalesce("slot", F.lit(0)) + 1)
-        mixed = dot(F.slice(phi, u + 1, h), F.coalesce("theta", F.array().cast("array<double>")))
-        return F.when(F.col(phi).isNull(), F.lit(0.0)).when(F.col("slot").isNotNull(), own).otherwise(mixed)
-
-    floor = F.lit(1e-30)
+    here = here.join(proposals.select(*TARGET, "cur", "prop"), TARGET)
+    here = here.groupBy(*TARGET, "cur", "prop", "gene", "k0", "density").agg(F.sum("n").alias("n"))
+    sides = F.array(
+        F.struct(F.col("cur").alias("cell"), F.lit(-1.0).alias("sign")), F.struct(F.col("prop").alias("cell"), F.lit(1.0).alias("sign"))
+    )
+    rows = here.select(*TARGET, "gene", "k0", "density", "n", F.explode(sides).alias("s")).select("*", "s.*").drop("s")
+    rows = rows.join(state.background(), ["gene", "k0", "density"], "left").join(state.loadings(), "gene")
+    own = F.element_at("phi", F.coalesce("slot", F.lit(0)) + 1)
+    mixed = dot(F.slice("phi", u + 1, h), F.coalesce("theta", F.array().cast("array<double>")))
     bg = F.coalesce("rate", F.lit(0.0))
-    gain = F.col("n") * (F.log(F.greatest(lam("phi_prop") + bg, floor)) - F.log(F.greatest(lam("phi_cur") + bg, floor)))
-    return rows.groupBy(*TARGET).agg(F.round(F.sum(gain), 9).alias("gain"))
+    inside = rows.where(F.col("cell").isNotNull()).join(state.cells.select("cell", "phi"), "cell")
+    inside = inside.withColumn("lam", F.when(F.col("slot").isNotNull(), own).otherwise(mixed) + bg)
+    outside = rows.where(F.col("cell").isNull()).withColumn("lam", bg)
+    cols = [*TARGET, "n", "sign", "lam"]
+    terms = inside.select(*cols).unionByName(outside.select(*cols))
+    gain = F.col("sign") * F.col("n") * F.log(F.greatest("lam", F.lit(1e-30)))
+    return terms.groupBy(*TARGET).agg(F.round(F.sum(gain), 9).alias("gain"))
 
 
 def _cell_terms(side: str, change: int, like: str, grid: Grid, sigma_iiq: float) -> Column:
@@ -159,9 +168,9 @@ def evaluate(proposals: DataFrame, state: ModelState, opts: Options, temperature
     """Log acceptance ratio of every proposal."""
     totals = state.layers.groupBy("cell").agg(F.sum("volume").alias("voxels"))
     comp = state.components
-    pick = lambda a: F.element_at(F.array(*[F.lit(float(v)) for v in a]), F.col("z") + 1)
+    pick = lambda a: F.element_at(doubles(a), F.col("z") + 1)
     cells = state.cells.join(totals, "cell").select(
-        "cell", "voxels", "scale", "phi", F.aggregate("phi", F.lit(0.0), lambda a, v: a + v).alias("phi_sum"),
+        "cell", "voxels", "scale", "phi_sum",
         pick(comp.mu).alias("mu"), pick(comp.sigma).alias("sigma"),
     )
     p = proposals.join(neighbourhood(proposals, state.states, state.grid), TARGET)

@@ -4,25 +4,31 @@ from __future__ import annotations
 
 from dataclasses import replace
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.functions import pandas_udf
 
-from cellgrid.functions import keyed
+from cellgrid.functions import keyed, variates
 from cellgrid.functions.diffusion import EPS, displacement_probs, mirrored
+from cellgrid.functions.literals import doubles
 from cellgrid.functions.scalar import dot
 from cellgrid.operators.grid import VOXEL, Grid, tile_of
 from cellgrid.operators.measures import COUNT_KEY, label_counts, merge_deltas, transitions
+from cellgrid.operators.skew import expand_copies
 from cellgrid.options import Options
 from cellgrid.plans.gibbs import binomial_udf
 from cellgrid.plans.state import ModelState
 from cellgrid.session import materialize
 
 OFFSET = ["di", "dj", "dk"]
+MANY = 64  # molecules above which an entry is split by multinomials
 
 
 def _lookup(probs: list[float], d: Column) -> Column:
-    table = F.array(*[F.lit(p) for p in probs])
-    return F.coalesce(F.try_element_at(table, F.abs(d).cast("int") + 1), F.lit(EPS))
+    return F.coalesce(F.try_element_at(doubles(probs), F.abs(d).cast("int") + 1), F.lit(EPS))
 
 
 def distance_prior(opts: Options, grid: Grid, di: Column, dj: Column, dk: Column) -> Column:
@@ -35,21 +41,49 @@ def distance_prior(opts: Options, grid: Grid, di: Column, dj: Column, dk: Column
     return _lookup(deep, dk) * plane
 
 
+def _split(probs: list[float]):
+    """Arrow function that shares ``n`` molecules out over the displacements of ``probs``."""
+    half = len(probs) // 2
+    kind = T.ArrayType(T.StructType([T.StructField("d", T.LongType()), T.StructField("m", T.LongType())]))
+
+    def run(key: pd.Series, n: pd.Series) -> pd.Series:
+        w = np.broadcast_to(np.asarray(probs), (len(n), len(probs)))
+        shares = variates.multinomial(variates.stream(key.to_numpy(), 0), n.to_numpy(), w)
+        return pd.Series([[{"d": int(k) - half, "m": int(row[k])} for k in np.flatnonzero(row)] for row in shares])
+
+    return pandas_udf(run, kind)
+
+
 def propose_moves(labelled: DataFrame, grid: Grid, opts: Options, iteration: int) -> DataFrame:
-    """Draw a displacement for each molecule and regroup equal ones: ``mi, mj, mk, m``."""
+    """Draw displacements for all molecules and count equal ones: ``mi, mj, mk, m``.
+
+    Small entries draw per molecule from inverse tables; an entry that stands
+    for many molecules is split axis by axis with multinomials, so its cost
+    does not grow with its size.
+    """
     plane = mirrored(displacement_probs(grid.voxel_size, opts.diffusion_proposal_sigma))
     deep = mirrored(displacement_probs(grid.voxel_size_z, opts.diffusion_proposal_sigma_z))
-    each = labelled.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n"))))
+    rows = labelled.select(*COUNT_KEY, "cell", "n")
+
+    few = expand_copies(rows.where(F.col("n") <= F.lit(MANY)))
     key = keyed.row_key(opts.seed, iteration, F.lit("move"), *COUNT_KEY, "copy")
 
     def draw(probs: list[float], number: int) -> Column:
         return (keyed.inverse_cdf(probs, keyed.uniform(F.col("key"), number)) - F.lit(len(probs) // 2)).cast("bigint")
 
-    moved = each.withColumn("key", key).select(
-        *COUNT_KEY, "cell", "n", draw(plane, 0).alias("mi"), draw(plane, 1).alias("mj"), draw(deep, 2).alias("mk"))
-    moved = moved.where("mi <> 0 OR mj <> 0 OR mk <> 0")
+    few = few.withColumn("key", key).select(
+        *COUNT_KEY, "cell", draw(plane, 0).alias("mi"), draw(plane, 1).alias("mj"), draw(deep, 2).alias("mk"), F.lit(1).cast("bigint").alias("m"))
+
+    many, done = rows.where(F.col("n") > F.lit(MANY)).withColumnRenamed("n", "m"), []
+    for axis, probs in (("mk", deep), ("mj", plane), ("mi", plane)):
+        at = keyed.row_key(opts.seed, iteration, F.lit(f"split {axis}"), *COUNT_KEY, *done)
+        many = many.withColumn("s", _split(probs)(at, F.col("m"))).drop("m").withColumn("s", F.explode("s"))
+        many = many.select(*COUNT_KEY, "cell", *done, F.col("s.d").alias(axis), F.col("s.m").alias("m"))
+        done.append(axis)
+
+    moved = few.unionByName(many.select(*few.columns)).where("mi <> 0 OR mj <> 0 OR mk <> 0")
     moved = moved.where((F.col("i") + F.col("mi") >= 0) & (F.col("j") + F.col("mj") >= 0) & (F.col("k") + F.col("mk")).between(0, grid.layers - 1))
-    return moved.groupBy(*COUNT_KEY, "cell", "mi", "mj", "mk").agg(F.count(F.lit(1)).alias("m"))
+    return moved.groupBy(*COUNT_KEY, "cell", "mi", "mj", "mk").agg(F.sum("m").alias("m"))
 
 
 def _rate(phi: str, unfactored: int, hidden: int) -> Column:
@@ -71,11 +105,11 @@ def score_moves(moves: DataFrame, state: ModelState, opts: Options) -> DataFrame
     phi = state.cells.select("cell", "phi")
     # rate of every (cell, gene) that some move starts from or ends in, computed once
     pairs = m.select("cell", "gene").unionByName(m.select(F.col("to_cell").alias("cell"), "gene")).where("cell IS NOT NULL").distinct()
-    lam = pairs.join(phi, "cell").join(state.theta, "gene").select("cell", "gene", _rate("phi", state.unfactored, state.hidden).alias("lam"))
+    lam = pairs.join(phi, "cell").join(state.loadings(), "gene").select("cell", "gene", _rate("phi", state.unfactored, state.hidden).alias("lam"))
     lam = materialize(lam, "rates")
     m = m.join(lam.withColumnRenamed("lam", "lam_from"), ["cell", "gene"], "left")
     m = m.join(lam.select(F.col("cell").alias("to_cell"), "gene", F.col("lam").alias("lam_to")), ["to_cell", "gene"], "left")
-    m = m.join(state.rates, ["gene", "k0", "density"], "left")
+    m = m.join(state.background(), ["gene", "k0", "density"], "left")
     bg = F.coalesce("rate", F.lit(0.0))
     now = distance_prior(opts, state.grid, *[F.col(c) for c in OFFSET]) * (F.coalesce("lam_from", F.lit(0.0)) + bg)
     then = distance_prior(opts, state.grid, *[F.col(f"d{v}") + F.col(f"m{v}") for v in VOXEL]) * (F.coalesce("lam_to", F.lit(0.0)) + bg)

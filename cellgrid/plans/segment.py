@@ -39,7 +39,7 @@ def prepare(transcripts: DataFrame, opts: Options) -> DataFrame:
     if has_cells:
         t = prep.drop_cellfree(t, opts.max_transcript_nucleus_distance)
     t = t.withColumn("z", F.lit(0.0)) if opts.ignore_z_coord else prep.normalize_z(t)
-    return materialize(t, "transcripts")
+    return materialize(prep.cluster_spatially(t), "transcripts")
 
 
 def layers_for(transcripts: DataFrame, opts: Options) -> int:
@@ -91,7 +91,7 @@ def initialize(transcripts: DataFrame, opts: Options, states_fn: StatesFn | None
         grid=grid, states=states, counts=counts, layers=materialize(measures.layer_volume_surface(states, grid), "layers"),
         cells=materialize(cells, "cells"), theta=theta, rates=materialize(rates, "rates"),
         region=expectations.volumes(binned, grid), components=Components.start(opts.ncomponents, unfactored + hidden),
-        unfactored=unfactored, hidden=hidden, frozen=frozen,
+        unfactored=unfactored, hidden=hidden, genes=ngenes, bins=opts.density_bins, frozen=frozen,
     )
     return state, index
 

@@ -40,7 +40,7 @@ class ModelState:
     states  i, j, k, cell, prior_cell, log_prior, log_1m_prior
     counts  i, j, k, gene, k0, density, di, dj, dk, n
     layers  cell, k, volume, surface (in voxels)
-    cells   cell, z, scale, phi
+    cells   cell, z, scale, phi, phi_sum
     theta   gene, slot, theta (slot set: the gene has a latent of its own)
     rates   gene, k0, density, rate
     region  density, volume
@@ -57,6 +57,8 @@ class ModelState:
     components: Components
     unfactored: int
     hidden: int
+    genes: int
+    bins: int
     iteration: int = 0
     frozen: DataFrame | None = None
     foreground: DataFrame | None = None
@@ -67,6 +69,22 @@ class ModelState:
     def latents(self) -> int:
         return self.unfactored + self.hidden
 
+    def loadings(self) -> DataFrame:
+        """``theta`` for a join by gene."""
+        return if_small(self.theta, self.genes, 8 * self.hidden + 64)
+
+    def background(self) -> DataFrame:
+        """``rates`` for a join by (gene, layer, density)."""
+        return if_small(self.rates, self.genes * self.grid.layers * self.bins, 64)
+
+
+BROADCAST_LIMIT = 128 << 20
+
+
+def if_small(df: DataFrame, rows: int, width: int) -> DataFrame:
+    """Broadcast a table whose counted rows fit the limit; larger ones are joined by shuffle."""
+    return F.broadcast(df) if rows * width <= BROADCAST_LIMIT else df
+
 
 def rng(seed: int, iteration: int, stage: int) -> np.random.Generator:
     return np.random.Generator(np.random.Philox(key=[seed, (iteration << 8) + stage]))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellgrid.operators.grid import Grid
+from cellgrid.operators.skew import expand_copies
 from cellgrid.sources.transcripts import infer_format
 
 
@@ -23,7 +24,7 @@ def write_table(df: DataFrame, path: str, fmt: str | None = None, mode: str = "o
 def transcript_schema(transcripts: DataFrame) -> DataFrame:
     """Output columns of the transcript table, one row per molecule, single-precision coordinates."""
     t = transcripts if "transcript_id" in transcripts.columns else transcripts.withColumn("transcript_id", F.lit(None).cast("bigint"))
-    t = t.select("*", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n"))).alias("_copy"))
+    t = expand_copies(t)
     single = ["x", "y", "z", "observed_x", "observed_y", "observed_z"]
     return t.select("transcript_id", *[F.col(c).cast("float").alias(c) for c in single], "gene", F.col("assignment").cast("bigint").alias("assignment"), "background")
 

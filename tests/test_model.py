@@ -47,6 +47,28 @@ def test_tables_and_multinomial():
     close(m[:, 2], 6.75, 9 * 0.75 * 0.25)
 
 
+def test_tables_of_large_counts():
+    r, n = 2.0, 100_000
+    t = V.tables(KEYS[:20000], n, r)
+    p = r / (r + np.arange(n))
+    close(t, p.sum(), (p * (1 - p)).sum())
+
+
+def test_large_entries_split_like_small_ones(spark, small):
+    opts, _, state, _ = small
+    one = state.counts.limit(1).withColumns({"i": F.lit(50).cast("bigint"), "j": F.lit(50).cast("bigint"), "cell": F.lit(0).cast("bigint")})
+    deep = [repositioning.propose_moves(one.withColumn("n", F.lit(m).cast("bigint")), state.grid, opts, 1).collect() for m in (60_000,)]
+    few = repositioning.propose_moves(
+        spark.range(3000).selectExpr("id AS g").crossJoin(one.withColumn("n", F.lit(20).cast("bigint")).drop("gene")).withColumn("gene", F.col("g").cast("string")).drop("g"),
+        state.grid, opts, 1).groupBy("mi").agg(F.sum("m").alias("m")).collect()
+    a, b = defaultdict(int), {r.mi: r.m for r in few}
+    for r in deep[0]:
+        a[r.mi] += r.m
+    assert abs(sum(a.values()) / sum(b.values()) - 1) < 0.02
+    for d in (-2, -1, 0, 1, 2):
+        assert abs(a[d] - b[d]) < 6 * math.sqrt(a[d] + b[d])
+
+
 def test_draws_do_not_depend_on_batch():
     assert (V.gamma(KEYS[:50], 0.3)[10:20] == V.gamma(KEYS[10:20], 0.3)).all()
     assert (V.binomial(KEYS[:50], 100, 0.3)[10:20] == V.binomial(KEYS[10:20], 100, 0.3)).all()

@@ -34,6 +34,14 @@ def test_salted_prefix_covers_every_slot_once(spark, hot):
         assert all(a[1] == b[0] for a, b in zip(spans, spans[1:], strict=False))
 
 
+def test_expand_copies(spark):
+    from cellgrid.operators.skew import expand_copies
+
+    df = spark.createDataFrame([("a", 1), ("b", 25), ("c", 10)], "key string, n long")
+    got = {r.key: r["count"] for r in expand_copies(df, limit=10).groupBy("key").count().collect()}
+    assert got == {"a": 1, "b": 25, "c": 10}
+
+
 def test_order_statistics_are_exact(spark):
     rnd = random.Random(2)
     values = [rnd.choice([0.0, 1.5, rnd.gauss(0, 1e6), rnd.random() * 1e-9]) for _ in range(3000)]
