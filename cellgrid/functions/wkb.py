@@ -5,9 +5,9 @@ from __future__ import annotations
 import struct
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import types as T
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
 
 POINT = T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())])
 RINGS = T.ArrayType(T.ArrayType(POINT))
@@ -62,11 +62,13 @@ def decode(data: bytes) -> list[list[tuple[float, float]]]:
     return out
 
 
-@pandas_udf(T.BinaryType())
-def to_wkb(rings: pd.Series) -> pd.Series:
-    return rings.map(encode)
+@arrow_udf(T.BinaryType())
+def to_wkb(rings: pa.Array) -> pa.Array:
+    return pa.array([encode(r) for r in rings.to_pylist()], pa.binary())
 
 
-@pandas_udf(RINGS)
-def from_wkb(data: pd.Series) -> pd.Series:
-    return data.map(lambda b: [[{"x": x, "y": y} for x, y in ring] for ring in decode(bytes(b))])
+@arrow_udf(RINGS)
+def from_wkb(data: pa.Array) -> pa.Array:
+    rows = [[[{"x": x, "y": y} for x, y in ring] for ring in decode(b)] for b in data.to_pylist()]
+    point = pa.struct([("x", pa.float64()), ("y", pa.float64())])
+    return pa.array(rows, pa.list_(pa.list_(point)))

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellgrid.operators.grid import Grid
@@ -102,15 +102,16 @@ def ring_area(ranked: DataFrame) -> DataFrame:
 
 
 def cut_loops(ranked: DataFrame) -> DataFrame:
-    """Drop the part of a ring between two visits to the same corner."""
+    """Drop the part of a ring between two visits to the same corner.
+
+    Corners met twice are found by counting; what lies between the visits is
+    removed by an anti join on the few such stretches.
+    """
     ring = ["cell", "k", "lead"]
-    visit = Window.partitionBy(*ring, "pi", "pj")
-    seen = ranked.withColumns({"first": F.min("rank").over(visit), "last": F.max("rank").over(visit)})
-    opened = F.when((F.col("first") < F.col("last")) & (F.col("rank") == F.col("first")), 1).otherwise(0)
-    closed = F.when((F.col("first") < F.col("last")) & (F.col("rank") == F.col("last")), 1).otherwise(0)
-    before = Window.partitionBy(*ring).orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
-    depth = F.coalesce(F.sum(opened - closed).over(before), F.lit(0))
-    return seen.withColumn("depth", depth).where("depth = 0").drop("first", "last", "depth")
+    stretch = ranked.groupBy(*ring, "pi", "pj").agg(F.min("rank").alias("first"), F.max("rank").alias("last")).where("first < last")
+    same = [F.col(f"r.{c}") == F.col(f"s.{c}") for c in ring]
+    between = (F.col("r.rank") > F.col("s.first")) & (F.col("r.rank") <= F.col("s.last"))
+    return ranked.alias("r").join(stretch.alias("s"), [*same, between], "left_anti")
 
 
 def polygons(voxels: DataFrame, grid: Grid) -> DataFrame:

@@ -9,6 +9,8 @@ from cellgrid.operators.grid import VOXEL, Grid
 from cellgrid.operators.outline import polygons
 from cellgrid.operators.skew import packed_vote, salted_prefix, unpack_candidate
 
+BLOCK = 65536.0  # positions per block of the interval join
+
 
 def voxel_totals(states: DataFrame, counts: DataFrame) -> DataFrame:
     """Occupied voxels with their molecule totals: union and one aggregation, no join."""
@@ -78,7 +80,11 @@ def transcript_metadata(voxelized: DataFrame, split: DataFrame, grid: Grid) -> D
     parts = parts.select(
         *key, "di", "dj", "dk", F.when(F.col("late") == 0, F.col("cell")).alias("assigned"), "slot", (F.col("slot") + F.col("m")).alias("slot_end")
     )
-    both = runs.join(parts, key).where("lo < slot_end AND slot < hi")
+    # blocks of positions keep the interval join local and spread a crowded key
+    reach = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / F.lit(BLOCK)), F.floor((F.col(b) - 1) / F.lit(BLOCK))))
+    runs, parts = runs.withColumn("block", reach("lo", "hi")), parts.withColumn("block", reach("slot", "slot_end"))
+    both = runs.join(parts, [*key, "block"]).where("lo < slot_end AND slot < hi")
+    start, end = F.greatest("lo", "slot", F.col("block") * F.lit(BLOCK)), F.least("hi", "slot_end", (F.col("block") + 1) * F.lit(BLOCK))
     vs = F.lit(grid.voxel_size)
     return both.select(
         *[c for c in ("transcript_id", "fov") if c in about], "gene",
@@ -86,8 +92,8 @@ def transcript_metadata(voxelized: DataFrame, split: DataFrame, grid: Grid) -> D
         (F.col("x") + F.col("di") * vs).alias("x"), (F.col("y") + F.col("dj") * vs).alias("y"),
         (F.col("z") + F.col("dk") * F.lit(grid.voxel_size_z)).alias("z"),
         F.col("assigned").alias("assignment"), F.col("assigned").isNull().alias("background"),
-        (F.least("hi", "slot_end") - F.greatest("lo", "slot")).alias("n"),
-    )
+        (end - start).cast("bigint").alias("n"),
+    ).where("n > 0")
 
 
 def cell_metadata(states: DataFrame, shapes: DataFrame, grid: Grid, cells: DataFrame) -> DataFrame:

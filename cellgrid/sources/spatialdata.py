@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cellgrid.functions.wkb import from_wkb
@@ -21,8 +21,9 @@ def read_anndata(
 ) -> DataFrame:
     """Spot x gene counts with spot coordinates; every assigned spot counts as nuclear.
 
-    The index pointer is turned into one row range per spot and matched to the
-    entries through blocks of entry positions, so no row is longer than a block.
+    The index pointer says at which entry each spot starts. Entries and spot
+    starts are sorted together inside fixed blocks of positions and every entry
+    takes the last start before it; a spot that spans blocks is listed in each.
     """
     if path.endswith(".zip"):
         raise ValueError("zipped stores are not supported, unpack the directory first")
@@ -36,9 +37,14 @@ def read_anndata(
     spots = ptr.join(nxt, "idx").select(F.col("idx").alias("spot"), F.col("value").alias("start"), "end").where("start < end")
     block = 1 << 16
     first, last = F.floor(F.col("start") / F.lit(float(block))), F.floor((F.col("end") - 1) / F.lit(float(block)))
-    spots = spots.withColumn("block", F.explode(F.sequence(first, last)))
-    entries = entries.withColumn("block", F.floor(F.col("idx") / F.lit(float(block))))
-    rows = entries.join(spots, (entries["block"] == spots["block"]) & (entries["idx"] >= spots["start"]) & (entries["idx"] < spots["end"]))
+    starts = spots.withColumn("block", F.explode(F.sequence(first, last))).select(
+        "block", F.greatest("start", F.col("block") * block).alias("idx"), F.lit(0).alias("entry"), "spot",
+        F.lit(None).cast("bigint").alias("n"), F.lit(None).cast("bigint").alias("gene_idx"))
+    marked = entries.select(
+        F.floor(F.col("idx") / F.lit(float(block))).alias("block"), "idx", F.lit(1).alias("entry"), F.lit(None).cast("bigint").alias("spot"),
+        "n", F.col("gene_idx").cast("bigint").alias("gene_idx"))
+    upto = Window.partitionBy("block").orderBy("idx", "entry").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = starts.unionByName(marked).withColumn("spot", F.last("spot", ignorenulls=True).over(upto)).where("entry = 1")
     var = zarr2.attributes(f"{path}/var")
     gene = gene_column or var.get("_index", "_index")
     genes = zarr2.read_array(spark, f"{path}/var/{gene}").select(F.col("idx").alias("gene_idx"), F.col("value").alias("gene"))

@@ -63,7 +63,8 @@ def canonical(df: DataFrame, opts: Options) -> DataFrame:
     else:
         cols["fov"] = F.lit("0")
     if present(c.qv):
-        cols["qv"] = _text(c.qv).cast("double")
+        # a cast would keep the quality test from reaching the Parquet scan
+        cols["qv"] = _text(c.qv).cast("double") if df.schema[c.qv].dataType.typeName() == "string" else _text(c.qv)
     t = df.select(*[v.alias(k) for k, v in cols.items()])
     if opts.min_qv is not None:
         t = prep.quality_filter(t, opts.min_qv)

@@ -13,9 +13,12 @@ BINNED = "square_002um"
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines of one text file with their 1-based number.
 
-    The file is read as a single gzip member by one task anyway; it is a
-    dictionary (genes or squares), numbered through its split into an array.
+    A gzip file is one input split, so the generated ids of its lines are
+    consecutive; a plain file may be split and is numbered as an array instead.
     """
+    if path.endswith(".gz"):
+        lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("at"), "value")
+        return lines.select((F.col("at") + 1).alias("idx"), F.col("value").alias("line"))
     text = spark.read.text(path, wholetext=True)
     lines = F.split(F.regexp_replace("value", "\r?\n$", ""), "\r?\n")
     return text.select(F.posexplode(lines).alias("pos", "line")).select((F.col("pos") + 1).cast("bigint").alias("idx"), "line")

@@ -1,0 +1 @@
+"""Counting operators over a growing folder of transcript files."""
