@@ -10,8 +10,10 @@ from cellgrid.functions import scalar
 from cellgrid.functions.offsets import MOORE_2D
 from cellgrid.operators import density, initial, measures, outline, results
 from cellgrid.operators.grid import VOXEL
+from cellgrid.operators.spatial import bounding_box
 from cellgrid.session import materialize
 from cellgrid.sinks import baysor, matrix
+from cellgrid.sources import fixtures as fx
 
 LEVELS = 7  # line numbers, used as sample indices
 
@@ -179,6 +181,22 @@ def mtx_triplets(spark, sf):
     return matrix.triplets(counts, gene_dictionary(canonical(spark, sf)))
 
 
+def ring_areas(spark, sf):
+    """Outlines given as vertex rows, with their enclosed area."""
+    rings = outline.rings_from_vertices(fx.polygon_vertices(spark, sf))
+    return rings.select("cell_id", F.size("ring").cast("bigint").alias("vertices"), F.round(outline.shoelace(F.col("ring")), 6).alias("area"))
+
+
+def mask_tiles(spark, sf):
+    """Mask labels made unique over 16-pixel tiles."""
+    p = initial.relabel_tiles(fx.mask_pixels(spark, sf).select("row_px", "col_px", "mask_id"), 16)
+    return p.select("row_px", "col_px", F.col("mask_id").cast("bigint").alias("mask_id"))
+
+
+def bounding_box_query(spark, sf):
+    return bounding_box(canonical(spark, sf), (10.0, 20.0), (60.0, 50.0)).select("transcript_id", "gene", "x", "y")
+
+
 def voxel_transcript_counts_by_cell(spark, sf):
     s, _ = states(spark, sf)
     return results.voxel_totals(s, labelled(spark, sf)[0])
@@ -206,6 +224,9 @@ QUERIES = {
     "cell_metadata": cell_metadata,
     "gene_metadata": gene_metadata,
     "mtx_triplets": mtx_triplets,
+    "ring_areas": ring_areas,
+    "mask_tiles": mask_tiles,
+    "bounding_box": bounding_box_query,
 }
 
 
@@ -302,6 +323,14 @@ JOIN (SELECT cell, CAST(SUM(volume) AS BIGINT) AS volume, CAST(SUM(surface) AS B
 FROM (SELECT gene, CAST(SUM(n) AS BIGINT) AS total_count FROM tx GROUP BY gene) t
 LEFT JOIN (SELECT gene, SUM(n) / CAST({LEVELS} AS DOUBLE) AS expected FROM samples GROUP BY gene) e ON t.gene = e.gene
 LEFT JOIN (SELECT gene AS rgene, {lams} FROM bgrate GROUP BY gene) r ON r.rgene = t.gene""",
+        "ring_areas": """SELECT a.cell_id, COUNT(*) + 1 AS vertices, ROUND(ABS(SUM(a.x * b.y - b.x * a.y)) / 2, 6) AS area
+FROM fx_polygon_vertices a JOIN fx_polygon_vertices b ON a.polygon = b.polygon AND a.vertex + 1 = b.vertex GROUP BY a.cell_id""",
+        "mask_tiles": """SELECT row_px, col_px, CAST(mask_id + start AS BIGINT) AS mask_id FROM fx_mask_pixels m JOIN (
+  SELECT tr, tc, COALESCE(SUM(top) OVER (ORDER BY tr, tc ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM (
+    SELECT FLOOR(row_px / CAST(16 AS DOUBLE)) AS tr, FLOOR(col_px / CAST(16 AS DOUBLE)) AS tc, MAX(mask_id) AS top
+    FROM fx_mask_pixels GROUP BY FLOOR(row_px / CAST(16 AS DOUBLE)), FLOOR(col_px / CAST(16 AS DOUBLE))) g) t
+  ON t.tr = FLOOR(row_px / CAST(16 AS DOUBLE)) AND t.tc = FLOOR(col_px / CAST(16 AS DOUBLE))""",
+        "bounding_box": "SELECT transcript_id, gene, x, y FROM tx WHERE x BETWEEN 10 AND 60 AND y BETWEEN 20 AND 50",
         "mtx_triplets": """SELECT cell + 1 AS row, gene_id + 1 AS col, CAST(SUM(n) AS BIGINT) AS value FROM lab l
 JOIN (SELECT gene, DENSE_RANK() OVER (ORDER BY gene) - 1 AS gene_id FROM (SELECT DISTINCT gene FROM tx) t) g ON l.gene = g.gene
 WHERE cell IS NOT NULL GROUP BY cell, gene_id""",

@@ -185,6 +185,20 @@ def states_from_polygons(vertices: DataFrame, grid: Grid, prior_reassignment: fl
     return _with_prior(won, F.lit(1.0 - prior_reassignment)).select(*STATE)
 
 
+def relabel_tiles(pixels: DataFrame, tile: int) -> DataFrame:
+    """Make labels of separately segmented tiles unique: each tile starts after the largest labels of earlier ones.
+
+    ``pixels`` holds ``row_px, col_px, mask_id``; labels restart at 1 in every tile.
+    Only the one row per tile is ordered as a whole.
+    """
+    at = [F.floor(F.col(c) / F.lit(float(tile))).cast("bigint").alias(n) for c, n in (("row_px", "tr"), ("col_px", "tc"))]
+    placed = pixels.select("*", *at)
+    tops = placed.groupBy("tr", "tc").agg(F.max("mask_id").alias("top"))
+    over = Window.orderBy("tr", "tc").rowsBetween(Window.unboundedPreceding, -1)
+    tops = tops.select("tr", "tc", F.coalesce(F.sum("top").over(over), F.lit(0)).alias("offset"))
+    return placed.join(tops, ["tr", "tc"]).withColumn("mask_id", F.col("mask_id") + F.col("offset")).drop("tr", "tc", "offset")
+
+
 # -- expansion and bubbles ---------------------------------------------------
 def _gather(states: DataFrame, grid: Grid, offsets: list[Offset], keep: Column) -> DataFrame:
     """Per voxel: its own state plus the cells that neighbours in ``keep`` offer it."""
@@ -207,31 +221,39 @@ def _same_quad(grid: Grid) -> Column:
     )
 
 
-def _frozen(states: DataFrame) -> Column:
-    return F.coalesce(F.col("frozen"), F.lit(False)) if "frozen" in states.columns else F.lit(False)
-
-
-def _expand(states: DataFrame, grid: Grid, offsets: list[Offset], keep: Column, lottery: bool) -> DataFrame:
+def _expand(
+    states: DataFrame, grid: Grid, offsets: list[Offset], keep: Column, lottery: bool, frozen: DataFrame | None
+) -> DataFrame:
+    if frozen is not None:
+        held = frozen.select("cell", F.lit(True).alias("held"))
+        states = states.join(held, "cell", "left").select(*STATE, F.coalesce("held", F.lit(False)).alias("held"))
+    else:
+        states = states.select(*STATE, F.lit(False).alias("held"))
     got = _gather(states, grid, offsets, keep)
     offered = F.col("lot.cell") if lottery else F.col("lo")
     return got.withColumn("cell", F.coalesce("own", offered)).where("exists OR cell IS NOT NULL").select(*STATE)
 
 
-def expand_cells(states: DataFrame, grid: Grid, rounds: int = 1, lottery: bool = False) -> DataFrame:
+def expand_cells(
+    states: DataFrame, grid: Grid, rounds: int = 1, lottery: bool = False, frozen: DataFrame | None = None
+) -> DataFrame:
     """Grow cells into background 6-neighbours of the same quad, ``rounds`` times.
 
     Rival claims go to the lowest cell, or with ``lottery`` to a hashed draw.
+    Cells listed in ``frozen`` do not grow.
     """
     for _ in range(rounds):
-        states = _expand(states, grid, VON_NEUMANN, _same_quad(grid) & ~_frozen(states), lottery)
+        states = _expand(states, grid, VON_NEUMANN, _same_quad(grid) & ~F.col("held"), lottery, frozen)
     return states
 
 
-def expand_vertically(states: DataFrame, grid: Grid, only_frozen: bool = False, lottery: bool = False) -> DataFrame:
-    """Grow cells up and down until every layer can be reached."""
+def expand_vertically(
+    states: DataFrame, grid: Grid, lottery: bool = False, frozen: DataFrame | None = None
+) -> DataFrame:
+    """Grow cells up and down until every layer can be reached; with ``frozen``, only those cells."""
     for _ in range(grid.layers - 1):
-        keep = _frozen(states) if only_frozen else F.lit(True)
-        states = _expand(states, grid, VERTICAL, keep, lottery)
+        keep = F.lit(True) if frozen is None else F.col("held")
+        states = _expand(states, grid, VERTICAL, keep, lottery, frozen)
     return states
 
 

@@ -151,3 +151,11 @@ def largest_ring(rings: Column) -> Column:
     """The ring with the largest area."""
     sized = F.transform(rings, lambda r: F.struct(shoelace(r).alias("a"), r.alias("r")))
     return F.array_max(sized)["r"]
+
+
+def rings_from_vertices(vertices: DataFrame) -> DataFrame:
+    """One closed ring per cell from vertex rows in order."""
+    point = F.struct("vertex", F.struct("x", "y").alias("p"))
+    ring = F.transform(F.array_sort(F.collect_list(point)), lambda v: v["p"])
+    return vertices.groupBy("cell_id").agg(ring.alias("ring")).withColumn(
+        "ring", F.when(F.element_at("ring", 1) == F.element_at("ring", -1), F.col("ring")).otherwise(F.concat("ring", F.slice("ring", 1, 1))))

@@ -84,3 +84,8 @@ def nearest_center(points: DataFrame, centers: DataFrame, key: str, size: float,
         if left.isEmpty():
             return found
         size *= 2.0
+
+
+def bounding_box(df: DataFrame, low: tuple[float, float], high: tuple[float, float]) -> DataFrame:
+    """Rows inside an axis-aligned box, borders included."""
+    return df.where(F.col("x").between(low[0], high[0]) & F.col("y").between(low[1], high[1]))

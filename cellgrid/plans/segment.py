@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 
@@ -37,6 +38,9 @@ def prepare(transcripts: DataFrame, opts: Options) -> DataFrame:
     t = transcripts
     has_cells = not t.where(F.col("cell").isNotNull()).isEmpty() if "cell" in t.columns else False
     if has_cells:
+        huge = prep.nuclei_population(t).where("too_large").take(1)
+        if huge:
+            warnings.warn(f"nucleus {huge[0]['nucleus']} has {huge[0]['n']} transcripts; are cell ids unique across fields of view?", stacklevel=2)
         t = prep.drop_cellfree(t, opts.max_transcript_nucleus_distance)
     t = t.withColumn("z", F.lit(0.0)) if opts.ignore_z_coord else prep.normalize_z(t)
     return materialize(prep.cluster_spatially(t), "transcripts")
@@ -47,9 +51,9 @@ def layers_for(transcripts: DataFrame, opts: Options) -> int:
     return 1 if span[0] == span[1] else opts.voxel_layers
 
 
-def clean(states: DataFrame, grid: Grid, opts: Options) -> DataFrame:
+def clean(states: DataFrame, grid: Grid, opts: Options, frozen: DataFrame | None) -> DataFrame:
     """Expansion, vertical growth and bubble filling, in that order."""
-    s = initial.expand_cells(states, grid, opts.expand_initialized_cells, lottery=True)
+    s = initial.expand_cells(states, grid, opts.expand_initialized_cells, lottery=True, frozen=frozen)
     s = initial.expand_vertically(s, grid, lottery=True)
     return initial.pop_bubbles(s, grid)
 
@@ -76,7 +80,8 @@ def initialize(transcripts: DataFrame, opts: Options, states_fn: StatesFn | None
     if "frozen" in keyed.columns:
         ids = index.withColumnRenamed("cell", "key")
         frozen = keyed.where("frozen").select(F.col("cell").alias("key")).distinct().join(ids, "key").select(F.col("cell_id").alias("cell"))
-    states = materialize(clean(initial.recode_cells(keyed, index), grid, opts), "states")
+        frozen = materialize(frozen, "frozen")
+    states = materialize(clean(initial.recode_cells(keyed, index), grid, opts, frozen), "states")
     order = prep.unfactored_gene_order(transcripts)
     ngenes = order.count()
     unfactored = ngenes if opts.no_factorization or opts.nunfactored >= ngenes else opts.nunfactored
@@ -96,13 +101,24 @@ def initialize(transcripts: DataFrame, opts: Options, states_fn: StatesFn | None
     return state, index
 
 
-def refine(state: ModelState, transcripts: DataFrame, opts: Options, scale: int) -> ModelState:
-    """Continue on a finer grid; counts return to their observed positions."""
+def refine(
+    state: ModelState, transcripts: DataFrame, opts: Options, scale: int, states_fn: StatesFn | None = None, index: DataFrame | None = None
+) -> ModelState:
+    """Continue on a finer grid; counts return to their observed positions.
+
+    Frozen cells are not upsampled but voted again from their masks.
+    """
     if scale == 1:
         return state
     grid = state.grid.finer(scale)
     counts, binned = count_tables(transcripts, grid, opts)
-    states = materialize(initial.upsample(state.states, scale), "states")
+    states = initial.upsample(state.states, scale)
+    if state.frozen is not None and states_fn is not None and index is not None:
+        loose = materialize(states.join(state.frozen, "cell", "left_anti").select(*initial.STATE), "loose")
+        held = initial.recode_cells(states_fn(transcripts, grid).where("frozen"), index).where("cell IS NOT NULL")
+        held = held.join(loose.select("i", "j", "k"), ["i", "j", "k"], "left_anti")
+        states = initial.expand_vertically(loose.unionByName(held.select(*initial.STATE)), grid, lottery=True, frozen=state.frozen)
+    states = materialize(states, "states")
     return replace(
         state, grid=grid, states=states, counts=counts, layers=materialize(measures.layer_volume_surface(states, grid), "layers"),
         region=expectations.volumes(binned, grid),
@@ -148,7 +164,7 @@ def segment(transcripts: DataFrame, opts: Options, states_fn: StatesFn | None =
         state = gibbs.gibbs_step(state, opts, burnin=True, sample_z=False)
     for _ in range(opts.burnin_samples):
         state = iterate(state, opts, True, 1.0, False)
-    state = refine(state, t, opts, opts.resolution_scale)
+    state = refine(state, t, opts, opts.resolution_scale, states_fn, index)
     cooling = math.exp(math.log(0.01) / max(1, opts.cooling_iters or opts.burnin_samples))
     temperature = 1.0
     for it in range(opts.samples + opts.hillclimb):

@@ -241,8 +241,40 @@ def test_planted_cells_are_recovered(spark):
         state = gibbs.gibbs_step(state, opts, burnin=True, sample_z=False)
     n = 0
     for _ in range(2):
-        for _ in range(12):
+        for _ in range(9):
             state, _acc = morphology.sweep(state, opts, n, 1.0)
             n += 1
         state = gibbs.gibbs_step(state, opts, burnin=True)
     assert agreement(state) > start + 0.03
+
+
+def test_masks_with_fixed_cells_through_both_resolutions(spark, tmp_path):
+    """Fixed cells keep exactly their voxels; connectivity, scales and free dispersion run."""
+    from cellgrid.options import Options, validate
+    from cellgrid.plans.run import prior_states
+
+    rnd = np.random.default_rng(1)
+    rows = [(f"g{rnd.integers(6)}", float(x), float(y), 0.0, 1) for x, y in rnd.random((1500, 2)) * 24]
+    t = spark.createDataFrame(rows, "gene string, x double, y double, z double, n long").withColumns({c: F.lit(None).cast("string") for c in ("cell", "nucleus")})
+    masks, fixed = np.zeros((24, 24), "u4"), np.zeros((24, 24), "u4")
+    masks[2:8, 2:8], masks[2:8, 10:16], fixed[12:18, 4:10] = 1, 2, 1
+    for name, a in (("m", masks), ("f", fixed)):
+        np.save(tmp_path / f"{name}.npy", a)
+    opts = validate(Options(
+        burnin_voxel_size=2.0, voxel_size=1.0, voxel_layers=1, ncomponents=2, nhidden=2, nunfactored=3, sweeps_per_iter=2, init_iterations=1,
+        burnin_samples=1, samples=1, recorded_samples=1, hillclimb=0, cellpose_masks=str(tmp_path / "m.npy"), cellpose_masks_fixed=str(tmp_path / "f.npy"),
+        unmodeled_fixed_cells=True, enforce_connectivity=True, use_scaled_cells=True, variable_burnin_dispersion=True, expand_initialized_cells=1,
+        cell_compactness=1.0, check_consistency=True,
+    ))
+    r = segment.segment(t, opts, prior_states(spark, "", opts))
+    names = {x.cell_id: x.cell for x in r.index.collect()}
+    assert sorted(names.values()) == ["1", "1-fixed", "2"]
+    held = next(c for c, n in names.items() if n == "1-fixed")
+    got = {(x.i, x.j) for x in r.state.states.where(F.col("cell") == held).collect()}
+    g = r.state.grid
+    want = {(int((c + 0.5 - g.xmin) // 1), int((q + 0.5 - g.ymin) // 1)) for q in range(12, 18) for c in range(4, 10)}
+    assert got == want
+    fg = r.state.foreground.where(F.col("cell") == held).agg(F.sum("n")).first()[0]
+    from cellgrid.operators.measures import label_counts
+
+    assert fg == label_counts(r.state.counts, r.state.states).where(F.col("cell") == held).agg(F.sum("n")).first()[0]
