@@ -15,7 +15,7 @@ from cellgrid.operators.grid import Grid, grid_for, voxel_counts, voxelize
 from cellgrid.options import Options
 from cellgrid.plans import expectations, gibbs, morphology, repositioning
 from cellgrid.plans.state import Components, ModelState
-from cellgrid.session import materialize
+from cellgrid.session import Scratch, materialize
 
 StatesFn = Callable[[DataFrame, Grid], DataFrame]
 
@@ -127,7 +127,7 @@ def refine(
 
 def iterate(state: ModelState, opts: Options, burnin: bool, temperature: float, record: bool) -> ModelState:
     """One iteration: boundary sweeps, repositioning, parameters."""
-    flows = list(state.transitions)
+    flows = [] if state.transitions is None else [state.transitions]
     for n in range(opts.sweeps_per_iter):
         previous = state
         state, accepted = morphology.sweep(state, opts, n, temperature)
@@ -138,12 +138,16 @@ def iterate(state: ModelState, opts: Options, burnin: bool, temperature: float,
         if record:
             flows.append(materialize(moved, "flows"))
     state = gibbs.gibbs_step(state, opts, burnin)
-    recorded = state.recorded
-    if record:
-        recorded = (*recorded, materialize(state.foreground, "sample"))
     if opts.check_consistency:
         check_consistency(state)
-    return replace(state, transitions=tuple(flows), recorded=recorded)
+    if not record:
+        return state
+    sums = state.foreground if state.expected is None else state.expected.unionByName(state.foreground)
+    return replace(
+        state, recorded=state.recorded + 1,
+        expected=materialize(sums.groupBy("cell", "gene").agg(F.sum("n").alias("n")), "expected"),
+        transitions=materialize(_all(flows).groupBy("from_cell", "to_cell").agg(F.sum("n").alias("n")), "transitions"),
+    )
 
 
 def check_consistency(state: ModelState) -> None:
@@ -157,32 +161,42 @@ def check_consistency(state: ModelState) -> None:
 
 
 def segment(transcripts: DataFrame, opts: Options, states_fn: StatesFn | None = None) -> Result:
-    """Run the whole schedule on canonical transcripts."""
+    """Run the whole schedule on canonical transcripts.
+
+    After every iteration the tables of the previous one are deleted, so the
+    shared folder holds about two generations of the state.
+    """
+    with Scratch(transcripts.sparkSession) as scratch:
+        return _segment(transcripts, opts, states_fn, scratch)
+
+
+def _segment(transcripts: DataFrame, opts: Options, states_fn: StatesFn | None, scratch: Scratch) -> Result:
     t = prepare(transcripts, opts)
     state, index = initialize(t, opts, states_fn)
+
+    def settle(s: ModelState) -> ModelState:
+        scratch.release([t, index, *s.frames()])
+        return s
+
     for _ in range(opts.init_iterations):
-        state = gibbs.gibbs_step(state, opts, burnin=True, sample_z=False)
+        state = settle(gibbs.gibbs_step(state, opts, burnin=True, sample_z=False))
     for _ in range(opts.burnin_samples):
-        state = iterate(state, opts, True, 1.0, False)
-    state = refine(state, t, opts, opts.resolution_scale, states_fn, index)
+        state = settle(iterate(state, opts, True, 1.0, False))
+    state = settle(refine(state, t, opts, opts.resolution_scale, states_fn, index))
     cooling = math.exp(math.log(0.01) / max(1, opts.cooling_iters or opts.burnin_samples))
     temperature = 1.0
     for it in range(opts.samples + opts.hillclimb):
         if it > opts.samples:
             temperature *= cooling
         record = opts.samples - opts.recorded_samples <= it < opts.samples
-        state = iterate(state, opts, False, temperature, record)
+        state = settle(iterate(state, opts, False, temperature, record))
     if state.foreground is None:
         state = gibbs.gibbs_step(state, opts, burnin=False)
-    expected = flows = None
-    if state.recorded:
-        expected = measures.running_mean(_all(state.recorded), ["cell", "gene"], len(state.recorded))
-    if state.transitions:
-        flows = _all(state.transitions).groupBy("from_cell", "to_cell").agg(F.sum("n").alias("n"))
-    return Result(state, t, voxelize(t, state.grid), index, prep.gene_dictionary(t), expected, flows)
+    expected = measures.running_mean(state.expected, ["cell", "gene"], state.recorded) if state.expected is not None else None
+    return Result(state, t, voxelize(t, state.grid), index, prep.gene_dictionary(t), expected, state.transitions)
 
 
-def _all(tables: tuple[DataFrame, ...]) -> DataFrame:
+def _all(tables: list[DataFrame]) -> DataFrame:
     out = tables[0]
     for t in tables[1:]:
         out = out.unionByName(t)

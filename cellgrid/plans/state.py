@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, fields
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -62,13 +62,17 @@ class ModelState:
     iteration: int = 0
     frozen: DataFrame | None = None
     foreground: DataFrame | None = None
-    recorded: tuple[DataFrame, ...] = field(default=())
-    transitions: tuple[DataFrame, ...] = field(default=())
+    expected: DataFrame | None = None  # cell, gene, n: foreground summed over recorded samples
+    recorded: int = 0
+    transitions: DataFrame | None = None  # from_cell, to_cell, n: summed likewise
 
     @property
     def latents(self) -> int:
         return self.unfactored + self.hidden
 
+    def frames(self) -> list[DataFrame | None]:
+        return [getattr(self, f.name) for f in fields(self) if isinstance(getattr(self, f.name), DataFrame)]
+
     def loadings(self) -> DataFrame:
         """``theta`` for a join by gene."""
         return if_small(self.theta, self.genes, 8 * self.hidden + 64)

@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterable
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,6 +49,31 @@ def work_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir() or folder
 
 
+_current: ContextVar[Scratch | None] = ContextVar("scratch", default=None)
+
+
+class Scratch:
+    """Tables written while the block runs, so that superseded ones can be deleted."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, set[str]()
+
+    def __enter__(self) -> Scratch:
+        self._token = _current.set(self)
+        return self
+
+    def __exit__(self, *exc) -> None:
+        _current.reset(self._token)
+
+    def release(self, keep: Iterable[DataFrame | None]) -> None:
+        """Delete every table of this block that none of the frames in ``keep`` reads."""
+        used = {os.path.basename(os.path.dirname(f)) for df in keep if df is not None for f in df.inputFiles()}
+        for path in [p for p in self.paths if os.path.basename(p) not in used]:
+            target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
+            self.paths.discard(path)
+
+
 def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
@@ -56,4 +83,7 @@ def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     spark = df.sparkSession
     path = f"{work_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    scratch = _current.get()
+    if scratch is not None:
+        scratch.paths.add(path)
     return spark.read.schema(df.schema).parquet(path)

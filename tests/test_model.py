@@ -278,3 +278,19 @@ def test_masks_with_fixed_cells_through_both_resolutions(spark, tmp_path):
     from cellgrid.operators.measures import label_counts
 
     assert fg == label_counts(r.state.counts, r.state.states).where(F.col("cell") == held).agg(F.sum("n")).first()[0]
+
+
+def test_superseded_tables_are_deleted(spark, small):
+    import os
+
+    from cellgrid.session import Scratch, materialize
+
+    with Scratch(spark) as scratch:
+        a = materialize(spark.range(3), "a")
+        b = materialize(a.selectExpr("id + 1 AS id"), "b")
+        lazy = b.where("id > 1")
+        assert len(scratch.paths) == 2
+        scratch.release([lazy])
+        left = list(scratch.paths)
+    assert len(left) == 1 and os.path.basename(left[0]).startswith("b-") and os.path.isdir(left[0].removeprefix("file:"))
+    assert lazy.count() == 2
