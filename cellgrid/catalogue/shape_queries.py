@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cellgrid.catalogue import ctes as C
-from cellgrid.catalogue.inputs import binned, canonical, counts, keyed_states, labelled, prepared, rounded, states, voxelized
+from cellgrid.catalogue.inputs import binned, canonical, counts, keyed_states, labelled, rounded, states, voxelized
 from cellgrid.functions import scalar
 from cellgrid.functions.offsets import MOORE_2D
 from cellgrid.operators import density, initial, measures, outline, results
