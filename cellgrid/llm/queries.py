@@ -26,8 +26,39 @@ def op10_packing(spark: SparkSession, sf: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op6_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    from cellgrid.llm.decontamination import contaminated, find_spans, n_hit
+
+    found = find_spans(_table(spark, sf, "documents").select("doc_id", "text"), _table(spark, sf, "benchmark"))
+    return found.select(
+        "doc_id", F.col("_n_words").alias("n_words"), n_hit().alias("n_hit"), F.size("_items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("_items", ","), 256).alias("items_sha256"), contaminated().alias("contaminated"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op6_decontamination": op6_decontamination,
     "op10_packing": op10_packing,
 }
 
-SQL: dict[str, str] = {}
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_SPACED = r"'[^\x20\x09-\x0D]+'"
+_ALNUM = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+
+SQL: dict[str, str] = {
+    "op6_decontamination": f"""
+        with d as (select doc_id, regexp_extract_all({_LOWER}, {_ALNUM}) ws from documents),
+        i as (select distinct item_id, regexp_extract_all({_LOWER}, {_ALNUM}) ws from benchmark where item_id is not null),
+        iw as (select distinct item_id, least(13, len(ws)) m, array_to_string(ws[k:k + least(13, len(ws)) - 1], ' ') w
+               from (select item_id, ws, unnest(range(1, greatest(len(ws) - 13, 0) + 2)) k from i where len(ws) > 0)),
+        dw as (select doc_id, k, m, array_to_string(ws[k:k + m - 1], ' ') w
+               from (select doc_id, ws, m, unnest(range(1, len(ws) - m + 2)) k from d, (select distinct m from iw) where len(ws) >= m)),
+        hits as (select distinct doc_id, k, m, item_id from dw join iw using (m, w)),
+        words as (select doc_id, count(distinct p) n from (select doc_id, unnest(range(k, k + m)) p from hits) group by 1),
+        items as (select doc_id, count(*) n, string_agg(item_id, ',' order by item_id) ids
+                  from (select distinct doc_id, cast(item_id as varchar) item_id from hits) group by 1)
+        select d.doc_id, cast(len(ws) as bigint) n_words, coalesce(words.n, 0) n_hit, coalesce(items.n, 0) n_items,
+               sha256(coalesce(items.ids, '')) items_sha256,
+               coalesce(words.n, 0) > 0 and 20 * coalesce(words.n, 0) >= len(ws) contaminated
+        from d left join words using (doc_id) left join items using (doc_id)""",
+}

@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 BLOCK = 1 << 20  # bytes worked on at once; bounds scratch memory, not the input
 
@@ -175,7 +176,7 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 2 * BLOCK) -> Iterato
     if not batch.num_rows:
         return
     texts = batch.column(batch.schema.get_field_index(column))
-    sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(texts), 0), np.int64)
+    sizes = np.asarray(pc.fill_null(pc.binary_length(texts), 0), np.int64)
     group = (np.cumsum(sizes) - sizes) // most
     cuts = np.flatnonzero(np.diff(group)) + 1
     for low, high in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
