@@ -25,7 +25,7 @@ WORDS = Lexer("alnum", lower=True)
 
 _SPANS = T.ArrayType(T.StructType([T.StructField("first", T.LongType()), T.StructField("last", T.LongType())]))
 _SPANS_ARROW = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
-_FOUND = {"_n_words": T.LongType(), "_spans": _SPANS, "_items": T.ArrayType(T.StringType())}
+_FOUND = {"__n_words": T.LongType(), "__spans": _SPANS, "__items": T.ArrayType(T.StringType())}
 
 
 def _blocks(benchmark: DataFrame, window: int, block_words: int):
@@ -44,11 +44,11 @@ def _blocks(benchmark: DataFrame, window: int, block_words: int):
 
 
 def find_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """All columns of ``docs`` and ``_n_words``, ``_spans`` (disjoint ranges of hit words), ``_items`` (ids, sorted as strings).
+    """All columns of ``docs`` and ``__n_words``, ``__spans`` (disjoint ranges of hit words), ``__items`` (ids, sorted as strings).
 
     A null or empty text has no words.  Items without an id or without words are none;
     rows that repeat an item count once.  Each row of ``docs`` gives one row.  Columns of
-    ``docs`` must not begin with an underscore and one of these names.
+    ``docs`` must not have these names.
     """
     schema = T.StructType([*docs.schema.fields, *(T.StructField(k, t) for k, t in _FOUND.items())])
     spark = docs.sparkSession
@@ -62,17 +62,17 @@ def find_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, bloc
                 spans, items = shared.value.match(words)
                 n = piece.num_rows
                 before = {k: piece.column(piece.schema.get_field_index(k)) for k in _FOUND}
-                all_spans = [[(s["first"], s["last"]) for s in x] if x else [] for x in before["_spans"].to_pylist()]
-                all_items = [set(x or ()) for x in before["_items"].to_pylist()]
+                all_spans = [[(s["first"], s["last"]) for s in x] if x else [] for x in before["__spans"].to_pylist()]
+                all_items = [set(x or ()) for x in before["__items"].to_pylist()]
                 for first, last in spans:
                     d = int(words.doc[first])
                     all_spans[d].append((first - int(words.first[d]), last - int(words.first[d])))
                 for d, names in items.items():
                     all_items[d] |= names
                 made = {
-                    "_n_words": pa.array(words.first[1:] - words.first[:-1]) if n else pa.array([], pa.int64()),
-                    "_spans": pa.array([[{"first": a, "last": b} for a, b in merged(x)] for x in all_spans], _SPANS_ARROW),
-                    "_items": pa.array([sorted(x) for x in all_items], pa.list_(pa.string())),
+                    "__n_words": pa.array(words.first[1:] - words.first[:-1]) if n else pa.array([], pa.int64()),
+                    "__spans": pa.array([[{"first": a, "last": b} for a, b in merged(x)] for x in all_spans], _SPANS_ARROW),
+                    "__items": pa.array([sorted(x) for x in all_items], pa.list_(pa.string())),
                 }
                 yield pa.RecordBatch.from_arrays([made.get(f.name, piece.column(i)) for i, f in enumerate(piece.schema)], [f.name for f in piece.schema])
 
@@ -80,12 +80,12 @@ def find_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, bloc
     return docs
 
 
-def n_hit(spans: str = "_spans"):
+def n_hit(spans: str = "__spans"):
     return F.aggregate(F.col(spans), F.lit(0).cast("long"), lambda a, s: a + s["last"] - s["first"] + 1)
 
 
 def contaminated(coverage: int = COVERAGE):
-    return (n_hit() > 0) & (coverage * n_hit() >= F.col("_n_words"))
+    return (n_hit() > 0) & (coverage * n_hit() >= F.col("__n_words"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: int = COVERAGE) -> DataFrame:
@@ -99,7 +99,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, c
 
     def cut(batch: pa.RecordBatch):
         for piece in slices(batch, "text"):
-            at, spans = piece.schema.get_field_index("text"), piece.column(piece.schema.get_field_index("_spans")).to_pylist()
+            at, spans = piece.schema.get_field_index("text"), piece.column(piece.schema.get_field_index("__spans")).to_pylist()
             texts = piece.column(at)
             if any(spans):
                 words, values, offsets = find_words(texts, WORDS), texts.to_pylist(), text_buffer(texts)[1]

@@ -31,12 +31,19 @@ def op6_decontamination(spark: SparkSession, sf: str) -> DataFrame:
 
     found = find_spans(_table(spark, sf, "documents").select("doc_id", "text"), _table(spark, sf, "benchmark"))
     return found.select(
-        "doc_id", F.col("_n_words").alias("n_words"), n_hit().alias("n_hit"), F.size("_items").cast("long").alias("n_items"),
-        F.sha2(F.array_join("_items", ","), 256).alias("items_sha256"), contaminated().alias("contaminated"),
+        "doc_id", F.col("__n_words").alias("n_words"), n_hit().alias("n_hit"), F.size("__items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("__items", ","), 256).alias("items_sha256"), contaminated().alias("contaminated"),
     )
 
 
+def op3_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    from cellgrid.llm.substrings import removal_digest
+
+    return removal_digest(_table(spark, sf, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_substring_dedup": op3_substring_dedup,
     "op6_decontamination": op6_decontamination,
     "op10_packing": op10_packing,
 }
@@ -46,6 +53,15 @@ _SPACED = r"'[^\x20\x09-\x0D]+'"
 _ALNUM = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
 
 SQL: dict[str, str] = {
+    "op3_substring_dedup": f"""
+        with d as (select doc_id, regexp_extract_all(coalesce(text, ''), {_SPACED}) ws from documents),
+        w as (select doc_id, k, array_to_string(ws[k:k + 34], ' ') w from (select doc_id, ws, unnest(range(1, len(ws) - 33)) k from d where len(ws) >= 35)),
+        r as (select doc_id, k from w semi join (select w from w group by w having count(*) > 1) using (w)),
+        gone as (select distinct doc_id, unnest(range(k, k + 35)) p from r),
+        kept as (select doc_id, p, ws[p] x from (select doc_id, ws, unnest(range(1, len(ws) + 1)) p from d) anti join gone using (doc_id, p)),
+        s as (select doc_id, count(*) n, string_agg(x, ' ' order by p) t from kept group by 1)
+        select d.doc_id, cast(len(ws) as bigint) n_words, cast(len(ws) - coalesce(n, 0) as bigint) n_removed, sha256(coalesce(t, '')) kept_sha256
+        from d left join s using (doc_id)""",
     "op6_decontamination": f"""
         with d as (select doc_id, regexp_extract_all({_LOWER}, {_ALNUM}) ws from documents),
         i as (select distinct item_id, regexp_extract_all({_LOWER}, {_ALNUM}) ws from benchmark where item_id is not null),

@@ -48,10 +48,10 @@ def arrow_map(df: DataFrame, each: Callable[[pa.RecordBatch], Iterator[pa.Record
 
 
 def row_key(doc_id: str = "doc_id", text: str = "text") -> list[Column]:
-    """(``_id`` long, ``_th`` int), equal for two rows if and only if doc_id and text are equal.
+    """(``__id`` long, ``__th`` int), equal for two rows if and only if doc_id and text are equal.
 
     Documents without an id are told apart by their texts; rows that share an id, by
     a hash of the text.  Joins of documents with what was found in them use this pair.
     """
     text_ = F.coalesce(F.col(text), F.lit(""))
-    return [F.coalesce(F.col(doc_id).cast("long"), F.xxhash64(text_, F.lit("no id"))).alias("_id"), F.hash(text_).alias("_th")]
+    return [F.coalesce(F.col(doc_id).cast("long"), F.xxhash64(text_, F.lit("no id"))).alias("__id"), F.hash(text_).alias("__th")]
