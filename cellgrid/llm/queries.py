@@ -36,6 +36,12 @@ def op6_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op2_minhash(spark: SparkSession, sf: str) -> DataFrame:
+    from cellgrid.llm.neardup import near_duplicates
+
+    return near_duplicates(_table(spark, sf, "documents"))
+
+
 def op3_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
     from cellgrid.llm.substrings import removal_digest
 
@@ -43,6 +49,7 @@ def op3_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_minhash": op2_minhash,
     "op3_substring_dedup": op3_substring_dedup,
     "op6_decontamination": op6_decontamination,
     "op10_packing": op10_packing,
@@ -53,6 +60,16 @@ _SPACED = r"'[^\x20\x09-\x0D]+'"
 _ALNUM = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
 
 SQL: dict[str, str] = {
+    "op2_minhash": f"""
+        with recursive d as (select doc_id, regexp_extract_all({_LOWER}, {_SPACED}) ws from documents),
+        s as (select distinct doc_id, array_to_string(ws[k:k + 3], ' ') s
+              from (select doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 1) + 1)) k from d where len(ws) > 0)),
+        n as (select doc_id, count(*) n from s group by 1),
+        l as (select a, b from (select x.doc_id a, y.doc_id b, count(*) c from s x join s y on x.s = y.s and x.doc_id <> y.doc_id group by 1, 2) p
+              join n na on na.doc_id = a join n nb on nb.doc_id = b where 100 * c >= 80 * (na.n + nb.n - c)),
+        r as (select doc_id node, doc_id top from documents union select l.b, r.top from r join l on l.a = r.node)
+        select d.doc_id, coalesce(n.n, 0) n_shingles, min(top) component_id, min(top) = d.doc_id kept
+        from d left join n using (doc_id) join r on r.node = d.doc_id group by d.doc_id, n.n""",
     "op3_substring_dedup": f"""
         with d as (select doc_id, regexp_extract_all(coalesce(text, ''), {_SPACED}) ws from documents),
         w as (select doc_id, k, array_to_string(ws[k:k + 34], ' ') w from (select doc_id, ws, unnest(range(1, len(ws) - 33)) k from d where len(ws) >= 35)),
