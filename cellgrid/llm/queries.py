@@ -26,6 +26,16 @@ def op10_packing(spark: SparkSession, sf: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op5_sharding(spark: SparkSession, sf: str) -> DataFrame:
+    from cellgrid.llm.sharding import document_dimensions, shard
+
+    docs = _table(spark, sf, "documents")
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select("doc_id", "lang", "source", "n_chars", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
+    made = shard(rows, document_dimensions(), ["doc_id", "text_crc32"])
+    return made.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("__shard").alias("shard"), F.col("__slot").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), F.col("__place").alias("place"))
+
+
 def op6_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     from cellgrid.llm.decontamination import contaminated, find_spans, n_hit
 
@@ -51,6 +61,7 @@ def op3_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_minhash": op2_minhash,
     "op3_substring_dedup": op3_substring_dedup,
+    "op5_sharding": op5_sharding,
     "op6_decontamination": op6_decontamination,
     "op10_packing": op10_packing,
 }
