@@ -58,11 +58,25 @@ def op3_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return removal_digest(_table(spark, sf, "documents"))
 
 
+def op8_html_extraction(spark: SparkSession, sf: str) -> DataFrame:
+    from cellgrid.llm.html import extract
+
+    return extract(_table(spark, sf, "pages"))
+
+
+def op9_warc(spark: SparkSession, sf: str) -> DataFrame:
+    from cellgrid.llm.warc import round_trip
+
+    return round_trip(_table(spark, sf, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_minhash": op2_minhash,
     "op3_substring_dedup": op3_substring_dedup,
     "op5_sharding": op5_sharding,
     "op6_decontamination": op6_decontamination,
+    "op8_html_extraction": op8_html_extraction,
+    "op9_warc": op9_warc,
     "op10_packing": op10_packing,
 }
 
