@@ -58,6 +58,13 @@ def op3_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return removal_digest(_table(spark, sf, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    from cellgrid.llm.toxicity import score, train
+
+    docs = _table(spark, sf, "documents")
+    return score(docs, train(docs, _table(spark, sf, "labels")))
+
+
 def op8_html_extraction(spark: SparkSession, sf: str) -> DataFrame:
     from cellgrid.llm.html import extract
 
@@ -75,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_substring_dedup": op3_substring_dedup,
     "op5_sharding": op5_sharding,
     "op6_decontamination": op6_decontamination,
+    "op7_toxicity": op7_toxicity,
     "op8_html_extraction": op8_html_extraction,
     "op9_warc": op9_warc,
     "op10_packing": op10_packing,
