@@ -46,6 +46,14 @@ def op6_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op1_quality(spark: SparkSession, sf: str) -> DataFrame:
+    from cellgrid.llm.quality import with_verdict
+
+    docs = _table(spark, sf, "documents").select("doc_id", "text")
+    columns = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score"]
+    return with_verdict(docs, _table(spark, sf, "labels")).select("doc_id", *(F.col(f"__{c}").alias(c) for c in columns))
+
+
 def op2_minhash(spark: SparkSession, sf: str) -> DataFrame:
     from cellgrid.llm.neardup import near_duplicates
 
@@ -78,6 +86,7 @@ def op9_warc(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
     "op2_minhash": op2_minhash,
     "op3_substring_dedup": op3_substring_dedup,
     "op5_sharding": op5_sharding,
