@@ -14,7 +14,7 @@ that can be deep enough are built:
    ``window``; suffixes of equal rank are leaves below one internal node of that depth.
 4. A more frequent prefix is extended to the whole window.  Suffixes that share so long a
    prefix are below one deep node already; they are counted by a hash of 128 bits, with
-   partial aggregation, so that no task meets a group.
+   partial aggregation (also inside a task), so that no task meets a group.
 
 Windows below deep nodes are maximal repeats' windows; the words they cover are removed.
 """
@@ -34,7 +34,7 @@ from cellgrid.llm.cutting import cut_bytes
 from cellgrid.llm.store import arrow_map, drop_table, row_key, write_table
 from cellgrid.llm.words import Lexer, Words, find_words, gram_hashes, mix, slices, text_buffer
 
-WINDOW, PREFIX, GROUP_ROWS = 35, 12, 4_000
+WINDOW, PREFIX, GROUP_ROWS = 35, 12, 1_000
 WORDS = Lexer("space")
 
 
@@ -94,23 +94,44 @@ def _suffix_rows(batch: pa.RecordBatch, window: int, prefix: int):
 
     For prefixes of ordinary frequency: the words that their windows cover, from the first
     window's start on (``fp``, ``context``).  For frequent prefixes: each window on its
-    own, under a hash of its whole length (``fp``, ``more``).
+    own, under a hash of its whole length (``fp``, ``more``, ``leaves`` 1).  Windows that
+    the batch holds several times are below one node already: they come as ranges of words
+    (``start``, ``last``), and once as two leaves without a place.
     """
-    names = ["fp", "more", "__id", "__th", "start", "context"]
+    names = ["fp", "more", "leaves", "__id", "__th", "start", "last", "context"]
+    nothing = lambda at, kind: pa.nulls(len(at), kind)
     for piece in slices(batch, "text"):
         words = find_words(piece.column("text"), WORDS)
         starts, anchors, grams, kind = _selected(piece, words, window, prefix)
-        own = lambda at: [piece.column(k).take(pa.array(words.doc[at])) for k in ("__id", "__th")] + [pa.array((at - words.first[words.doc[at]]).astype(np.int32))]
+
+        def rows(at: np.ndarray, fp=None, more=None, leaves=None, last=None, context=None, piece=piece, words=words) -> pa.RecordBatch:
+            doc = words.doc[at]
+            place = lambda x: pa.array((x - words.first[doc]).astype(np.int32))
+            own = [piece.column(k).take(pa.array(doc)) for k in ("__id", "__th")]
+            codes = [nothing(at, pa.int64()) if x is None else pa.array(x.view(np.int64)) for x in (fp, more)]
+            return pa.RecordBatch.from_arrays(
+                [*codes, nothing(at, pa.int32()) if leaves is None else pa.array(np.full(len(at), leaves, np.int32)), *own, nothing(at, pa.int32()) if leaves == 2 else place(at), nothing(at, pa.int32()) if last is None else place(last), nothing(at, pa.string()) if context is None else context],
+                names,
+            )
+
         alone = starts[kind[anchors] == 2]
         if len(alone):
-            codes = [pa.array(gram_hashes(h, window)[alone].view(np.int64)) for h in (words.hash, mix(words.hash + np.uint64(1)))]
-            yield pa.RecordBatch.from_arrays([*codes, *own(alone), pa.nulls(len(alone), pa.string())], names)
+            codes = [gram_hashes(h, window)[alone] for h in (words.hash, mix(words.hash + np.uint64(1)))]
+            both = pd.Series(codes[0] ^ mix(codes[1]))
+            several = both.duplicated(keep=False).to_numpy()
+            once, first = ~several, several & ~both.duplicated().to_numpy()
+            yield rows(alone[once], *(c[once] for c in codes), leaves=1)
+            yield rows(alone[first], *(c[first] for c in codes), leaves=2)
+            deep = alone[several]
+            joined = (np.diff(deep) == 1) & (np.diff(words.doc[deep]) == 0)
+            low, high = deep[np.append(True, ~joined)[: len(deep)]], deep[np.append(~joined, True)[: len(deep)]]
+            yield rows(low, last=high + window - 1)
         keep = kind[anchors] == 1
         starts, anchors = starts[keep], anchors[keep]
         if len(starts):
             first = np.flatnonzero((np.diff(anchors, prepend=-1) != 0) | (np.diff(starts, prepend=-2) != 1))
             low, count = starts[first], np.diff(np.append(first, len(starts)))
-            yield pa.RecordBatch.from_arrays([pa.array(grams[anchors[first]].view(np.int64)), pa.nulls(len(low), pa.int64()), *own(low), _text_of(words, low, low + count + window - 1)], names)
+            yield rows(low, fp=grams[anchors[first]], context=_text_of(words, low, low + count + window - 1))
 
 
 def _text_of(words: Words, low: np.ndarray, high: np.ndarray) -> pa.Array:
@@ -186,14 +207,17 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX,
     shared = write_table(anchors.groupBy("fp").count().filter("count > 1").select("fp", (F.col("count") > group_rows).alias("frequent")), "prefixes")
     marks = anchors.join(shared, "fp").groupBy("__id", "__th").agg(F.collect_set(F.struct("pos", "frequent")).alias("marks"))
     marked = keyed.join(write_table(marks, "marks"), ["__id", "__th"])
-    suffixes = write_table(arrow_map(marked, lambda b: _suffix_rows(b, window, prefix), "fp long, more long, __id long, __th int, start int, context string"), "suffixes")
+    suffixes = write_table(arrow_map(marked, lambda b: _suffix_rows(b, window, prefix), "fp long, more long, leaves int, __id long, __th int, start int, last int, context string"), "suffixes")
     drop_table(anchors)
     grouped = suffixes.filter("context is not null").select("fp", "__id", "__th", "start", "context").repartition("fp").sortWithinPartitions("fp")
-    spans = grouped.mapInArrow(lambda batches: _subtrees(batches, window), "__id long, __th int, first long, last long")
-    alone = suffixes.filter("context is null").select("fp", "more", "__id", "__th", "start")
-    nodes = write_table(alone.groupBy("fp", "more").count().filter("count > 1").select("fp", "more"), "nodes")
-    below = alone.join(nodes, ["fp", "more"]).select("__id", "__th", F.col("start").cast("long").alias("first"), (F.col("start") + window - 1).cast("long").alias("last"))
-    return write_table(spans, "spans").unionByName(below).groupBy("__id", "__th").agg(F.collect_set(F.struct("first", "last")).alias("__spans"))
+    spans = write_table(grouped.mapInArrow(lambda batches: _subtrees(batches, window), "__id long, __th int, first long, last long"), "spans")
+    alone = suffixes.filter("leaves is not null").select("fp", "more", "leaves", "__id", "__th", "start")
+    nodes = write_table(alone.groupBy("fp", "more").agg(F.sum("leaves").alias("leaves")).filter("leaves > 1").select("fp", "more"), "nodes")
+    below = alone.filter("start is not null").join(nodes, ["fp", "more"]).withColumn("last", F.col("start") + window - 1)
+    known = suffixes.filter("last is not null")
+    others = below.select("__id", "__th", "start", "last").unionByName(known.select("__id", "__th", "start", "last"))
+    every = spans.unionByName(others.select("__id", "__th", F.col("start").cast("long").alias("first"), F.col("last").cast("long").alias("last")))
+    return every.groupBy("__id", "__th").agg(F.collect_set(F.struct("first", "last")).alias("__spans"))
 
 
 def _cover(piece: pa.RecordBatch, words: Words) -> np.ndarray:
