@@ -26,6 +26,12 @@ def op10_packing(spark: SparkSession, sf: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op4_lm_scoring(spark: SparkSession, sf: str) -> DataFrame:
+    from cellgrid.llm.scoring import score
+
+    return score(_table(spark, sf, "documents"), _table(spark, sf, "labels"))
+
+
 def op5_sharding(spark: SparkSession, sf: str) -> DataFrame:
     from cellgrid.llm.sharding import document_dimensions, shard
 
@@ -89,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_minhash": op2_minhash,
     "op3_substring_dedup": op3_substring_dedup,
+    "op4_lm_scoring": op4_lm_scoring,
     "op5_sharding": op5_sharding,
     "op6_decontamination": op6_decontamination,
     "op7_toxicity": op7_toxicity,

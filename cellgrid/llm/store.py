@@ -6,18 +6,27 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellgrid.session import work_dir
 
 
+BATCH_BYTES = 16 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Python tasks get Arrow batches of bounded size, however long the texts are."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def write_table(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` below the shared folder and read it back: lineage ends there.
 
     Shuffle files of the finished job are dropped, as nothing reads them again.
     """
     spark = df.sparkSession
+    bound_batches(spark)
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     path = f"{work_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
@@ -33,7 +42,7 @@ def drop_table(df: DataFrame) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def arrow_map(df: DataFrame, each: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch], schema: str, barrier: bool = False) -> DataFrame:
+def arrow_map(df: DataFrame, each: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch], schema: str) -> DataFrame:
     """``mapInArrow`` for a function of one batch that gives one batch or several."""
 
     def run(batches):
@@ -44,7 +53,8 @@ def arrow_map(df: DataFrame, each: Callable[[pa.RecordBatch], Iterator[pa.Record
             else:
                 yield from made
 
-    return df.mapInArrow(run, schema, barrier)
+    bound_batches(df.sparkSession)
+    return df.mapInArrow(run, schema)
 
 
 def row_key(doc_id: str = "doc_id", text: str = "text") -> list[Column]:
