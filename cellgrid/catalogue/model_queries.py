@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from cellgrid.catalogue import ctes as C
 from cellgrid.catalogue.inputs import binned, canonical, labelled, rounded, states
 from cellgrid.functions import scalar
-from cellgrid.functions.diffusion import EPS, displacement_probs
+from cellgrid.functions.diffusion import EPS
 from cellgrid.operators import measures
 from cellgrid.options import Options, validate
 from cellgrid.plans import expectations as X
@@ -175,8 +175,11 @@ FROM (SELECT gene, SUM(n) AS total_count FROM tx GROUP BY gene) g""")
     C.define("celloff", """SELECT o.cell, o.i - MIN(o.i) OVER (PARTITION BY o.cell) AS di, o.j - MIN(o.j) OVER (PARTITION BY o.cell) AS dj,
   o.k - MIN(o.k) OVER (PARTITION BY o.cell) AS dk FROM occ o""")
     for name, size, sigma in (("pnear", C.VOXEL_SIZE, 1.0), ("pfar", C.VOXEL_SIZE, 4.0), ("pdeep", 1.0 / C.LAYERS, 0.1)):
-        rows = ", ".join(f"({d}, CAST({p!r} AS DOUBLE))" for d, p in enumerate(displacement_probs(size, sigma)))
-        C.define(name, f"SELECT * FROM (VALUES {rows}) t(d, p)")
+        # Simpson's rule for the normal density under the triangle of start and end voxel
+        t, dist = f"({size!r} * (x.i / 2000.0 - 1))", f"(y.d * {size!r} + {size!r} * (x.i / 2000.0 - 1))"
+        C.define(name, f"""SELECT d, p FROM (SELECT y.d, SUM(CASE WHEN x.i IN (0, 4000) THEN 1 WHEN x.i % 2 = 1 THEN 4 ELSE 2 END
+  * ({size!r} - ABS({t})) * EXP(-{dist} * {dist} / {2.0 * sigma * sigma!r})) / 6000.0 / SQRT(2 * PI()) / {sigma!r} AS p
+  FROM (SELECT UNNEST(RANGE(0, 4001)) AS i) x CROSS JOIN (SELECT UNNEST(RANGE(0, 64)) AS d) y GROUP BY y.d) q WHERE d = 0 OR p >= {EPS}""")
     lp = "LEAST(CAST(0.999999 AS DOUBLE), (l_discount + 0.05) * 2)"
     lr = "(l_tax * 10 + 0.25)"
     x = "((l_quantity - 25.0) / 5.0)"

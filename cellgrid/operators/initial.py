@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from cellgrid.functions.offsets import VERTICAL, VON_NEUMANN, VON_NEUMANN_XY, Offset
 from cellgrid.functions.scalar import affine_det, affine_x, logistic
 from cellgrid.operators.grid import VOXEL, Grid, by_tile, neighbour_messages, tile_of
-from cellgrid.operators.skew import dense_index
+from cellgrid.operators.skew import dense_index, no_match
 
 STATE = [*VOXEL, "cell", "prior_cell", "log_prior", "log_1m_prior"]
 PRIOR = ["prior_cell", "log_prior", "log_1m_prior"]
@@ -226,7 +226,8 @@ def _expand(
 ) -> DataFrame:
     if frozen is not None:
         held = frozen.select("cell", F.lit(True).alias("held"))
-        states = states.join(held, "cell", "left").select(*STATE, F.coalesce("held", F.lit(False)).alias("held"))
+        keyed_states = states.withColumn("_c", no_match(F.col("cell"), *VOXEL))
+        states = keyed_states.join(held.withColumnRenamed("cell", "_c"), "_c", "left").select(*STATE, F.coalesce("held", F.lit(False)).alias("held"))
     else:
         states = states.select(*STATE, F.lit(False).alias("held"))
     got = _gather(states, grid, offsets, keep)

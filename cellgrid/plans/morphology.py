@@ -23,6 +23,7 @@ from cellgrid.functions.offsets import MOORE
 from cellgrid.functions.scalar import dot, halfnormal_logpdf, inverse_isoperimetric_quotient
 from cellgrid.operators.grid import VOXEL, Grid, in_grid, shift
 from cellgrid.operators.initial import STATE, mismatch_edges
+from cellgrid.operators.skew import no_match
 from cellgrid.options import Options
 from cellgrid.plans.state import ModelState
 from cellgrid.session import materialize
@@ -175,10 +176,12 @@ def evaluate(proposals: DataFrame, state: ModelState, opts: Options, temperature
     )
     p = proposals.join(neighbourhood(proposals, state.states, state.grid), TARGET)
     for side in ("cur", "prop"):
-        p = p.join(cells.select(*[F.col(c).alias(side if c == "cell" else f"{c}_{side}") for c in cells.columns]), side, "left")
+        # about half of all proposals have background on one side
+        p = p.withColumn("_c", no_match(F.col(side), *TARGET))
+        p = p.join(cells.select(*[F.col(c).alias("_c" if c == "cell" else f"{c}_{side}") for c in cells.columns]), "_c", "left")
         layer = state.layers.select(
-            F.col("cell").alias(side), F.col("k").alias("tk"), F.col("volume").alias(f"volume_{side}"), F.col("surface").alias(f"surface_{side}"))
-        p = p.join(layer, [side, "tk"], "left")
+            F.col("cell").alias("_c"), F.col("k").alias("tk"), F.col("volume").alias(f"volume_{side}"), F.col("surface").alias(f"surface_{side}"))
+        p = p.join(layer, ["_c", "tk"], "left").drop("_c")
         p = p.withColumns({f"{c}_{side}": F.coalesce(f"{c}_{side}", F.lit(0)) for c in ("volume", "surface")})
     p = materialize(p, "proposals")
     p = p.join(count_gain(p, state), TARGET, "left")
@@ -240,7 +243,7 @@ def apply_moves(state: ModelState, accepted: DataFrame) -> tuple[DataFrame, Data
 
 def sweep(state: ModelState, opts: Options, number: int, temperature: float = 1.0) -> tuple[ModelState, DataFrame]:
     """One round of proposals; returns the new state and the accepted flips."""
-    stage = F.lit(state.iteration * 4096 + number).cast("bigint")
+    stage = F.xxhash64(F.lit(state.iteration).cast("bigint"), F.lit(number).cast("bigint"))
     proposals = materialize(propose(state.states, state.grid, opts.seed, stage, opts.ab_nihlo_bubble_prob, state.frozen), "chosen")
     scored = evaluate(proposals, state, opts, temperature)
     accepted = scored.where(F.log(keyed.uniform(F.col("h"), 2)) < F.col("score"))

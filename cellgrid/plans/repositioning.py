@@ -17,14 +17,13 @@ from cellgrid.functions.literals import doubles
 from cellgrid.functions.scalar import dot
 from cellgrid.operators.grid import VOXEL, Grid, tile_of
 from cellgrid.operators.measures import COUNT_KEY, label_counts, merge_deltas, transitions
-from cellgrid.operators.skew import expand_copies
+from cellgrid.operators.skew import no_match
 from cellgrid.options import Options
 from cellgrid.plans.gibbs import binomial_udf
 from cellgrid.plans.state import ModelState
 from cellgrid.session import materialize
 
 OFFSET = ["di", "dj", "dk"]
-MANY = 64  # molecules above which an entry is split by multinomials
 
 
 def _lookup(probs: list[float], d: Column) -> Column:
@@ -57,31 +56,18 @@ def _split(probs: list[float]):
 def propose_moves(labelled: DataFrame, grid: Grid, opts: Options, iteration: int) -> DataFrame:
     """Draw displacements for all molecules and count equal ones: ``mi, mj, mk, m``.
 
-    Small entries draw per molecule from inverse tables; an entry that stands
-    for many molecules is split axis by axis with multinomials, so its cost
-    does not grow with its size.
+    Each entry is split axis by axis with multinomials, so its cost does not
+    grow with its size.
     """
     plane = mirrored(displacement_probs(grid.voxel_size, opts.diffusion_proposal_sigma))
     deep = mirrored(displacement_probs(grid.voxel_size_z, opts.diffusion_proposal_sigma_z))
-    rows = labelled.select(*COUNT_KEY, "cell", "n")
-
-    few = expand_copies(rows.where(F.col("n") <= F.lit(MANY)))
-    key = keyed.row_key(opts.seed, iteration, F.lit("move"), *COUNT_KEY, "copy")
-
-    def draw(probs: list[float], number: int) -> Column:
-        return (keyed.inverse_cdf(probs, keyed.uniform(F.col("key"), number)) - F.lit(len(probs) // 2)).cast("bigint")
-
-    few = few.withColumn("key", key).select(
-        *COUNT_KEY, "cell", draw(plane, 0).alias("mi"), draw(plane, 1).alias("mj"), draw(deep, 2).alias("mk"), F.lit(1).cast("bigint").alias("m"))
-
-    many, done = rows.where(F.col("n") > F.lit(MANY)).withColumnRenamed("n", "m"), []
+    moved, done = labelled.select(*COUNT_KEY, "cell", F.col("n").alias("m")), []
     for axis, probs in (("mk", deep), ("mj", plane), ("mi", plane)):
         at = keyed.row_key(opts.seed, iteration, F.lit(f"split {axis}"), *COUNT_KEY, *done)
-        many = many.withColumn("s", _split(probs)(at, F.col("m"))).drop("m").withColumn("s", F.explode("s"))
-        many = many.select(*COUNT_KEY, "cell", *done, F.col("s.d").alias(axis), F.col("s.m").alias("m"))
+        moved = moved.withColumn("s", _split(probs)(at, F.col("m"))).drop("m").withColumn("s", F.explode("s"))
+        moved = moved.select(*COUNT_KEY, "cell", *done, F.col("s.d").alias(axis), F.col("s.m").alias("m"))
         done.append(axis)
-
-    moved = few.unionByName(many.select(*few.columns)).where("mi <> 0 OR mj <> 0 OR mk <> 0")
+    moved = moved.where("mi <> 0 OR mj <> 0 OR mk <> 0")
     moved = moved.where((F.col("i") + F.col("mi") >= 0) & (F.col("j") + F.col("mj") >= 0) & (F.col("k") + F.col("mk")).between(0, grid.layers - 1))
     return moved.groupBy(*COUNT_KEY, "cell", "mi", "mj", "mk").agg(F.sum("m").alias("m"))
 
@@ -107,8 +93,9 @@ def score_moves(moves: DataFrame, state: ModelState, opts: Options) -> DataFrame
     pairs = m.select("cell", "gene").unionByName(m.select(F.col("to_cell").alias("cell"), "gene")).where("cell IS NOT NULL").distinct()
     lam = pairs.join(phi, "cell").join(state.loadings(), "gene").select("cell", "gene", _rate("phi", state.unfactored, state.hidden).alias("lam"))
     lam = materialize(lam, "rates")
-    m = m.join(lam.withColumnRenamed("lam", "lam_from"), ["cell", "gene"], "left")
-    m = m.join(lam.select(F.col("cell").alias("to_cell"), "gene", F.col("lam").alias("lam_to")), ["to_cell", "gene"], "left")
+    for cell, rate in (("cell", "lam_from"), ("to_cell", "lam_to")):  # background has no cell and no rate
+        m = m.withColumn("_c", no_match(F.col(cell), *VOXEL, "mi", "mj", "mk"))
+        m = m.join(lam.select(F.col("cell").alias("_c"), "gene", F.col("lam").alias(rate)), ["_c", "gene"], "left").drop("_c")
     m = m.join(state.background(), ["gene", "k0", "density"], "left")
     bg = F.coalesce("rate", F.lit(0.0))
     now = distance_prior(opts, state.grid, *[F.col(c) for c in OFFSET]) * (F.coalesce("lam_from", F.lit(0.0)) + bg)

@@ -91,7 +91,7 @@ def if_small(df: DataFrame, rows: int, width: int) -> DataFrame:
 
 
 def rng(seed: int, iteration: int, stage: int) -> np.random.Generator:
-    return np.random.Generator(np.random.Philox(key=[seed, (iteration << 8) + stage]))
+    return np.random.Generator(np.random.Philox(np.random.SeedSequence([seed, iteration, stage])))
 
 
 def volumes(layers: DataFrame) -> DataFrame:

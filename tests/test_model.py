@@ -78,6 +78,11 @@ def test_displacement_table_sums_to_one():
     for vs, sigma in ((1.0, 4.0), (2.0, 1.0), (0.25, 0.2)):
         p = mirrored(displacement_probs(vs, sigma))
         assert len(p) % 2 == 1 and abs(sum(p) - 1) < 2e-3 and p == p[::-1]
+        # chance of each voxel by many start positions
+        start = (np.arange(20_000) + 0.5) / 20_000 * vs
+        below = np.vectorize(lambda x: 0.5 * math.erfc(-x / (sigma * math.sqrt(2.0))))
+        for d in range(len(p) // 2 + 1):
+            assert abs(p[len(p) // 2 + d] - (below((d + 1) * vs - start) - below(d * vs - start)).mean()) < 1e-8
 
 
 def test_articulation(spark):
