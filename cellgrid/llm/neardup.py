@@ -8,10 +8,14 @@ of two sets agree with a probability of their similarity, and their share concen
 around it as for independent hashes.
 
 Documents with equal sets form a class, shown by its smallest doc_id.  Classes that share a
-band are compared on their full sets, but not all with all: each bucket names pivots, and
-members are compared with them until the bucket's members are one component or every member
-has been a pivot.  Only links inside a known component are left out, which no component
-can notice.  Components come from hooking and pointer jumping over tables.
+band are compared on their full sets, but not all with all.  Each bucket names a pivot, and
+its members are compared with that one.  Where a bucket's members are not one component
+then, members without a chance go: a set that has too few shingles in common with all other
+open sets together can't have enough in common with one.  Each bucket still open has an
+anchor, its largest component; all its other members are compared with the anchor's open
+members and with each other, in blocks of bounded size that give only the links found.
+So every pair of a bucket is compared but for pairs inside one component, where a further
+link changes nothing.  Components come from hooking and pointer jumping over tables.
 """
 
 from __future__ import annotations
@@ -26,6 +30,7 @@ from cellgrid.llm.store import arrow_map, drop_table, write_table
 from cellgrid.llm.words import Lexer, Words, find_words, mix, slices
 
 BANDS, ROWS = 32, 4  # two sets at similarity 0.8 share no band with probability 5e-8
+BLOCK = 256  # sets on either side of a block of comparisons
 WORDS = Lexer("space", lower=True)
 _SEEDS = np.random.Generator(np.random.PCG64(977)).integers(1, 1 << 63, 2 * 1024, dtype=np.uint64)
 
@@ -143,12 +148,93 @@ def components(edges: DataFrame) -> DataFrame:
     return out.select("node", F.col("up").alias("component"))
 
 
-def _pairs_by_pivot(members: DataFrame, groups: int, turn: int) -> tuple[DataFrame, DataFrame]:
-    """(bucket, pivot) with up to ``groups`` pivots a bucket, and the pairs of each with members of other components."""
-    slot = F.pmod(F.xxhash64("rep", F.lit(turn)), F.lit(groups))
-    pivots = write_table(members.groupBy("bucket", slot.alias("slot")).agg(F.min(F.struct("rep", "component")).alias("p")).select("bucket", F.col("p.rep").alias("pivot"), F.col("p.component").alias("pivot_component")), "pivots")
-    pairs = members.join(pivots, "bucket").filter("component <> pivot_component")
-    return pivots, pairs.select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
+def _pivot_pairs(members: DataFrame) -> DataFrame:
+    """Each member of a bucket with the bucket's smallest."""
+    pivots = write_table(members.groupBy("bucket").agg(F.min("rep").alias("pivot")), "pivots")
+    return members.join(pivots, "bucket").filter("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
+
+
+def _anchored(members: DataFrame) -> DataFrame:
+    """(anchor, rep, right, left, block): open members under each anchor; ``left`` marks those outside it, all are on the right."""
+    sizes = members.groupBy("bucket", "component").agg(F.count("*").alias("size"))
+    anchors = write_table(sizes.groupBy("bucket").agg(F.max(F.struct("size", F.col("component").alias("anchor"))).alias("m")).select("bucket", "m.anchor"), "anchors")
+    under = write_table(members.join(anchors, "bucket").groupBy("anchor", "rep").agg(F.max(F.col("component") != F.col("anchor")).alias("left")), "under")
+    # blocks by hash: about BLOCK members each, for the left and the right side on their own
+    counts = write_table(under.groupBy("anchor").agg(F.ceil(F.count("*") / BLOCK).alias("rights"), F.ceil(F.sum(F.col("left").cast("long")) / BLOCK).alias("lefts")), "counts")
+    placed = under.join(counts, "anchor")
+    right = placed.select("anchor", "rep", F.lit(False).alias("left"), F.pmod(F.xxhash64("rep"), "rights").alias("j"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("lefts") - 1)).alias("i"))
+    left = placed.filter("left").select("anchor", "rep", "left", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rights") - 1)).alias("j"), F.pmod(F.xxhash64("rep"), "lefts").alias("i"))
+    return left.unionByName(right)
+
+
+def _block_links(batches, size: int, percent: int):
+    """Links between the left and the right sets of each block; rows come ordered by block."""
+
+    def solve(rows: list[pa.RecordBatch]):
+        table = pa.Table.from_batches(rows).combine_chunks()
+        docs, grams = shingle_sets(find_words(table.column("text"), WORDS), size)
+        reps, left = np.asarray(table.column("rep")), np.asarray(table.column("left"))
+        codes, kinds = pd.factorize(grams)
+        sizes, bounds = np.bincount(docs, minlength=len(reps)), np.searchsorted(docs, np.arange(len(reps) + 1))
+        right = np.flatnonzero(~left[docs])
+        owner, right_codes = docs[right], codes[right]
+        mark = np.zeros(len(kinds), bool)
+        a, b = [], []
+        for k in np.flatnonzero(left):
+            mine = codes[bounds[k] : bounds[k + 1]]
+            mark[mine] = True
+            common = np.bincount(owner, mark[right_codes], len(reps))
+            mark[mine] = False
+            linked = np.flatnonzero((common * (100 + percent) >= percent * (sizes + sizes[k])) & (common > 0) & (reps != reps[k]))
+            a.append(np.full(len(linked), reps[k]))
+            b.append(reps[linked])
+        a, b = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (a, b))
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    held: list[pa.RecordBatch] = []
+    at = None
+    for batch in batches:
+        keys = list(zip(*(batch.column(k).to_pylist() for k in ("anchor", "i", "j")), strict=True))
+        low = 0
+        for k, key in enumerate(keys):
+            if at is not None and key != at:
+                held.append(batch.slice(low, k - low))
+                yield solve(held)
+                held, low = [], k
+            at = key
+        held.append(batch.slice(low))
+    if held:
+        yield solve(held)
+
+
+def _shingle_rows(batch: pa.RecordBatch, size: int):
+    for piece in slices(batch, "text"):
+        docs, grams = shingle_sets(find_words(piece.column("text"), WORDS), size)
+        yield pa.RecordBatch.from_arrays([piece.column("rep").take(pa.array(docs)), pa.array(grams.view(np.int64))], ["rep", "shingle"])
+
+
+def _with_chance(members: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Members that may link within their bucket.
+
+    A link needs common * (100 + percent) >= percent * (size + other size); what a set has
+    in common with one other is no more than what it has in common with all open sets.
+    """
+    reps = write_table(members.select("rep").distinct(), "open_reps")
+    shingles = write_table(arrow_map(texts.join(reps, "rep").select("rep", "text"), lambda b: _shingle_rows(b, size), "rep long, shingle long"), "shingles")
+    several = write_table(shingles.groupBy("shingle").count().filter("count > 1").select("shingle"), "several")
+    common = write_table(shingles.join(several, "shingle").groupBy("rep").agg(F.count("*").alias("common")), "common")
+    least = write_table(members.groupBy("bucket").agg(F.min("n").alias("least")), "least")
+    bound = members.join(common, "rep").join(least, "bucket").filter(F.col("common") * (100 + percent) >= percent * (F.col("n") + F.col("least")))
+    out = write_table(_open(write_table(bound.select(*members.columns), "bound")), "members")
+    for old in (reps, shingles, several, common, least):
+        drop_table(old)
+    return out
+
+
+def _open(members: DataFrame) -> DataFrame:
+    """Members of the buckets that hold several components."""
+    several = write_table(members.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("bucket"), "open")
+    return members.join(several, "bucket").select(*members.columns)
 
 
 def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80) -> DataFrame:
@@ -163,37 +249,25 @@ def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80) -> DataFr
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketches = write_table(arrow_map(named, lambda b: _sketch_rows(b, size), "doc_id long, n long, f1 long, f2 long, bands array<long>"), "sketches")
     known = sketches.filter("n > 0 and doc_id is not null")
-    classes = write_table(known.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.any_value("bands").alias("bands")), "classes")
-    banded = classes.select("rep", F.explode("bands").alias("bucket"))
-    shared = write_table(banded.groupBy("bucket").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low < high").select("bucket"), "buckets")
-    members = write_table(banded.join(shared, "bucket").select("bucket", "rep", F.col("rep").alias("component")), "members")
+    classes = write_table(known.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.any_value("n").alias("n"), F.any_value("bands").alias("bands")), "classes")
+    banded = classes.select(F.explode("bands").alias("bucket"), "rep", "n", F.col("rep").alias("component"))
+    members = write_table(_open(banded), "members")
     reps = write_table(members.select("rep").distinct(), "reps")
     texts = write_table(named.withColumnRenamed("doc_id", "rep").join(reps, "rep").groupBy("rep").agg(F.min("text").alias("text")), "texts")
-    links: DataFrame | None = None
-    label: DataFrame | None = None
-    turn = 0
-    while members.limit(1).count():
-        pivots, pairs = _pairs_by_pivot(members, 1 << turn, turn)
-        pairs = write_table(pairs, "pairs")
-        with_a = pairs.join(texts.select(F.col("rep").alias("a"), F.col("text").alias("text_a")), "a")
-        with_both = with_a.join(texts.select(F.col("rep").alias("b"), F.col("text").alias("text_b")), "b")
-        found = write_table(arrow_map(with_both.select("a", "b", "text_a", "text_b"), lambda b: _confirm_rows(b, size, percent), "a long, b long"), "links")
-        links = found if links is None else write_table(links.unionByName(found), "links")
-        label = components(links)
-        left = members.drop("component").join(pivots.select("bucket", F.col("pivot").alias("rep")), ["bucket", "rep"], "left_anti")
-        left = left.join(label.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        left = write_table(left, "left")
-        several = write_table(left.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("bucket"), "open")
-        fresh = write_table(left.join(several, "bucket").select("bucket", "rep", "component"), "members")
-        for old in (members, left, pairs, pivots):
-            drop_table(old)
-        members = fresh
-        turn += 1
+    pairs = write_table(_pivot_pairs(members), "pairs")
+    with_a = pairs.join(texts.select(F.col("rep").alias("a"), F.col("text").alias("text_a")), "a")
+    with_both = with_a.join(texts.select(F.col("rep").alias("b"), F.col("text").alias("text_b")), "b")
+    links = write_table(arrow_map(with_both.select("a", "b", "text_a", "text_b"), lambda b: _confirm_rows(b, size, percent), "a long, b long"), "links")
+    label = write_table(components(links), "labels")
+    known = members.drop("component").join(label.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", "n", F.coalesce("component", "rep").alias("component"))
+    members = write_table(_open(write_table(known, "known")), "members")
+    if members.limit(1).count():
+        blocks = _anchored(_with_chance(members, texts, size, percent)).join(texts, "rep").select("anchor", "i", "j", "left", "rep", "text")
+        ordered = blocks.repartition("anchor", "i", "j").sortWithinPartitions("anchor", "i", "j")
+        more = write_table(ordered.mapInArrow(lambda b: _block_links(b, size, percent), "a long, b long"), "links")
+        label = write_table(components(links.unionByName(more)), "labels")
     named_class = classes.select("f1", "f2", "rep")
-    if label is not None:
-        named_class = named_class.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("f1", "f2", F.coalesce("component", "rep").alias("component_id"))
-    else:
-        named_class = named_class.withColumnRenamed("rep", "component_id")
+    named_class = named_class.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("f1", "f2", F.coalesce("component", "rep").alias("component_id"))
     found = sketches.drop("bands").join(write_table(named_class, "named"), ["f1", "f2"], "left")
     component = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
     return found.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
