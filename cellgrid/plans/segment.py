@@ -35,7 +35,7 @@ class Result:
 
 def prepare(transcripts: DataFrame, opts: Options) -> DataFrame:
     """Drop transcripts far from any cell and normalise depth."""
-    t = transcripts
+    t = materialize(transcripts, "input")  # read several times below; the source is read once
     has_cells = not t.where(F.col("cell").isNotNull()).isEmpty() if "cell" in t.columns else False
     if has_cells:
         huge = prep.nuclei_population(t).where("too_large").take(1)
