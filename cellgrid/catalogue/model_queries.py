@@ -137,6 +137,17 @@ def transcript_repo(spark, sf):
     return state.counts
 
 
+def kmeans_cells(spark, sf):
+    """Every cell once, with a component that exists."""
+    return kmeans_init(spark, sf).select("cell", F.col("z").between(0, 2).alias("known"))
+
+
+def transcript_repo_totals(spark, sf):
+    """Molecules by column of origin after a step of moves: none is lost, made, or given to another origin."""
+    origin = [(F.col(v) - F.col(f"d{v}")).alias(v) for v in ("i", "j")]
+    return transcript_repo(spark, sf).select(*origin, "gene", "n").groupBy("i", "j", "gene").agg(F.sum("n").cast("bigint").alias("n"))
+
+
 def segment_small(spark, sf):
     """A complete run on a short schedule: final cell table."""
     return segment.result_cells(segment.segment(canonical(spark, sf), RUN))
@@ -158,6 +169,8 @@ QUERIES = {
     "voxel_sweep": voxel_sweep,
     "transcript_repo": transcript_repo,
     "segment_small": segment_small,
+    "kmeans_cells": kmeans_cells,
+    "transcript_repo_totals": transcript_repo_totals,
 }
 
 
@@ -203,6 +216,8 @@ FROM (SELECT cell, k0 AS latent, CAST(SUM(n) AS BIGINT) AS x FROM asg GROUP BY c
  (SELECT -SUM(v * CAST({vv} AS DOUBLE) * (p1 * s1 + p2 * s2)) AS b FROM phi, (SELECT SUM(t1) AS s1, SUM(t2) AS s2 FROM theta) s) q2,
  (SELECT SUM(COALESCE(b.n, 0) * LN(r.rate) - r.rate * COALESCE(v.volume, 0)) AS c FROM bgrate r
    LEFT JOIN bgn b ON b.gene = r.gene AND b.k0 = r.k0 AND b.density = r.density LEFT JOIN rvol v ON v.bin = r.density) q3""",
+        "kmeans_cells": "SELECT DISTINCT cell, TRUE AS known FROM occ",
+        "transcript_repo_totals": "SELECT i, j, gene, CAST(SUM(n) AS BIGINT) AS n FROM counts GROUP BY i, j, gene",
         "diffusion_prior": f"""SELECT cell, di, dj, dk, ROUND(LN(COALESCE(z.p, {EPS}) * (0.2 * COALESCE(fi.p, {EPS}) * COALESCE(fj.p, {EPS})
   + 0.8 * COALESCE(ni.p, {EPS}) * COALESCE(nj.p, {EPS}))), 6) AS logp FROM celloff
 LEFT JOIN pdeep z ON z.d = dk LEFT JOIN pfar fi ON fi.d = di LEFT JOIN pfar fj ON fj.d = dj
