@@ -12,6 +12,7 @@ from __future__ import annotations
 import html as entities
 import math
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,9 +34,9 @@ SCOPES = {"li": {"ul", "ol", "menu"}, "dd": {"dl"}, "dt": {"dl"}, "tr": {"table"
 # Elements, roles and names of page furniture.
 FURNITURE = frozenset("script style noscript template iframe nav footer aside form button select textarea input svg canvas object embed head title dialog menu".split())
 NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|sponsor(?:ed|s)?|promo(?:tion)?s?|banners?|cookies?|consent|gdpr|notices?|alerts?|popups?|modals?|overlays?"
+    r"(?:^|[\s_-])(ads?|adverts?|advertisements?|advertising|sponsor(?:ed|s)?|promo(?:tion)?s?|banners?|cookies?|consent|gdpr|notices?|alerts?|popups?|modals?|overlays?"
     r"|nav|navbar|navigation|menus?|breadcrumbs?|sidebars?|side|footers?|headers?|masthead|comments?|disqus|replies|respond|share|sharing|social|related|recommended"
-    r"|newsletter|subscribe|subscription|login|signup|search|widgets?|pagination|pager|toolbar)(?:$|[\s_-])",
+    r"|newsletter|subscribe|subscription|login|signup|search|widgets?|pagination|pager|toolbar)(?=$|[\s_-])",
     re.I,
 )
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog".split())
@@ -46,30 +47,38 @@ _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none|aria-hidden
 
 
 class Node:
-    __slots__ = ("tag", "parent", "items", "furniture", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "items", "furniture", "inside", "open_p", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
     def __init__(self, tag: str, parent: Node | None):
         self.tag, self.parent = tag, parent
+        self.inside = tag in ("article", "main") or (parent is not None and parent.inside)  # of an article
+        self.open_p = self if tag == "p" else None if parent is None or tag in ("table", "button") else parent.open_p
         self.items: list[Node | str] = []
-        self.furniture = False
+        self.furniture = 0
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
 
 
-def _is_furniture(tag: str, rest: str, parent: Node) -> bool:
+def _is_furniture(tag: str, rest: str, parent: Node) -> int:
+    """0: no; 1: by its kind; 2: by its name, which may also be that of a frame around everything."""
     if tag in FURNITURE:
-        return True
-    inside = _within(parent, ("article", "main"))
+        return 1
+    inside = parent.inside
     if tag == "header" and not inside:
-        return True
-    if not rest or tag in ("html", "body", "article", "main"):
-        return False
+        return 1
+    if not rest or tag in ("html", "body", "main"):
+        return 0
     if _HIDDEN.search(rest):
-        return True
+        return 1
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(rest)}
     if found.get("role", "").lower() in ROLES:
-        return True
-    return tag in BLOCK and any(NAMES.search(found[k]) for k in ("class", "id") if k in found)
+        return 1
+    names = {m[1].lower() for k in ("class", "id") if k in found for m in NAMES.finditer(found[k])}
+    if tag == "article":  # readers' comments often are articles of their own
+        names = {n for n in names if n.startswith(("comment", "repl"))}
+    elif inside:  # the article's own head
+        names -= {"header", "headers"}
+    return 2 * bool(tag in BLOCK and names)
 
 
 def _within(node: Node | None, tags: tuple[str, ...]) -> Node | None:
@@ -82,6 +91,16 @@ def parse(page: str) -> Node:
     """The page's tree; texts have their character references decoded.  Unclosed and stray tags are taken as browsers do in the main."""
     root = Node("#root", None)
     at, node, end = 0, root, len(page)
+    opened: Counter[str] = Counter()  # open elements by kind; each step's work is paid for by what it opens or closes
+
+    def close(up_to: Node) -> Node:
+        """Close elements until ``up_to`` is the innermost open one."""
+        inner = node
+        while inner is not up_to:
+            opened[inner.tag] -= 1
+            inner = inner.parent
+        return up_to
+
     while at < end:
         token = _TOKEN.search(page, at)
         stop = token.start() if token else end
@@ -94,22 +113,26 @@ def parse(page: str) -> Node:
             continue
         tag = token[2].lower()
         if token[1]:
-            opened = _within(node, (tag,))
-            if opened is not None and opened.parent is not None:
-                node = opened.parent
+            if opened[tag]:
+                node = close(_within(node, (tag,)).parent)
             continue
-        if tag in CLOSES_P:
-            open_p = _within(node, ("p", "table", "button"))
-            if open_p is not None and open_p.tag == "p":
-                node = open_p.parent
+        if tag in CLOSES_P and node.open_p is not None:
+            node = close(node.open_p.parent)
         if tag in SIBLINGS:
-            above: Node | None = node
-            while above is not None and above.tag not in SCOPES[tag]:
+            left, above, outer = sum(opened[t] for t in SIBLINGS[tag]), node, None
+            while left and above is not None and above.tag not in SCOPES[tag]:
                 if above.tag in SIBLINGS[tag]:
-                    node = above.parent
+                    left, outer = left - 1, above
                 above = above.parent
+            if outer is not None:
+                node = close(outer.parent)
         made = Node(tag, node)
         made.furniture = _is_furniture(tag, token[3], node)
+        if made.inside and not node.inside and not made.furniture:
+            above = node
+            while above is not None:  # a frame named for what else it holds
+                above.furniture = above.furniture if above.furniture == 1 else 0
+                above = above.parent
         node.items.append(made)
         if tag in RAW:
             closing = re.compile(rf"</{tag}\s*>|\Z", re.I).search(page, at)
@@ -117,6 +140,7 @@ def parse(page: str) -> Node:
             at = closing.end()
         elif tag not in VOID and not token[3].endswith("/"):
             node = made
+            opened[tag] += 1
     return root
 
 

@@ -143,4 +143,13 @@ SQL: dict[str, str] = {
                sha256(coalesce(items.ids, '')) items_sha256,
                coalesce(words.n, 0) > 0 and 20 * coalesce(words.n, 0) >= len(ws) contaminated
         from d left join words using (doc_id) left join items using (doc_id)""",
+    "op9_warc": """
+        with h as (select page_id, coalesce(html, '') html, sha1(coalesce(html, '')) x from pages),
+        d as (select page_id, cast(strlen(html) as bigint) payload_bytes,
+              array_to_string(list_transform(range(0, 32), lambda j: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', cast(1 + ((
+                  cast('0x' || substr(x, cast(1 + 5 * (j // 4) as integer), 5) as integer) >> cast(15 - 5 * (j % 4) as integer)) & 31) as integer), 1)), '') payload_digest from h),
+        m as (select payload_digest, max(page_id) top from d group by 1)
+        select page_id, payload_bytes, payload_digest, case when page_id = top then 'response' else 'revisit' end record_type,
+               case when page_id <> top then top end refers_to
+        from d join m using (payload_digest)""",
 }

@@ -140,12 +140,15 @@ def test_pages():
     assert html.main_text(page("<header>Site name</header>" + nav + article + comments)) == text
     plain = article.replace("<article>", "<div>").replace("</article>", "</div>")
     assert html.main_text(page(nav + plain + rest)) == text
+    framed = '<div class="page with-sidebar"><div class="sidebar">Left out words</div>' + article + '<div class="comments"><article class="comment"><p>A reader says something.</p></article></div></div>'
+    assert html.main_text(page(framed)) == text
+    assert html.main_text(page(article.replace("<h1>", '<div class="article-header"><h1>').replace("</h1>", "</h1></div>"))) == text
     assert html.main_text(page("<p>Only this.</p>")) == "Only this."
     for empty in (None, "", "   ", "<html></html>", page(nav), "<!-- x", "<p"):
         assert html.main_text(empty) in ("", "<p")
     assert html.main_text("just text & more") == "just text & more"
-    deep = "<div>" * 30_000 + "deep text"
-    assert html.main_text(deep) == "deep text"
+    for deep in ("<div>" * 100_000 + "deep text", "<span>" * 100_000 + "<li>" * 5_000 + "deep text", "<div>" * 50_000 + "</p>" * 50_000 + "deep text"):
+        assert html.main_text(deep) == "deep text"
 
 
 def test_extract_keeps_rows(spark):
