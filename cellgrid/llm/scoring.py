@@ -31,7 +31,8 @@ from cellgrid.llm.words import Lexer, Words, find_words, mix, slices
 VOCABULARY = 65_535  # words in the shared vocabulary; symbol 0 is every other word
 DISCOUNT = 0.75
 CHUNK_BYTES = 4 << 20  # documents that ask together
-SHARD_ENTRIES, CELL_ENTRIES = 2_000_000, 8_000_000  # stored bigrams in a model shard; asked ones in a task, both on average
+SHARD_ENTRIES, CELL_ENTRIES = 500_000, 8_000_000  # different bigrams in a model shard; asked ones in a task, both on average
+HELD_ENTRIES = 1_000_000  # sums that a task holds before it sends them on
 BROADCAST_IDS = 500_000  # more target documents than this are joined by a shuffle
 WORDS = Lexer("space", lower=True)
 
@@ -62,28 +63,48 @@ class _Sums:
 
     def add(self, *part: np.ndarray) -> None:
         self.parts.append(part)
-        if len(self.parts) > 1 and sum(len(p[0]) for p in self.parts[1:]) > len(self.parts[0][0]) + (1 << 20):
+        if len(self) > 2 * len(self.parts[0][0]) + (1 << 19):
             self.parts = [self.get()]
 
+    def __len__(self) -> int:
+        return sum(len(p[0]) for p in self.parts)
+
     def get(self) -> tuple[np.ndarray, ...]:
         return _summed(*(np.concatenate(c) for c in zip(*self.parts, strict=True)))
 
 
+def _counted(batches, keyed, rows):
+    """Corpus and target counts of what ``keyed`` finds, summed inside the task, as batches made by ``rows``."""
+    sums = _Sums()
+    for batch in batches:
+        for piece in slices(batch, "text"):
+            keys, words = keyed(piece)
+            target = np.asarray(piece.column("target").cast(pa.int8()), np.int64)[words.doc]
+            sums.add(*_summed(keys, np.ones(len(keys), np.int64), target))
+            if len(sums) > 2 * HELD_ENTRIES:
+                found = sums.get()
+                sums = _Sums()
+                if len(found[0]) > HELD_ENTRIES:
+                    yield from rows(*found)
+                else:
+                    sums.add(*found)
+    if sums.parts:
+        yield from rows(*sums.get())
+
+
 def vocabulary(marked: DataFrame, most: int = VOCABULARY) -> tuple[np.ndarray, np.ndarray]:
     """(word fingerprints in order, counts per symbol): the ``most`` most frequent words; counts[:, 0] are the corpus's, [:, 1] the target's."""
 
-    def count(batches):
-        sums = _Sums()
-        for batch in batches:
-            for piece in slices(batch, "text"):
-                words = find_words(piece.column("text"), WORDS)
-                target = np.asarray(piece.column("target").cast(pa.int8()), np.int64)[words.doc] if len(words) else np.zeros(0, np.int64)
-                sums.add(*_summed(words.hash, np.ones(len(words), np.int64), target))
-        if sums.parts:
-            keys, corpus, target = sums.get()
-            for low in range(0, len(keys), 1 << 16):
-                part = slice(low, low + (1 << 16))
-                yield pa.RecordBatch.from_arrays([pa.array(keys[part].view(np.int64)), pa.array(corpus[part]), pa.array(target[part])], ["word", "corpus", "target"])
+    def keyed(piece: pa.RecordBatch):
+        words = find_words(piece.column("text"), WORDS)
+        return words.hash, words
+
+    def rows(keys: np.ndarray, corpus: np.ndarray, target: np.ndarray):
+        for low in range(0, len(keys), 1 << 16):
+            part = slice(low, low + (1 << 16))
+            yield pa.RecordBatch.from_arrays([pa.array(keys[part].view(np.int64)), pa.array(corpus[part]), pa.array(target[part])], ["word", "corpus", "target"])
+
+    count = lambda batches: _counted(batches, keyed, rows)
 
     counted = marked.mapInArrow(count, "word long, corpus long, target long").groupBy("word").agg(F.sum("corpus").alias("corpus"), F.sum("target").alias("target"))
     stored = write_table(counted, "unigrams")
@@ -130,18 +151,15 @@ def count_bigrams(marked: DataFrame, known: np.ndarray, shards: int) -> DataFram
     """(shard, keys, corpus, target): the corpus's bigrams as one row of sorted arrays per shard."""
     shared = marked.sparkSession.sparkContext.broadcast(known)
 
-    def count(batches):
-        sums = _Sums()
-        for batch in batches:
-            for piece in slices(batch, "text"):
-                words = find_words(piece.column("text"), WORDS)
-                keys, _ = bigrams(words, shared.value)
-                target = np.asarray(piece.column("target").cast(pa.int8()), np.int64)[words.doc] if len(words) else np.zeros(0, np.int64)
-                sums.add(*_summed(keys, np.ones(len(keys), np.int64), target))
-        if sums.parts:
-            keys, corpus, target = sums.get()
-            order, bounds = _by_shard(keys, shards)
-            yield _arrays({"shard": np.arange(shards)}, bounds, {"keys": keys[order], "corpus": corpus[order].astype(np.uint32), "target": target[order].astype(np.uint32)})
+    def keyed(piece: pa.RecordBatch):
+        words = find_words(piece.column("text"), WORDS)
+        return bigrams(words, shared.value)[0], words
+
+    def rows(keys: np.ndarray, corpus: np.ndarray, target: np.ndarray):
+        order, bounds = _by_shard(keys, shards)
+        yield _arrays({"shard": np.arange(shards)}, bounds, {"keys": keys[order], "corpus": corpus[order].astype(np.uint32), "target": target[order].astype(np.uint32)})
+
+    count = lambda batches: _counted(batches, keyed, rows)
 
     def merge(batches):
         held: dict[int, _Sums] = {}
@@ -149,7 +167,8 @@ def count_bigrams(marked: DataFrame, known: np.ndarray, shards: int) -> DataFram
             columns = [batch.column(k).to_pylist() for k in ("shard", "keys", "corpus", "target")]
             for shard, *raw in zip(*columns, strict=True):
                 if raw[0]:
-                    held.setdefault(shard, _Sums()).add(*(np.frombuffer(x, np.uint32).astype(np.int64) for x in raw))
+                    keys, corpus, target = (np.frombuffer(x, np.uint32) for x in raw)
+                    held.setdefault(shard, _Sums()).add(keys, corpus.astype(np.int64), target.astype(np.int64))
         for shard, sums in held.items():
             keys, corpus, target = (x.astype(np.uint32) for x in sums.get())
             yield _arrays({"shard": np.array([shard])}, np.array([0, len(keys)]), {"keys": keys, "corpus": corpus, "target": target})
@@ -188,9 +207,9 @@ def fit(marked: DataFrame, most: int = VOCABULARY) -> tuple[DataFrame, Models, i
     """(bigram shards, bounded statistics, number of shards)."""
     known, counts = vocabulary(marked, most)
     tokens = counts.sum(0)
-    shards = max(1, int(tokens[0] // (8 * SHARD_ENTRIES)))  # a corpus has several times fewer repeated bigrams than tokens
-    table = count_bigrams(marked, known, shards)
     width = len(counts)
+    shards = max(1, int(min(tokens[0], width * width) // (4 * SHARD_ENTRIES)))  # different bigrams are several times fewer than tokens
+    table = count_bigrams(marked, known, shards)
 
     def contexts(batches):
         sums = np.zeros((width, 4), np.int64)
@@ -248,6 +267,8 @@ def score(docs: DataFrame, labels: DataFrame, most: int = VOCABULARY) -> DataFra
                 copy = int(mix(np.array([chunk], np.uint64))[0] % np.uint64(copies))
                 named = piece.column("doc_id")
                 for shard in range(shards):  # the first shard's row also names the documents
+                    if shard and bounds[shard] == bounds[shard + 1]:
+                        continue
                     part_ = slice(bounds[shard], bounds[shard + 1])
                     rows = {} if shard else {"ids": np.asarray(named.fill_null(0), np.int64), "null_ids": np.asarray(named.is_null()), "tokens": np.diff(words.first)}
                     yield _request(shard * copies + copy, chunk, keys=keys[part_], doc=doc[part_], n=n[part_], **rows)
