@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellgrid.functions.wkb import to_wkb
+from cellgrid.sinks.geoparquet import write_geoparquet
 from cellgrid.sources.files import exists, read_bytes, resolve, write_bytes
 from cellgrid.sources.zarr2 import write_array, write_group
 
@@ -119,8 +120,8 @@ def write_store(
     write_group(f"{path}/shapes")
     write_group(f"{path}/shapes/{SHAPES}", {
         "spatialdata_attrs": {"version": "0.2"}, "encoding-type": "ngff:shapes", "axes": ["x", "y"], "coordinateTransformations": _identity(["x", "y"])})
-    polygons.select("cell", to_wkb("rings").alias("geometry")).repartitionByRange("cell").sortWithinPartitions("cell").write.mode("overwrite").option(
-        "compression", "zstd").parquet(f"{path}/shapes/{SHAPES}/shapes.parquet")
+    shapes = polygons.select("cell", to_wkb("rings").alias("geometry")).repartitionByRange("cell").sortWithinPartitions("cell")
+    write_geoparquet(shapes, f"{path}/shapes/{SHAPES}/shapes.parquet")
     write_group(f"{path}/points")
     if transcripts is not None:
         write_group(f"{path}/points/{POINTS}", {

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import shutil
-
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -22,15 +20,19 @@ def write_parts(path: str, body: DataFrame, head: list[str], tail: list[str]) ->
 def join_parts(spark: SparkSession, path: str, target: str) -> None:
     """Concatenate the gzip parts into the single file some tools insist on.
 
-    Copies bytes through a fixed buffer, for results small enough for one local file.
+    Copies bytes through a fixed buffer of the file systems that hold the parts and the
+    target, for results small enough for one file.
     """
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path
+    hadoop = spark._jvm.org.apache.hadoop
     conf = spark._jsc.hadoopConfiguration()
-    with open(target, "wb") as out:
-        for name in ("0-head", "1-body", "2-tail"):
-            folder = fs_path(f"{path}/{name}")
-            fs = folder.getFileSystem(conf)
-            files = sorted(s.getPath().toString() for s in fs.listStatus(folder) if s.getPath().getName().startswith("part-"))
-            for f in files:
-                with open(f.removeprefix("file:"), "rb") as part:
-                    shutil.copyfileobj(part, out, 1 << 20)
+    at = hadoop.fs.Path(target)
+    out = at.getFileSystem(conf).create(at, True)
+    for name in ("0-head", "1-body", "2-tail"):
+        folder = hadoop.fs.Path(f"{path}/{name}")
+        fs = folder.getFileSystem(conf)
+        parts = {s.getPath().getName(): s.getPath() for s in fs.listStatus(folder)}
+        for _, part in sorted(x for x in parts.items() if x[0].startswith("part-")):
+            stream = fs.open(part)
+            hadoop.io.IOUtils.copyBytes(stream, out, 1 << 20, False)
+            stream.close()
+    out.close()
