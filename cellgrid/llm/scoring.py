@@ -1,7 +1,7 @@
 """Cross-entropy difference of documents under a target and a background language model.
 
 Both models are interpolated bigram models with absolute discounting over one vocabulary:
-the corpus's most frequent words, and one symbol for all others.  The target model counts
+the corpus's most frequent words (above a count), and one symbol for all others.  The target model counts
 labelled good documents, the background model all documents.  A document's score is its
 mean loss per token under the target model minus that under the background model; the
 lower, the more it reads like the target.
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from cellgrid.llm.store import arrow_map, drop_table, write_table
 from cellgrid.llm.words import Lexer, Words, find_words, mix, slices
 
-VOCABULARY = 65_535  # words in the shared vocabulary; symbol 0 is every other word
+VOCABULARY = 65_535  # words in the shared vocabulary at most; symbol 0 is every other word
 DISCOUNT = 0.75
 CHUNK_BYTES = 4 << 20  # documents that ask together
 SHARD_ENTRIES, CELL_ENTRIES = 500_000, 8_000_000  # different bigrams in a model shard; asked ones in a task, both on average
@@ -93,7 +93,11 @@ def _counted(batches, keyed, rows):
 
 
 def vocabulary(marked: DataFrame, most: int = VOCABULARY) -> tuple[np.ndarray, np.ndarray]:
-    """(word fingerprints in order, counts per symbol): the ``most`` most frequent words; counts[:, 0] are the corpus's, [:, 1] the target's."""
+    """(word fingerprints in order, counts per symbol); counts[:, 0] are the corpus's, [:, 1] the target's.
+
+    Words above a count, the lowest that leaves at most ``most`` of them; so equally
+    frequent words are in together or out together.
+    """
 
     def keyed(piece: pa.RecordBatch):
         words = find_words(piece.column("text"), WORDS)
@@ -109,7 +113,7 @@ def vocabulary(marked: DataFrame, most: int = VOCABULARY) -> tuple[np.ndarray, n
     counted = marked.mapInArrow(count, "word long, corpus long, target long").groupBy("word").agg(F.sum("corpus").alias("corpus"), F.sum("target").alias("target"))
     stored = write_table(counted, "unigrams")
     total = stored.agg(F.coalesce(F.sum("corpus"), F.lit(0)).alias("corpus"), F.coalesce(F.sum("target"), F.lit(0)).alias("target")).first()
-    top = stored.orderBy(F.desc("corpus"), "word").limit(most).toPandas()
+    top = stored.filter(F.col("corpus") > _cutoff(stored, most)).toPandas()  # at most ``most`` rows
     drop_table(stored)
     words = top["word"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(words)
@@ -118,6 +122,26 @@ def vocabulary(marked: DataFrame, most: int = VOCABULARY) -> tuple[np.ndarray, n
     return words[order], np.concatenate([rest, counts])
 
 
+def _cutoff(stored: DataFrame, most: int) -> int:
+    """The smallest count that no more than ``most`` words exceed, from a histogram on a logarithmic scale and one of the bin it falls in."""
+    bin_ = F.floor(F.log2("corpus") * 64)
+    coarse = stored.groupBy(bin_.alias("b")).agg(F.count("*").alias("n")).collect()  # at most 64 rows for each doubling
+    above, cut = 0, None
+    for b, n in sorted(((r["b"], r["n"]) for r in coarse), reverse=True):
+        if above + n > most:
+            cut = b
+            break
+        above += n
+    if cut is None:
+        return 0
+    fine = stored.filter(bin_ == cut).groupBy("corpus").agg(F.count("*").alias("n")).collect()  # counts within one hundredth of each other
+    for value, n in sorted(((r["corpus"], r["n"]) for r in fine), reverse=True):
+        above += n
+        if above > most:
+            return value
+    raise AssertionError("the bin holds the cutoff")
+
+
 def symbols(words: Words, known: np.ndarray) -> np.ndarray:
     """Symbol of each word."""
     if not len(known) or not len(words):
