@@ -99,7 +99,17 @@ def with_verdict(docs: DataFrame, labels: DataFrame, n: int = BUCKETS, threshold
     rows = with_base(with_ngrams(docs)).withColumn("__buckets", buckets(n))
     total = F.aggregate("__buckets", F.lit(0.0), lambda a, b: a + F.get(weights, b))
     scored = rows.withColumn("__score", F.when(F.size("__buckets") > 0, total / F.size("__buckets")).otherwise(F.lit(0.0)))
-    return scored.withColumn("__kept", ~F.col("__base_failed") & (F.col("__score") >= threshold)).drop("__words", "__pairs", "__buckets")
+    scored = scored.withColumn("__kept", ~F.col("__base_failed") & (F.col("__score") >= threshold)).drop("__words", "__pairs", "__buckets")
+    return scored.withColumns({c: _as_it_is(c) for c in scored.columns if c not in docs.columns})
+
+
+def _as_it_is(column: str) -> Column:
+    """The column, behind a condition that always holds but that the optimizer can't know.
+
+    Otherwise a filter on the column would be pushed below the steps that make the word
+    arrays, and every element of an array would make the array anew.
+    """
+    return F.when(F.spark_partition_id() >= 0, F.col(column))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
