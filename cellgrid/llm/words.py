@@ -171,7 +171,7 @@ def find_words(texts: pa.Array, lexer: Lexer) -> Words:
     return Words(data, start, end, doc, first, hashed)
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 2 * BLOCK) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, most: int = BLOCK) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that each part holds about ``most`` bytes of text at most, or one row."""
     if not batch.num_rows:
         return
