@@ -4,7 +4,9 @@ Public byte-level BPE vocabularies cut a text into pieces before they merge anyt
 and no merge crosses a cut.  Every ASCII white space is such a cut (a single blank goes
 with the word after it), so a text's ids are the ids of its blank-separated pieces, one
 after the other.  Pieces repeat; each different one is tokenised once and remembered.
-Texts with white space outside ASCII go through the tokenizer whole.
+Pieces are merged by tiktoken with the tokenizer file's own ranks.  Texts with white space
+outside ASCII, and texts that hold an added token's string (which is that token's id), go
+through the tokenizer itself.
 """
 
 from __future__ import annotations
@@ -28,9 +30,7 @@ def load_tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True  # a special token's string in a text is ordinary text
-    return tokenizer
+    return Tokenizer.from_file(path)
 
 
 def _byte_characters() -> dict[str, int]:
@@ -61,6 +61,9 @@ class Encoder:
         self.tokenizer, self.remember = load_tokenizer(path), remember
         self.ranked = _ranked(self.tokenizer)
         (self.newline,) = self.ranked.encode_ordinary("\n")
+        added = [t for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
+        self.added = [t.content.encode() for t in added]
+        self.uncut = any(t.lstrip or t.rstrip or t.single_word or re.search(r"\s", t.content) for t in added)  # blanks beside or in them count
         self._forget()
 
     def _forget(self) -> None:
@@ -99,8 +102,9 @@ class Encoder:
         """(ids of all texts in a row, where each text's ids begin and end); null is empty."""
         data, offsets = text_buffer(texts)
         raw = data.tobytes()
-        whole = {int(np.searchsorted(offsets, m.start(), "right") - 1) for m in _WIDE_SPACE.finditer(raw)}
-        edges, owner = self._parts(data, offsets)
+        marked = self._with_added(raw, offsets)
+        whole = marked | {int(np.searchsorted(offsets, m.start(), "right") - 1) for m in _WIDE_SPACE.finditer(raw)}
+        edges, owner = self._parts(data, offsets, marked if self.uncut else set())
         ids, counts = [np.zeros(0, np.uint32)], np.zeros(len(offsets) - 1, np.int64)
         for first, last in self._runs(edges, owner, whole):
             low, high = int(edges[first]), int(edges[last])
@@ -117,15 +121,28 @@ class Encoder:
         np.cumsum(counts, out=bounds[1:])
         return np.concatenate(ids), bounds
 
+    def _with_added(self, raw: bytes, offsets: np.ndarray) -> set[int]:
+        """Texts that hold the string of an added token."""
+        out: set[int] = set()
+        for token in self.added:
+            at = raw.find(token)
+            while at >= 0:
+                d = int(np.searchsorted(offsets, at, "right") - 1)
+                inside = at + len(token) <= int(offsets[d + 1])  # not across two texts
+                if inside:
+                    out.add(d)
+                at = raw.find(token, int(offsets[d + 1]) if inside else at + 1)
+        return out
+
     @staticmethod
-    def _parts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _parts(data: np.ndarray, offsets: np.ndarray, uncut: set[int]) -> tuple[np.ndarray, np.ndarray]:
         """Document edges, and further edges inside very long documents, at single blanks between words."""
         if not len(offsets) > 1 or int(np.diff(offsets).max()) <= 2 * _CUT:
             return offsets, np.arange(len(offsets) - 1)
         edges, owner = [0], []
         for d in range(len(offsets) - 1):
             low, end = int(offsets[d]), int(offsets[d + 1])
-            while end - low > 2 * _CUT:
+            while end - low > 2 * _CUT and d not in uncut:
                 near = data[low + _CUT : low + 2 * _CUT]
                 blank = np.flatnonzero((near[1:-1] == 0x20) & ~_SPACE[near[:-2]] & ~_SPACE[near[2:]])
                 if not len(blank):

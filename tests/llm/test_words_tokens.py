@@ -69,3 +69,16 @@ def test_ids_do_not_depend_on_memory_or_cuts(encoder, monkeypatch):
     monkeypatch.setattr(encoder, "remember", 40)
     _same(encoder, texts)
     _same(encoder, [t for _, t in S.nasty_texts() if t is None or len(t) < 5000])
+
+
+def test_added_tokens_have_their_own_ids(encoder, monkeypatch):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(PATH)
+    texts = ["one <|endoftext|> two", "<|endoftext|>", "a<|endoftext|><|endoftext|>b", "<|endof", "text|> <|endoftext", "|>", None, "no token", "x y <|endoftext|> z " * 40]
+    for cut in (tokens._CUT, 64):
+        monkeypatch.setattr(tokens, "_CUT", cut)
+        ids, bounds = encoder.encode(pa.array(texts, pa.string()))
+        for i, t in enumerate(texts):
+            assert ids[bounds[i] : bounds[i + 1]].tolist() == plain.encode(t or "", add_special_tokens=False).ids
+    assert plain.encode(texts[0], add_special_tokens=False).ids == [505, 220, 50256, 734]
