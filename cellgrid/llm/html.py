@@ -2,9 +2,11 @@
 
 Every node of the page's tree has its characters, tags, link characters and link tags.
 Its composite density is characters per tag, weighted by how little of it is links, on a
-scale set by the whole body.  The node whose children's densities have the largest sum
-heads the article; the smallest density on the way from it up to the body is the
-threshold below which link lists inside the article are left out.
+scale set by the whole body.  The smallest density on the way from the node whose children's
+densities have the largest sum up to the body is the threshold.  From the body down, every
+subtree that reaches it gives its own node of largest sum (or the article or main around
+that), loose texts are taken by the same measure, and headings that stand before such a
+node belong to it.  In what is taken, link lists below the threshold are left out.
 """
 
 from __future__ import annotations
@@ -28,6 +30,7 @@ BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6"
     " header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CLOSES_P = BLOCK - frozenset("body html caption dd dt legend li optgroup option tbody td tfoot th thead tr".split()) | {"li", "dd", "dt"}
 SIBLINGS = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = {"li": {"ul", "ol", "menu"}, "dd": {"dl"}, "dt": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
@@ -47,7 +50,7 @@ _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none|aria-hidden
 
 
 class Node:
-    __slots__ = ("tag", "parent", "items", "furniture", "inside", "open_p", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "items", "furniture", "inside", "open_p", "chars", "tags", "link_chars", "link_tags", "heading_chars", "density", "total")
 
     def __init__(self, tag: str, parent: Node | None):
         self.tag, self.parent = tag, parent
@@ -55,7 +58,7 @@ class Node:
         self.open_p = self if tag == "p" else None if parent is None or tag in ("table", "button") else parent.open_p
         self.items: list[Node | str] = []
         self.furniture = 0
-        self.chars = self.tags = self.link_chars = self.link_tags = 0
+        self.chars = self.tags = self.link_chars = self.link_tags = self.heading_chars = 0
         self.density = self.total = 0.0
 
 
@@ -160,11 +163,14 @@ def _measure(nodes: list[Node]) -> None:
     for node in reversed(nodes):
         if node.tag == "a":
             node.link_chars = node.chars
+        if node.tag in HEADINGS:
+            node.heading_chars = node.chars
         if node.parent is not None:
             up = node.parent
             up.chars += node.chars
             up.tags += node.tags + 1
             up.link_chars += node.link_chars
+            up.heading_chars += node.heading_chars
             up.link_tags += node.link_tags + (node.tag == "a")
 
 
@@ -179,8 +185,34 @@ def _densities(nodes: list[Node], body: Node) -> None:
         node.total = sum(x.density for x in node.items if isinstance(x, Node) and not x.furniture)
 
 
-def article(page: str) -> tuple[Node, float] | None:
-    """The node that heads the article, and the threshold; None if there is no text."""
+def _taken(nodes: list[Node], body: Node, threshold: float) -> set[Node]:
+    """Nodes that are taken whole: of each subtree that reaches the threshold, together with all above it, the one of largest sum."""
+    top = {n: n for n in nodes}  # node of largest sum in each subtree, of equal sums the first
+    for node in reversed(nodes):
+        for x in node.items:
+            if isinstance(x, Node) and not x.furniture and top[x].total > top[node].total:
+                top[node] = top[x]
+    heads: dict[Node, Node] = {}
+    taken: set[Node] = set()
+    inside = {body: False}  # nodes to look at: those whose parents reach the threshold; in a taken one or not
+    for node in nodes:
+        if node not in inside or (node is not body and node.density < threshold):
+            continue
+        best = top[node]
+        if not inside[node]:
+            if best not in heads:
+                up = best
+                while up is not body and up.tag not in BLOCK:
+                    up = up.parent
+                heads[best] = _within(best, ("article", "main")) or up
+            taken.add(heads[best])
+        within = inside[node] or node in taken
+        inside.update((x, within) for x in node.items if isinstance(x, Node) and not x.furniture)
+    return taken
+
+
+def article(page: str) -> tuple[Node, set[Node], float] | None:
+    """The body, the nodes that make up the article, and the threshold; None if there is no text."""
     root = parse(page)
     nodes = _order(root)
     body = next((n for n in nodes if n.tag == "body"), root)
@@ -196,7 +228,7 @@ def article(page: str) -> tuple[Node, float] | None:
     while up is not body and up.parent is not None:
         up = up.parent
         threshold = min(threshold, up.density)
-    return _within(best, ("article", "main")) or (best if best.tag in BLOCK else body), threshold
+    return body, _taken(nodes, body, threshold), threshold
 
 
 def main_text(page: str | None) -> str:
@@ -204,26 +236,47 @@ def main_text(page: str | None) -> str:
     found = article(page or "")
     if found is None:
         return ""
-    top, threshold = found
+    body, taken, threshold = found
+    above: set[Node] = set()  # nodes around taken ones
+    for node in taken:
+        while node is not body and node.parent not in above:
+            node = node.parent
+            above.add(node)
     blocks: list[list[str]] = [[]]
 
     def links_only(node: Node) -> bool:
         return node.tag in ("ul", "ol", "div", "section", "table") and node.link_tags > 1 and 2 * node.link_chars > node.chars and node.density < threshold
 
-    open_: list[Node | str | None] = [top]  # None: a block ends
+    def parts(node: Node) -> list[Node | str]:
+        """Of a node around taken ones: those, nodes around others, loose texts that reach the threshold, and headings before them."""
+        out, followed = [], False
+        for x in reversed(node.items):
+            if isinstance(x, str):
+                n = len("".join(x.split()))
+                if n and n * math.log(n) >= threshold:
+                    out.append(x)
+            elif x in taken or x in above:
+                out.append(x)
+                followed = True
+            elif followed and not x.furniture and 0 < x.chars == x.heading_chars:
+                out.append(x)
+        return out
+
+    open_: list[tuple[Node | str | None, bool]] = [(body, body in taken)]  # (None: a block ends, is it in a taken node)
     while open_:
-        item = open_.pop()
+        item, whole = open_.pop()
         if item is None:
             blocks.append([])
         elif isinstance(item, str):
             blocks[-1].append(item)
-        elif item is top or not (item.furniture or links_only(item)):
+        elif item in taken or item in above or not (item.furniture or links_only(item)):
             if item.tag == "br":
                 blocks[-1].append(" ")
             if item.tag in BLOCK:
                 blocks.append([])
-                open_.append(None)
-            open_.extend(reversed(item.items))
+                open_.append((None, whole))
+            whole = whole or item in taken or item not in above
+            open_.extend((x, whole) for x in (reversed(item.items) if whole else parts(item)))
     lines = (" ".join("".join(b).split()) for b in blocks)
     return "\n".join(x for x in lines if x)
 

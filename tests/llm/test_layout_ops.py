@@ -151,6 +151,20 @@ def test_pages():
         assert html.main_text(deep) == "deep text"
 
 
+def test_pages_with_text_in_several_wrappers():
+    line = lambda k: (f"Sentence {k} has some words in it. " * 14).strip()
+    half = lambda low: "<div>" + "".join(f"<p>{line(k)}</p>" for k in range(low, low + 5)) + "</div>"
+    text = "\n".join(line(k) for k in range(10))
+    advert = '<div class="ad"><p>Buy a lot of things now.</p></div>'
+    nav = "<ul>" + "".join(f'<li><a href="/{k}">Section {k}</a></li>' for k in range(8)) + "</ul>"
+    assert html.main_text(page(nav + "<div id=content>" + half(0) + advert + half(5) + "</div>" + nav)) == text
+    assert html.main_text(page(nav + "<div id=content><div><h1>The headline</h1></div>" + half(0) + advert + half(5) + "</div>" + nav)) == "The headline\n" + text
+    assert html.main_text(page(nav + half(0) + advert + half(5) + "<div><h2>More</h2>" + nav + "</div>")) == text
+    loose = "Loose words between the halves of it. " * 40
+    assert html.main_text(page(nav + "<div id=content>" + half(0) + loose + half(5) + "</div>")) == text.replace(line(5), loose.strip() + "\n" + line(5))
+    assert html.main_text(page("<article>" + half(0) + "</article>" + nav + "<article>" + half(5) + "</article>")) == text
+
+
 def test_extract_keeps_rows(spark):
     pages = spark.createDataFrame([(1, "u", page("<p>x y</p>"), "e"), (1, "u", page("<p>x y</p>"), "e"), (None, None, None, None)], "page_id long, url string, html string, text string")
     got = html.extract(pages).collect()
