@@ -274,6 +274,15 @@ def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80) -> DataFr
 
 
 def keep_one(docs: DataFrame, size: int = 4, percent: int = 80) -> DataFrame:
-    """``docs`` with its own columns, one document of each component: the one with the smallest doc_id."""
-    dropped = write_table(near_duplicates(docs, size, percent).filter("not kept").select(F.col("doc_id").alias("__id")).distinct(), "dropped")
-    return docs.join(dropped, docs["doc_id"].cast("long") == dropped["__id"], "left_anti")
+    """``docs`` with its own columns, one row of each component: one with the smallest doc_id, or one without if none has an id.
+
+    Here each row is a document of its own, so rows that repeat, rows that share an id and
+    rows without one are compared like all others.  Rows without words all stay.
+    """
+    rows = write_table(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    found = near_duplicates(rows.select(F.col("__row").alias("doc_id"), "text"), size, percent)
+    named = rows.select("__row", F.col("doc_id").cast("long").alias("__id"), F.xxhash64("text").alias("__th"))
+    member = found.select(F.col("doc_id").alias("__row"), "component_id").join(named, "__row")
+    first = member.groupBy("component_id").agg(F.min(F.struct(F.col("__id").isNull().alias("none"), "__id", "__th", "__row")).alias("first"))
+    kept = write_table(first.select(F.col("first.__row").alias("__row")), "kept")
+    return rows.join(kept, "__row", "left_semi").select(*(f"`{c}`" for c in docs.columns))

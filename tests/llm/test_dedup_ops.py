@@ -83,6 +83,18 @@ def test_keep_one_keeps_columns(spark):
     assert near_duplicates(docs.limit(0)).count() == 0 and keep_one(docs.limit(0)).count() == 0
 
 
+def test_one_row_of_each_component_survives_the_next_stage(spark):
+    rng = random.Random(8)
+    a, b, c, d, e = (S.sentence(rng, 60) for _ in range(5))
+    rows = [(2, a), (2, a), (2, a), (3, a + " tail"), (None, a), (None, b), (None, b), (None, b + " tail"), (4, c), (5, d), (5, e), (6, None), (6, None), (7, e + " TAIL")]
+    got = keep_one(S.frame(spark, rows)).select("doc_id", "text", "lang")
+    kept = got.collect()
+    assert sorted(str((r.doc_id, r.text)) for r in kept if r.doc_id is not None) == sorted(map(str, [(2, a), (4, c), (5, d), (5, e), (6, None), (6, None)]))
+    assert [r.text in (b, b + " tail") for r in kept if r.doc_id is None] == [True]
+    words = lambda rows_: sorted((str(r.doc_id), S.words(r.text)) for r in rows_)
+    assert words(remove_repeats(got).collect()) == words(kept)
+
+
 def test_sketch_fills_every_bin_and_estimates():
     import numpy as np
 
