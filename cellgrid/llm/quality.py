@@ -1,12 +1,14 @@
 """Document quality: base rules, and a hashed n-gram log-likelihood ratio.
 
-Words and word pairs are hashed to ``BUCKETS`` buckets.  Two multinomials over the buckets
-are counted: one from trusted documents, one from the whole corpus, each with one count
-added to every bucket.  A document's score is the mean of log(trusted / corpus) over its
+Words and word pairs are hashed to ``BUCKETS`` buckets and counted in trusted documents and
+in the whole corpus.  The trusted multinomial is smoothed towards the corpus one: it gets
+``PRIOR`` counts a bucket on average, in proportion to the corpus's shares.  So few trusted
+documents say little, and nothing is rejected for the size of the tables.  A document's own
+counts are left out of both models.  Its score is the mean of log(trusted / corpus) over its
 hashed n-grams, so it does not grow with length; documents below ``THRESHOLD`` go.
 
 Everything on the way is a DataFrame expression.  Counts are aggregated before they are
-shuffled; the weights are one array of fixed length in the plan.
+shuffled; the counts are two arrays of fixed length in the plan.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ from pyspark.sql import functions as F
 
 BUCKETS = 1 << 16
 THRESHOLD = -0.2  # mean log-likelihood ratio below which a document goes
+PRIOR = 2.0  # pseudo-counts of the trusted model, for each bucket on average
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 TRUSTED = 20_000  # bound of labelled documents that the trusted model is fitted on: those of smallest hash
 _SPACE = r"[\x20\x09-\x0D]+"
@@ -74,32 +77,72 @@ def trusted_ids(labels: DataFrame, most: int = TRUSTED) -> DataFrame:
     return good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).select(F.col("doc_id").alias("__trusted"))
 
 
-def log_ratios(docs: DataFrame, labels: DataFrame, n: int = BUCKETS, most: int = TRUSTED) -> list[float]:
-    """log(trusted / corpus) for each bucket, to six decimals; zeros if no document is trusted."""
-    rows = with_ngrams(docs.select("doc_id", "text").join(F.broadcast(trusted_ids(labels, most)), F.col("doc_id") == F.col("__trusted"), "left"))
+def _with_trusted(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
+    """``docs`` and ``__trusted``: the document's id if it is trusted, else null."""
+    return docs.join(F.broadcast(trusted_ids(labels, most)), F.col("doc_id") == F.col("__trusted"), "left")
+
+
+def bucket_counts(docs: DataFrame, labels: DataFrame, n: int = BUCKETS, most: int = TRUSTED) -> tuple[list[int], list[int]]:
+    """n-grams in each bucket: of all documents, of trusted ones."""
+    rows = with_ngrams(_with_trusted(docs.select("doc_id", "text"), labels, most))
     counted = rows.select(F.col("__trusted").isNotNull().cast("long").alias("trusted"), F.explode(buckets(n)).alias("bucket"))
     found = counted.groupBy("bucket").agg(F.count("*").alias("corpus"), F.sum("trusted").alias("trusted")).collect()  # one row for each bucket at most
-    corpus, trusted = [1] * n, [1] * n
+    corpus, trusted = [0] * n, [0] * n
     for r in found:
-        corpus[r["bucket"]] += r["corpus"]
-        trusted[r["bucket"]] += r["trusted"]
-    if sum(trusted) == n:
+        corpus[r["bucket"]], trusted[r["bucket"]] = r["corpus"], r["trusted"]
+    return corpus, trusted
+
+
+def log_ratios(corpus: list[int], trusted: list[int]) -> list[float]:
+    """log(trusted / corpus) for each bucket with one count added, to six decimals; zeros if no document is trusted."""
+    n = len(corpus)
+    if not any(trusted):
         return [0.0] * n
-    shift = math.log(sum(corpus)) - math.log(sum(trusted))
-    return [round(math.log(t) - math.log(c) + shift, 6) for t, c in zip(trusted, corpus, strict=True)]
+    shift = math.log(sum(corpus) + n) - math.log(sum(trusted) + n)
+    return [round(math.log(t + 1) - math.log(c + 1) + shift, 6) for t, c in zip(trusted, corpus, strict=True)]
+
+
+def _numbers(values: list) -> Column:
+    return F.split(F.lit(",".join(map(repr, values))), ",").cast("array<double>")
 
 
-def with_verdict(docs: DataFrame, labels: DataFrame, n: int = BUCKETS, threshold: float = THRESHOLD) -> DataFrame:
+def _with_mean_ratio(rows: DataFrame, corpus: list[int], trusted: list[int], prior: float) -> DataFrame:
+    """``rows`` (with buckets and ``__trusted``) and ``__mean``: its mean log ratio with ``prior``, its own counts left out."""
+    n, in_corpus, in_trusted = len(corpus), _numbers(corpus), _numbers(trusted)
+    own = F.when(F.col("__trusted").isNotNull(), F.lit(1.0)).otherwise(F.lit(0.0))
+    rows = rows.withColumns({"__sorted": F.sort_array("__buckets"), "__size": F.size("__buckets"), "__own": own})
+    last = F.filter(F.sequence(F.lit(0), F.col("__size") - 1), lambda i: F.coalesce(F.get("__sorted", i) != F.get("__sorted", i + 1), F.lit(True)))
+    rows = rows.withColumn("__last", F.when(F.col("__size") > 0, last))  # where each different bucket ends
+
+    def weight(i: Column, j: Column) -> Column:
+        times, b = (i - F.coalesce(F.get("__last", j - 1), F.lit(-1))).cast("double"), F.get("__sorted", i)
+        share = (F.get(in_corpus, b) - times + 1.0) / (F.lit(float(sum(corpus) + n)) - F.col("__size"))
+        return times * F.log((F.get(in_trusted, b) - times * F.col("__own")) / share + F.lit(prior * n))
+
+    total = F.aggregate(F.transform("__last", weight), F.lit(0.0), lambda a, x: a + x)
+    mean = total / F.col("__size") - F.log(F.lit(sum(trusted) + prior * n) - F.col("__own") * F.col("__size"))
+    return rows.withColumn("__mean", mean).drop("__sorted", "__size", "__own", "__last")
+
+
+def with_verdict(docs: DataFrame, labels: DataFrame, n: int = BUCKETS, threshold: float = THRESHOLD, prior: float | None = None) -> DataFrame:
     """``docs`` and, prefixed with ``__``: the base columns, ``__score`` and ``__kept``.
 
+    ``prior`` smooths as the module's text says (production: ``PRIOR``); without it both
+    models have one count added to every bucket and hold the document itself.
+
     A null or empty text has no words: it fails the base rules, its score is 0.  Each row
     gives one row, also if rows repeat.  Rows without a doc_id are scored like any other.
     """
-    weights = F.split(F.lit(",".join(map(repr, log_ratios(docs, labels, n)))), ",").cast("array<double>")
-    rows = with_base(with_ngrams(docs)).withColumn("__buckets", buckets(n))
-    total = F.aggregate("__buckets", F.lit(0.0), lambda a, b: a + F.get(weights, b))
-    scored = rows.withColumn("__score", F.when(F.size("__buckets") > 0, total / F.size("__buckets")).otherwise(F.lit(0.0)))
-    scored = scored.withColumn("__kept", ~F.col("__base_failed") & (F.col("__score") >= threshold)).drop("__words", "__pairs", "__buckets")
+    corpus, trusted = bucket_counts(docs, labels, n)
+    if prior is None:
+        rows = with_base(with_ngrams(docs)).withColumn("__buckets", buckets(n))
+        weights = _numbers(log_ratios(corpus, trusted))
+        rows = rows.withColumn("__mean", F.aggregate("__buckets", F.lit(0.0), lambda a, b: a + F.get(weights, b)) / F.size("__buckets"))
+    else:
+        rows = with_base(with_ngrams(_with_trusted(docs, labels, TRUSTED))).withColumn("__buckets", buckets(n))
+        rows = _with_mean_ratio(rows, corpus, trusted, prior).drop("__trusted")
+    scored = rows.withColumn("__score", F.when(F.size("__buckets") > 0, F.col("__mean")).otherwise(F.lit(0.0)))
+    scored = scored.withColumn("__kept", ~F.col("__base_failed") & (F.col("__score") >= threshold)).drop("__words", "__pairs", "__buckets", "__mean")
     return scored.withColumns({c: _as_it_is(c) for c in scored.columns if c not in docs.columns})
 
 
@@ -114,4 +157,4 @@ def _as_it_is(column: str) -> Column:
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` with its own columns, without the documents that the rules reject."""
-    return with_verdict(docs, labels).filter("__kept").select(*(f"`{c}`" for c in docs.columns))
+    return with_verdict(docs, labels, prior=PRIOR).filter("__kept").select(*(f"`{c}`" for c in docs.columns))

@@ -53,11 +53,11 @@ def op6_decontamination(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op1_quality(spark: SparkSession, sf: str) -> DataFrame:
-    from cellgrid.llm.quality import with_verdict
+    from cellgrid.llm.quality import PRIOR, with_verdict
 
     docs = _table(spark, sf, "documents").select("doc_id", "text")
     columns = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score"]
-    return with_verdict(docs, _table(spark, sf, "labels")).select("doc_id", *(F.col(f"__{c}").alias(c) for c in columns))
+    return with_verdict(docs, _table(spark, sf, "labels"), prior=PRIOR).select("doc_id", *(F.col(f"__{c}").alias(c) for c in columns))
 
 
 def op2_minhash(spark: SparkSession, sf: str) -> DataFrame:

@@ -8,6 +8,7 @@ import llm_samples as S
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from cellgrid.llm import quality, scoring, toxicity
 
@@ -63,6 +64,45 @@ def test_quality(spark, labelled):
     assert quality.with_verdict(docs.limit(0), labels).count() == 0
 
 
+def test_quality_with_prior(spark):
+    rows, good, n = [(i, t) for i, t in S.nasty_texts() if t is None or len(t) < 5000], {7, 10, 21}, 512
+    feature = lambda t: [spark_hash(x) % n for x in S.words(t)] + [spark_hash(a, b) % n for a, b in zip(S.words(t), S.words(t)[1:])]
+    corpus, trusted = Counter(), Counter()
+    for i, t in rows:
+        corpus.update(feature(t))
+        trusted.update(feature(t) if i in good else [])
+
+    def brute(i, t):
+        own = Counter(feature(t))
+        total = 0.0
+        for b, k in own.items():
+            c, r = corpus[b] - k, trusted[b] - k * (i in good)
+            share = (c + 1) / (corpus.total() - own.total() + n)
+            total += k * math.log((r + 3 * n * share) / (trusted.total() - own.total() * (i in good) + 3 * n) / share)
+        return total / max(1, own.total())
+
+    labels = spark.createDataFrame([(7, 1), (10, 1), (21, 1), (14, 0)], "doc_id long, quality int")
+    made = quality.with_verdict(S.frame(spark, rows), labels, n=n, prior=3.0)
+    assert not re.search("Python|Pandas|Arrow", made._jdf.queryExecution().executedPlan().toString())
+    want = sorted((str((i, t)), brute(i, t)) for i, t in rows)
+    got = sorted((str((r.doc_id, r.text)), r["__score"]) for r in made.collect())
+    assert all(a[0] == b[0] and abs(a[1] - b[1]) < 1e-9 for a, b in zip(got, want, strict=True))
+    assert all(abs(r["__score"]) < 1e-9 for r in quality.with_verdict(S.frame(spark, rows), labels.limit(0), n=n, prior=3.0).collect())
+
+
+@pytest.mark.parametrize("size,share", [("sf0.001", 1), ("sf0.001", 10), ("sf0.01", 1), ("sf0.01", 10), ("sf0.1", 1), ("sf0.1", 40)])
+def test_clean_documents_stay_at_any_size(spark, size, share):
+    docs, labels = (spark.read.parquet(f"/root/testdata/{size}/{t}.parquet") for t in ("documents", "labels"))
+    some = labels.filter(f"pmod(xxhash64(doc_id), {share}) = 0")
+    got = quality.with_verdict(docs.select("doc_id", "text"), some, prior=quality.PRIOR).filter("not __base_failed")
+    got = got.join(labels.groupBy("doc_id").agg({"quality": "min"}).toDF("doc_id", "quality"), "doc_id", "left")
+    kind = "case when quality = 1 then 'good' when quality = 0 then 'bad' when __n_symbols = 0 then 'clean' else 'other' end"
+    found = {r["kind"]: (r["gone"], r["n"]) for r in got.groupBy(F.expr(kind).alias("kind")).agg(F.expr("count_if(not __kept)").alias("gone"), F.count("*").alias("n")).collect()}
+    assert found["good"][1] > 50 and found["clean"][1] > 50
+    assert all(100 * found[k][0] <= found[k][1] for k in ("good", "clean")), found
+    assert (size, share) != ("sf0.1", 1) or 10 * found["bad"][0] > 9 * found["bad"][1]
+
+
 def test_quality_plan_is_native(spark):
     docs = S.frame(spark, S.nasty_texts())
     plan = quality.with_verdict(docs, spark.createDataFrame([(7, 1, 0)], "doc_id long, quality int, toxic int"), n=64)._jdf.queryExecution().executedPlan().toString()
