@@ -91,6 +91,25 @@ def op9_warc(spark: SparkSession, sf: str) -> DataFrame:
     return round_trip(_table(spark, sf, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_collocations(spark: SparkSession, sf: str) -> DataFrame:
+    from cellgrid.llm.phrases import collocations
+
+    return collocations(_table(spark, sf, "documents"))
+
+
+def op12_filter_audit(spark: SparkSession, sf: str) -> DataFrame:
+    from cellgrid.llm.audit import audit
+
+    return audit(_table(spark, sf, "documents"), _table(spark, sf, "labels"))
+
+
+def op13_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    from cellgrid.llm.lines import kept_text, with_bitmap
+
+    made = with_bitmap(_table(spark, sf, "documents"), ["doc_id", "text"])
+    return made.select("doc_id", "n_lines", "n_dropped", F.sha2(kept_text(F.col("text"), F.col("keep")), 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_minhash": op2_minhash,
@@ -102,6 +121,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_extraction": op8_html_extraction,
     "op9_warc": op9_warc,
     "op10_packing": op10_packing,
+    "op11_collocations": op11_collocations,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_line_dedup": op13_line_dedup,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -143,6 +165,48 @@ SQL: dict[str, str] = {
                sha256(coalesce(items.ids, '')) items_sha256,
                coalesce(words.n, 0) > 0 and 20 * coalesce(words.n, 0) >= len(ws) contaminated
         from d left join words using (doc_id) left join items using (doc_id)""",
+    "op11_collocations": rf"""
+        with d as (select coalesce(lang, 'und') lang, doc_id, unnest(regexp_split_to_array({_LOWER}, '[.,;:!?\x0A-\x0D]')) piece from documents),
+        w as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') ws from d),
+        g as (select lang, m, array_to_string(ws[i:i + m - 1], ' ') p, any_value(ws[i:i + m - 1]) ws, count(*) f
+              from (select lang, ws, m, unnest(range(1, len(ws) - m + 2)) i from w, (select unnest(range(1, 4)) m) where len(ws) >= m) group by 1, 2, 3),
+        n as (select lang, cast(sum(f) as bigint) n from g where m = 1 group by 1),
+        c as (select * from g where m > 1 and f >= 10),
+        inside as (select lang, array_to_string(ws[1:2], ' ') p, f from c where m = 3 union all select lang, array_to_string(ws[2:3], ' '), f from c where m = 3),
+        kept as (select * from c anti join (select c.lang, c.p from c join inside i on c.lang = i.lang and c.p = i.p and c.m = 2 where 100 * i.f >= 50 * c.f) using (lang, p)),
+        cut as (select c.lang, c.p, c.f a, k, x.f l, y.f r, (1000000::hugeint * c.f * c.f) // (x.f::hugeint * y.f) score
+                from (select *, unnest(range(1, m)) k from kept) c
+                join g x on x.lang = c.lang and x.p = array_to_string(c.ws[:k], ' ') join g y on y.lang = c.lang and y.p = array_to_string(c.ws[k + 1:], ' ')),
+        one as (select * from (select *, row_number() over (partition by lang, p order by score, k) q from cut) where q = 1)
+        select lang, rank, p phrase, cast(a as bigint) a, cast(l as bigint) l, cast(r as bigint) r, n, cast(score as bigint) score
+        from (select *, row_number() over (partition by lang order by score desc, a desc, encode(p)) rank from one) join n using (lang) where rank <= 2000""",
+    "op12_filter_audit": r"""
+        with d as (select doc_id, coalesce(source, '') part, coalesce(text, '') t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') ws from documents),
+        m as (select part, quality = 1 good, toxic = 1 toxic, [len(ws) < 50, 100 * len(list_distinct(ws)) < 65 * len(ws),
+                  100 * len(regexp_replace(t, '[^A-Z]+', '', 'g')) > 5 * len(t), regexp_matches(t, '[#$%&*|]'),
+                  coalesce(doc_id > min(doc_id) over (partition by t), false)] f
+              from d left join labels using (doc_id)),
+        c as (select part, f, count(*) n, count(*) filter (good) good, count(*) filter (toxic) toxic from m group by all),
+        l as (select unnest(range(1, 6)) x),
+        o as (select [a.x, b.x, c.x, d.x, e.x] o from l a, l b, l c, l d, l e where len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+        s as (select o, step, o[step] x, o[:step - 1] earlier from o, (select unnest(range(1, 6)) step)),
+        r as (select part, o, step, x, f[x] fails, list_bool_or(list_transform(earlier, lambda e: f[e])) is true gone,
+                  len(list_filter(f, lambda b: b)) = 1 alone, n, good, toxic from c, s),
+        a as (select part, o, step, x, sum(case when not fails and not gone then n else 0 end) kept, sum(case when fails and not gone then n else 0 end) removed,
+                  sum(case when fails and gone then n else 0 end) redundant, sum(case when fails and alone then n else 0 end) unique_fails,
+                  sum(case when fails and not gone then good else 0 end) good_lost, sum(case when fails and not gone then toxic else 0 end) toxic_lost from r group by all)
+        select part, array_to_string(list_transform(o, lambda i: substr('ABCDE', i, 1)), '') filter_order, cast(step as integer) step, cast(kept as bigint) kept,
+               cast(removed as bigint) removed, cast(redundant as bigint) redundant, cast(unique_fails as bigint) unique_fails, cast(good_lost as bigint) good_lost,
+               cast(toxic_lost as bigint) toxic_lost, cast(sum(removed) over (partition by part, x) as bigint) shapley from a""",
+    "op13_line_dedup": r"""
+        with d as (select doc_id, str_split(coalesce(text, ''), chr(10)) ls from documents),
+        l as (select doc_id, p, ls[p] line, translate(trim(ls[p], chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') k
+              from (select doc_id, ls, unnest(range(1, len(ls) + 1)) p from d)),
+        c as (select k from l where k <> '' group by k having count(distinct doc_id) >= 10),
+        s as (select doc_id, count(*) n, string_agg(line, chr(10) order by p) t from l anti join c using (k) group by 1)
+        select d.doc_id, cast(len(ls) as bigint) n_lines, cast(len(ls) - coalesce(n, 0) as bigint) n_dropped, sha256(coalesce(t, '')) kept_sha256
+        from d left join s using (doc_id)""",
     "op9_warc": """
         with h as (select page_id, coalesce(html, '') html, sha1(coalesce(html, '')) x from pages),
         d as (select page_id, cast(strlen(html) as bigint) payload_bytes,

@@ -62,6 +62,14 @@ def arrow_map(df: DataFrame, each: Callable[[pa.RecordBatch], Iterator[pa.Record
     return df.mapInArrow(run, schema)
 
 
+def unused(columns: list[str], name: str) -> str:
+    """``name``, with underscores before it until no column is called so."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def row_key(doc_id: str = "doc_id", text: str = "text") -> list[Column]:
     """(``__id`` long, ``__th`` int), equal for two rows if and only if doc_id and text are equal.
 
