@@ -101,16 +101,17 @@ def with_bitmap(docs: DataFrame, columns: list[str], names: tuple[str, str, str]
     lines = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
     count, have = unused([*docs.columns, *names], "count"), [docs[c] for c in columns]
     rows = docs.select(*have, *own, lines.cast("long").alias(count))
-    joined = rows.join(dropped.select(F.col("doc").alias(doc), F.col("twin").alias(twin), F.col("dropped").alias(gone)), [doc, twin], "left")
+    joined = rows.join(dropped.select(F.col("doc").alias(doc), F.col("twin").alias(twin), F.col("dropped").alias(gone)).hint("merge"), [doc, twin], "left")
     empty = F.array().cast("array<int>")
     cut = F.coalesce(F.col(gone), empty)
     return joined.select(*(joined[c] for c in columns), F.col(count).alias(n_lines), F.size(cut).cast("long").alias(n_dropped), _kept_runs(cut, F.col(count)).alias(keep))
 
 
 def kept_text(text: Column, keep: Column) -> Column:
-    """The lines that stay, joined by newlines."""
-    lines = _lines(text)
-    return F.array_join(F.flatten(F.transform(keep, lambda r: F.slice(lines, r["first"] + 1, r["length"]))), "\n")
+    """The lines that stay, joined by newlines.  The outer array of one element holds the lines, which are split once and not for each run."""
+    one = F.array(F.struct(_lines(text).alias("lines"), keep.alias("keep")))
+    parts = F.transform(one, lambda t: F.flatten(F.transform(t["keep"], lambda r: F.slice(t["lines"], r["first"] + 1, r["length"]))))
+    return F.array_join(F.get(parts, F.lit(0)), "\n")
 
 
 def line_bitmaps(docs: DataFrame, least: int = LEAST, keep_first: bool = False) -> DataFrame:
