@@ -10,12 +10,11 @@ count is the number of leaves below it.  The tree is split vertically by prefixe
 2. Prefixes are filed in ``BUCKETS`` buckets by hash; neighbouring buckets form groups of
    about one budget of occurrences.
 3. Suffixes go to the group of their prefix, equal ones of a slice of text as one row with
-   a count.  Each group is sorted and gives its subtrees: a node is a run of rows with the
-   same first words, its count the sum of the run's leaves.  Only the subtree of one first
-   word is held at a time.
-4. Nodes of two and three words with ``least`` occurrences are candidates.  The count of a
-   candidate's first part is on its path; that of the rest belongs to another subtree and
-   is fetched by a join.
+   a count.  Each group is sorted and gives its subtrees one below the other: a node is a
+   run of rows with the same first words, its count the sum of the run's leaves.  Only the
+   leaves below one node of two words are held at a time, equal ones as one row.
+4. Nodes of two and three words with ``least`` occurrences are candidates.  Counts of their
+   parts, which other subtrees hold, are fetched by joins.
 
 Suffixes with a rare first or second word can't be candidates and are left out; a bitmap of
 fixed size, filled from the words with ``least`` occurrences, tells them without misses.
@@ -41,7 +40,7 @@ BUDGET = 1 << 19  # occurrences in a group
 SHARE = 4_096
 BUCKETS = 1 << 16
 BITS = 1 << 24
-SLICE = 4 * BLOCK  # text in which equal suffixes become one row
+SLICE = 2 * BLOCK  # text in which equal suffixes become one row
 SALTS = 64  # parts of a language that are ranked on their own first
 
 WORDS = Lexer("space", lower=True)
@@ -78,7 +77,7 @@ def word_ids(piece: pa.RecordBatch) -> tuple[Words, np.ndarray, np.ndarray]:
 
 
 def extended(prefix: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """Code of a prefix with one more word; that of no words is 0."""
+    """Code of a prefix with one more word; that of one word is the word's id."""
     return mix(prefix * _ODD + word)
 
 
@@ -113,12 +112,11 @@ def _prefix_rows(batch: pa.RecordBatch, length: int, above: np.ndarray):
         _, ids, linked = word_ids(piece)
         at = np.flatnonzero(linked)
         words = [ids[at], ids[at + 1]]
-        code = mix(words[0])
+        code = words[0]
         if length == 3:
-            keep = np.flatnonzero(linked[at + 1])
-            at = at[keep]
+            at = at[linked[at + 1]]
             words = [ids[at], ids[at + 1], ids[at + 2]]
-            code = extended(mix(words[0]), words[1])
+            code = extended(words[0], words[1])
         keep = np.flatnonzero(_among(code, above))
         code = extended(code[keep], words[-1][keep])
         place, n = _counted(code)
@@ -127,13 +125,11 @@ def _prefix_rows(batch: pa.RecordBatch, length: int, above: np.ndarray):
 
 @dataclass
 class Forest:
-    """What every task knows: frequent words as a bitmap, extended prefixes (sorted codes, with counts), and the group of each bucket."""
+    """What every task knows: frequent words as a bitmap, extended prefixes (sorted codes), and the group of each bucket."""
 
     often: np.ndarray
     hot_words: np.ndarray
-    hot_word_counts: np.ndarray
     hot_pairs: np.ndarray
-    hot_pair_counts: np.ndarray
     group: np.ndarray
     word_rows: list[tuple[int, int]]  # (id, count) of extended words
     pair_rows: list[tuple[int, int, int]]  # (w1, w2, count) of extended pairs
@@ -144,37 +140,30 @@ class Forest:
 
 
 def _bucket(codes: np.ndarray) -> np.ndarray:
-    return (mix(codes + np.uint64(1)) % np.uint64(BUCKETS)).astype(np.int64)
+    return (codes & np.uint64(BUCKETS - 1)).astype(np.int64)
 
 
 def _suffix_rows(batch: pa.RecordBatch, forest: Forest):
-    """(group, w1, w2, w3, n): suffixes whose first two words are frequent; w3 is 0 if the piece ends or the third word is rare."""
+    """(key, w1, w2, w3, n): suffixes whose first two words are frequent; w3 is 0 if the piece ends or the third word is rare.
+
+    The key is the group and half of the code of the first two words, so rows ordered by
+    it keep subtrees together.
+    """
     for piece in slices(batch, "text", SLICE):
         _, ids, linked = word_ids(piece)
         often = forest.is_often(ids)
         at = np.flatnonzero(linked[:-1] & often[:-1] & often[1:]) if len(ids) else np.zeros(0, np.int64)
-        w1, w2 = ids[at], ids[at + 1]
-        later = np.minimum(at + 2, len(ids) - 1)
+        w1, w2, later = ids[at], ids[at + 1], np.minimum(at + 2, len(ids) - 1)
         w3 = np.where(linked[at + 1] & often[later], ids[later], np.uint64(0))
-        one = mix(w1)
-        two = extended(one, w2)
+        two = extended(w1, w2)
         three = extended(two, w3)
         place, n = _counted(three)
-        w1, w2, w3, one, two, three = (x[place] for x in (w1, w2, w3, one, two, three))
-        long, longer = _among(one, forest.hot_words), _among(two, forest.hot_pairs)
-        prefix = np.where(longer, three, np.where(long, two, one))
+        w1, w2, w3, two, three = (x[place] for x in (w1, w2, w3, two, three))
+        long, longer = _among(w1, forest.hot_words), _among(two, forest.hot_pairs)
+        prefix = np.where(longer, three, np.where(long, two, w1))
+        key = (forest.group[_bucket(prefix)].astype(np.int64) << 32) | (two >> np.uint64(32)).astype(np.int64)
         keep = ~longer | (w3 != 0)
-        out = [pa.array(forest.group[_bucket(prefix[keep])]), *(pa.array(w[keep].view(np.int64)) for w in (w1, w2, w3)), pa.array(n[keep])]
-        yield pa.RecordBatch.from_arrays(out, ["group", "w1", "w2", "w3", "n"])
-
-
-def _root_rows(batch: pa.RecordBatch, forest: Forest):
-    """A frequent word's own count as a row of its group, unless it was extended."""
-    code = mix(np.asarray(batch.column("id")).view(np.uint64))
-    keep = ~_among(code, forest.hot_words)
-    zeros = pa.array(np.zeros(int(keep.sum()), np.int64))
-    ids, n = batch.column("id").filter(pa.array(keep)), batch.column("n").filter(pa.array(keep))
-    return pa.RecordBatch.from_arrays([pa.array(forest.group[_bucket(code[keep])]), ids, zeros, zeros, n], ["group", "w1", "w2", "w3", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(key[keep]), *(pa.array(w[keep].view(np.int64)) for w in (w1, w2, w3)), pa.array(n[keep])], ["key", "w1", "w2", "w3", "n"])
 
 
 def _runs(*keys: np.ndarray) -> np.ndarray:
@@ -188,59 +177,42 @@ def _runs(*keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(change)
 
 
-def subtrees(group: np.ndarray, words: list[np.ndarray], n: np.ndarray, forest: Forest, least: int) -> list[np.ndarray]:
-    """Candidates (w1, w2, w3, a, l1, l2) of whole subtrees, given their sorted leaves.
+def leaves_of(rows: list[np.ndarray]) -> list[np.ndarray]:
+    """Rows (w1, w2, w3, n) in order, equal ones as one."""
+    order = np.lexsort((rows[2], rows[1], rows[0]))
+    rows = [x[order] for x in rows]
+    at = _runs(*rows[:3])
+    return [*(x[at] for x in rows[:3]), np.add.reduceat(rows[3], at) if len(at) else rows[3]]
+
+
+def subtrees(rows: list[np.ndarray], forest: Forest, least: int) -> list[np.ndarray]:
+    """Nodes (w1, w2, w3, a) of two words (w3 is 0) and of three words with ``least`` occurrences, from all leaves below their first two words."""
+    w1, w2, w3, n = leaves_of(rows)
+    pairs = _runs(w1, w2)
+    both = np.add.reduceat(n, pairs) if len(pairs) else n
+    flat = (both >= least) & ~_among(extended(w1[pairs].view(np.uint64), w2[pairs].view(np.uint64)), forest.hot_pairs)
+    deep = np.flatnonzero((n >= least) & (w3 != 0))
+    at = np.concatenate([pairs[flat], deep])
+    return [w1[at], w2[at], np.concatenate([np.zeros(int(flat.sum()), np.int64), w3[deep]]), np.concatenate([both[flat], n[deep]])]
 
-    ``l1`` and ``l2`` are the counts of the nodes of one and two words on the path; the
-    count of a word comes with its root row (w2 = 0) or, if extended, from the forest.
-    """
-    w1, w2, w3 = words
-    roots = _runs(group, w1)
-    of_root = np.repeat(np.arange(len(roots)), np.diff(np.append(roots, len(n))))
-    one = mix(w1[roots].view(np.uint64))
-    total = np.add.reduceat(np.where(w2 == 0, n, 0), roots) if len(roots) else np.zeros(0, np.int64)
-    known = _among(one, forest.hot_words)
-    total[known] = forest.hot_word_counts[np.searchsorted(forest.hot_words, one[known])]
-    pairs = _runs(group, w1, w2)
-    of_pair = np.repeat(np.arange(len(pairs)), np.diff(np.append(pairs, len(n))))
-    both = np.add.reduceat(n, pairs) if len(pairs) else np.zeros(0, np.int64)
-    two = extended(mix(w1[pairs].view(np.uint64)), w2[pairs].view(np.uint64))
-    extended_pair = _among(two, forest.hot_pairs)
-    both[extended_pair] = forest.hot_pair_counts[np.searchsorted(forest.hot_pairs, two[extended_pair])]
-    leaves = _runs(group, w1, w2, w3)
-    count = np.add.reduceat(n, leaves) if len(leaves) else np.zeros(0, np.int64)
-    deep = leaves[(count >= least) & (w3[leaves] != 0)]
-    a3 = count[(count >= least) & (w3[leaves] != 0)]
-    keep = (both >= least) & (w2[pairs] != 0) & ~extended_pair
-    flat = pairs[keep]
-    at = np.concatenate([flat, deep])
-    third = np.concatenate([np.zeros(len(flat), np.int64), w3[deep]])
-    return [w1[at], w2[at], third, np.concatenate([both[keep], a3]), total[of_root[at]], both[of_pair[at]]]
-
-
-def _candidate_rows(batches, forest: Forest, least: int):
-    """Rows come ordered by group and words; the last first word of a batch waits for the next batch."""
-    held: list[pa.RecordBatch] = []
-
-    def solve(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
-        table = pa.Table.from_batches(rows)
-        group, *columns = (table.column(c).to_numpy() for c in ("group", "w1", "w2", "w3", "n"))
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in subtrees(group, columns[:3], columns[3], forest, least)], ["w1", "w2", "w3", "a", "l1", "l2"])
 
+def _node_rows(batches, forest: Forest, least: int):
+    """Rows come ordered by key; those of a batch's last key wait for the next batch."""
+    held_key, held = None, None
     for batch in batches:
         if not batch.num_rows:
             continue
-        starts = _runs(np.asarray(batch.column("group")), np.asarray(batch.column("w1")))
-        last = int(starts[-1])
-        if held and last == 0 and held[-1].slice(held[-1].num_rows - 1).select(["group", "w1"]).equals(batch.slice(0, 1).select(["group", "w1"])):
-            held.append(batch)
-            continue
-        first = [*held, batch.slice(0, last)]
-        if sum(r.num_rows for r in first):
-            yield solve(first)
-        held = [batch.slice(last)]
-    if held:
-        yield solve(held)
+        key = np.asarray(batch.column("key"))
+        rows = [np.asarray(batch.column(c)) for c in ("w1", "w2", "w3", "n")]
+        if held is not None:
+            rows = [np.concatenate(x) for x in zip(held, rows, strict=True)]
+            key = np.concatenate([np.full(len(held[0]), held_key), key])
+        cut = int(np.searchsorted(key, key[-1]))
+        if cut:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in subtrees([x[:cut] for x in rows], forest, least)], ["w1", "w2", "w3", "a"])
+        held_key, held = key[-1], leaves_of([x[cut:] for x in rows])
+    if held is not None:
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in subtrees(held, forest, least)], ["w1", "w2", "w3", "a"])
 
 
 def _pack(loads: dict[int, int], budget: int) -> np.ndarray:
@@ -257,46 +229,29 @@ def _pack(loads: dict[int, int], budget: int) -> np.ndarray:
     return group
 
 
-def _load_rows(batch: pa.RecordBatch, hot: np.ndarray, column: str):
-    """(bucket, n) of the prefixes of a batch that are not extended; ``column`` holds their codes, or word ids if it is ``id``."""
-    code = np.asarray(batch.column(column)).view(np.uint64)
-    code = mix(code) if column == "id" else code
-    keep = ~_among(code, hot)
-    return pa.RecordBatch.from_arrays([pa.array(_bucket(code[keep])), batch.column("n").filter(pa.array(keep))], ["bucket", "n"])
-
-
-def _sorted_codes(codes: list[int], counts: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    code = np.array(codes, np.int64).view(np.uint64)
-    order = np.argsort(code)
-    return code[order], np.array(counts, np.int64)[order]
-
-
-def grow_forest(texts: DataFrame, frequent: DataFrame, total: int, budget: int) -> Forest:
+def grow_forest(texts: DataFrame, frequent: DataFrame, budget: int) -> Forest:
     """Extend prefixes above the budget, and pack all others into groups."""
-    hot = [(r["id"], r["n"]) for r in frequent.filter(F.col("n") > budget).select("id", "n").collect()]  # fewer than SHARE
-    codes = mix(np.array([r[0] for r in hot], np.int64).view(np.uint64)).view(np.int64)
-    words, word_counts = _sorted_codes(codes.tolist(), [r[1] for r in hot])
-    tables = [("id", frequent, words)]
-    pair_rows: list[tuple[int, int, int, int]] = []
-    if hot:
+    codes = lambda rows: np.sort(np.array([r[0] for r in rows], np.int64).view(np.uint64))
+    word_rows = [tuple(r) for r in frequent.filter(F.col("n") > budget).select("id", "n").collect()]  # fewer than SHARE
+    words, pair_rows, stored = codes(word_rows), [], []
+    if word_rows:
         counted = arrow_map(texts, lambda b: _prefix_rows(b, 2, words), "code long, w1 long, w2 long, n long")
-        longer = write_table(counted.groupBy("code", "w1", "w2").agg(F.sum("n").alias("n")), "pairs")
-        pair_rows = [tuple(r) for r in longer.filter(F.col("n") > budget).collect()]  # fewer than SHARE
-        tables.append(("code", longer, _sorted_codes([r[0] for r in pair_rows], [r[3] for r in pair_rows])[0]))
-    pairs, pair_counts = _sorted_codes([r[0] for r in pair_rows], [r[3] for r in pair_rows])
+        stored.append(write_table(counted.groupBy("code", "w1", "w2").agg(F.sum("n").alias("n")), "pairs"))
+        pair_rows = [tuple(r) for r in stored[-1].filter(F.col("n") > budget).collect()]  # fewer than SHARE
+    pairs = codes(pair_rows)
     if pair_rows:
         counted = arrow_map(texts, lambda b: _prefix_rows(b, 3, pairs), "code long, w1 long, w2 long, n long")
-        tables.append(("code", write_table(counted.groupBy("code").agg(F.sum("n").alias("n")), "triples"), np.zeros(0, np.uint64)))
+        stored.append(write_table(counted.groupBy("code").agg(F.sum("n").alias("n")), "triples"))
     loads: dict[int, int] = {}
-    for column, table, above in tables:
-        rows = arrow_map(table.select(column, "n"), lambda b, c=column, h=above: _load_rows(b, h, c), "bucket long, n long")
-        for r in rows.groupBy("bucket").agg(F.sum("n").alias("n")).collect():  # BUCKETS rows at most
+    for depth, table in enumerate([frequent.withColumnRenamed("id", "code"), *stored], 1):
+        left = table if depth == 3 else table.filter(F.col("n") <= budget)
+        for r in left.groupBy(F.col("code").bitwiseAND(F.lit(BUCKETS - 1)).alias("bucket")).agg(F.sum("n").alias("n")).collect():  # BUCKETS rows at most
             loads[r["bucket"]] = loads.get(r["bucket"], 0) + r["n"]
-        if table is not frequent:
-            drop_table(table)
+    for table in stored:
+        drop_table(table)
     place = F.col("id").bitwiseAND(F.lit(BITS - 1))
     maps = frequent.groupBy(F.bitmap_bucket_number(place).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).collect()  # BITS / 32768 rows
-    return Forest(_bitmap(maps), words, word_counts, pairs, pair_counts, _pack(loads, budget), hot, [r[1:] for r in pair_rows])
+    return Forest(_bitmap(maps), words, pairs, _pack(loads, budget), word_rows, [r[1:] for r in pair_rows])
 
 
 def _bitmap(maps: list) -> np.ndarray:
@@ -329,9 +284,7 @@ def _score(a: Column, left: Column, rest: Column) -> Column:
 
 def _candidates(nodes: DataFrame, forest: Forest) -> DataFrame:
     """Candidates of all subtrees, and the extended pairs, whose subtrees lie in several groups."""
-    of_word = dict(forest.word_rows)
-    known = [(w1, w2, 0, n, of_word[w1], n) for w1, w2, n in forest.pair_rows]
-    return nodes.unionByName(nodes.sparkSession.createDataFrame(known, nodes.schema))
+    return nodes.unionByName(nodes.sparkSession.createDataFrame([(w1, w2, 0, n) for w1, w2, n in forest.pair_rows], nodes.schema))
 
 
 def _not_contained(pairs: DataFrame, triples: DataFrame, percent: int) -> DataFrame:
@@ -347,21 +300,25 @@ def _scored(candidates: DataFrame, frequent: DataFrame, forest: Forest, budget:
     spark = candidates.sparkSession
     copies = lambda n: 1 + n // budget
     hot_words = spark.createDataFrame([(w, copies(n)) for w, n in forest.word_rows], "w long, copies long")
-    hot_pairs = spark.createDataFrame([(w1, w2, copies(n)) for w1, w2, n in forest.pair_rows], "w2 long, w3 long, copies long")
+    hot_pairs = spark.createDataFrame([(w1, w2, copies(n)) for w1, w2, n in forest.pair_rows], "w1 long, w2 long, copies long")
 
     def with_word(rows: DataFrame, k: str) -> DataFrame:
         known = frequent.select(F.col("id").alias(k), F.col("word").alias(f"word_{k}"), F.col("n").alias(f"n_{k}"), *(["lang"] if k == "w1" else []))
         return _lookup(rows, [k], known, hot_words.withColumnRenamed("w", k))
 
     pairs, triples = candidates.filter("w3 = 0"), candidates.filter("w3 <> 0")
-    rest = pairs.select(F.col("w1").alias("w2"), F.col("w2").alias("w3"), F.col("a").alias("r1"))
     two = with_word(with_word(_not_contained(pairs, triples, percent), "w1"), "w2")
-    two = two.select("lang", F.concat_ws(" ", "word_w1", "word_w2").alias("phrase"), "a", F.col("l1").alias("l"), F.col("n_w2").alias("r"), _score(F.col("a"), F.col("l1"), F.col("n_w2")).alias("score"))
-    three = with_word(with_word(with_word(_lookup(triples, ["w2", "w3"], rest, hot_pairs), "w1"), "w2"), "w3")
-    three = three.withColumns({"s1": _score(F.col("a"), F.col("l1"), F.col("r1")), "s2": _score(F.col("a"), F.col("l2"), F.col("n_w3"))})
+    two = two.select("lang", F.concat_ws(" ", "word_w1", "word_w2").alias("phrase"), "a", F.col("n_w1").alias("l"), F.col("n_w2").alias("r"), _score(F.col("a"), F.col("n_w1"), F.col("n_w2")).alias("score"))
+
+    def with_pair(rows: DataFrame, first: str, second: str, count: str) -> DataFrame:
+        return _lookup(rows, [first, second], pairs.select(F.col("w1").alias(first), F.col("w2").alias(second), F.col("a").alias(count)), hot_pairs.toDF(first, second, "copies"))
+
+    three = with_pair(with_pair(triples, "w1", "w2", "first_two"), "w2", "w3", "last_two")
+    three = with_word(with_word(with_word(three, "w1"), "w2"), "w3")
+    three = three.withColumns({"s1": _score(F.col("a"), F.col("n_w1"), F.col("last_two")), "s2": _score(F.col("a"), F.col("first_two"), F.col("n_w3"))})
     second = F.col("s2") < F.col("s1")
     pick = lambda x, y: F.when(second, F.col(x)).otherwise(F.col(y))
-    three = three.select("lang", F.concat_ws(" ", "word_w1", "word_w2", "word_w3").alias("phrase"), "a", pick("l2", "l1").alias("l"), pick("n_w3", "r1").alias("r"), pick("s2", "s1").alias("score"))
+    three = three.select("lang", F.concat_ws(" ", "word_w1", "word_w2", "word_w3").alias("phrase"), "a", pick("first_two", "n_w1").alias("l"), pick("n_w3", "last_two").alias("r"), pick("s2", "s1").alias("score"))
     return two.unionByName(three)
 
 
@@ -395,11 +352,10 @@ def collocations(docs: DataFrame, least: int = LEAST, contained_percent: int = C
     frequent = write_table(vocabulary.filter(F.col("n") >= least), "frequent")
     drop_table(vocabulary)
     budget = max(budget, -(-total // SHARE))
-    forest = grow_forest(texts, frequent, total, budget)
-    fields = "group int, w1 long, w2 long, w3 long, n long"
-    leaves = arrow_map(texts, lambda b: _suffix_rows(b, forest), fields).unionByName(arrow_map(frequent.select("id", "n"), lambda b: _root_rows(b, forest), fields))
-    ordered = leaves.repartition("group").sortWithinPartitions("group", "w1", "w2", "w3")
-    nodes = ordered.mapInArrow(lambda batches: _candidate_rows(batches, forest, least), "w1 long, w2 long, w3 long, a long, l1 long, l2 long")
+    forest = grow_forest(texts, frequent, budget)
+    leaves = arrow_map(texts, lambda b: _suffix_rows(b, forest), "key long, w1 long, w2 long, w3 long, n long")
+    ordered = leaves.repartition(F.shiftright("key", 32)).sortWithinPartitions("key")
+    nodes = ordered.mapInArrow(lambda batches: _node_rows(batches, forest, least), "w1 long, w2 long, w3 long, a long")
     nodes = write_table(nodes, "nodes")
     scored = _scored(_candidates(nodes, forest), frequent, forest, budget, contained_percent)
     found = write_table(_best(scored, top).join(sizes, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score"), "collocations")
