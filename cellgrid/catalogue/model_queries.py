@@ -13,14 +13,14 @@ from cellgrid.functions.diffusion import EPS
 from cellgrid.operators import measures
 from cellgrid.options import Options, validate
 from cellgrid.plans import expectations as X
-from cellgrid.plans import gibbs, morphology, repositioning, segment
+from cellgrid.plans import gibbs, morphology, passes, repositioning, segment
 from cellgrid.sources import fixtures as fx
 
 R, S = 1.5, 0.7
 SIGMA = 0.8
 RUN = validate(Options(
     burnin_voxel_size=2.0, voxel_size=2.0, voxel_layers=C.LAYERS, ncomponents=3, nhidden=4, nunfactored=8,
-    sweeps_per_iter=1, init_iterations=1, burnin_samples=1, samples=1, recorded_samples=1, hillclimb=0, seed=7,
+    init_iterations=1, burnin_samples=1, samples=1, recorded_samples=1, hillclimb=0, seed=7,
 ))
 
 
@@ -132,6 +132,12 @@ def voxel_sweep(spark, sf):
     return morphology.sweep(_started(spark, sf)[1], RUN, 0)[1]
 
 
+def voxel_passes(spark, sf):
+    """Decided proposals of one iteration's tile passes."""
+    decided = passes.tile_passes(_started(spark, sf)[1], RUN)[1]
+    return segment.union_all(decided).select("tu", "tv", "ti", "tj", "tk", "cur", "prop", F.round("delta", 6).alias("delta"), "accepted")
+
+
 def transcript_repo(spark, sf):
     state, _ = repositioning.reposition(_started(spark, sf)[1], RUN)
     return state.counts
@@ -167,6 +173,7 @@ QUERIES = {
     "kmeans_init": kmeans_init,
     "gibbs_step": gibbs_step,
     "voxel_sweep": voxel_sweep,
+    "voxel_passes": voxel_passes,
     "transcript_repo": transcript_repo,
     "segment_small": segment_small,
     "kmeans_cells": kmeans_cells,

@@ -73,7 +73,8 @@ class Options:
     recorded_samples: int = 100
     init_iterations: int = INIT_ITERATIONS
     cooling_iters: int | None = None
-    sweeps_per_iter: int = 8
+    morphology_steps_per_iter: int = 4000  # a quarter of it is proposed in each quad
+    sweeps_per_iter: int = 0  # above 0: so many sweeps of one proposal per cell in place of tile passes
     seed: int = 1
     check_consistency: bool = False
     # model
@@ -208,6 +209,8 @@ def validate(opts: Options) -> Options:
         raise ValueError("voxel_layers must be between 1 and 256")
     if not 1 <= opts.density_bins <= 16:
         raise ValueError("density_bins must be between 1 and 16")
+    if opts.morphology_steps_per_iter < 1 or opts.sweeps_per_iter < 0:
+        raise ValueError("morphology_steps_per_iter must be positive and sweeps_per_iter not negative")
     if opts.ncomponents < 1:
         raise ValueError("ncomponents must be positive")
     if opts.recorded_samples > opts.samples:

@@ -13,7 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
@@ -23,7 +23,7 @@ from cellgrid.operators.measures import cell_gene_counts, label_counts, unassign
 from cellgrid.options import Options
 from cellgrid.plans.state import (
     ALPHA_BG, ALPHA_THETA, ALPHA_VOLUME, BETA_BG, BETA_VOLUME, MU0_VOLUME, SIGMA0_VOLUME, TAU_SCALE,
-    Components, ModelState, rng, volumes,
+    Components, Metrics, ModelState, rng, volumes,
 )
 from cellgrid.session import materialize
 
@@ -129,14 +129,15 @@ def _allocate(seed: int, unfactored: int):
                 parts.append(pd.DataFrame({"at": mix[row], "latent": k + unfactored, "x": split[row, k]}))
             out = pd.concat(parts, ignore_index=True)
             out = out[out["x"] > 0]
-            who = b[["cell", "gene", "k0", "density"]].iloc[out["at"].to_numpy()].reset_index(drop=True)
-            yield pd.concat([who, out[["latent", "x"]].reset_index(drop=True)], axis=1)
+            b["log_lam"] = np.log(np.maximum(lam, 1e-300))
+            who = b[["cell", "gene", "k0", "density", "log_lam"]].iloc[out["at"].to_numpy()].reset_index(drop=True)
+            yield pd.concat([who, out[["latent", "x"]].reset_index(drop=True)], axis=1)[["cell", "gene", "k0", "density", "latent", "x", "log_lam"]]
 
     return run
 
 
 def allocate(state: ModelState, assigned: DataFrame, opts: Options, iteration: int) -> DataFrame:
-    """Split assigned counts into background (latent -1) and latent factors."""
+    """Split assigned counts into background (latent -1) and latent factors; ``log_lam`` is the log rate of the cell's own part."""
     u, h = state.unfactored, state.hidden
     phi = state.cells.select("cell", "phi")
     both = assigned.join(phi, "cell").join(state.loadings(), "gene").join(state.background(), ["gene", "k0", "density"], "left")
@@ -154,7 +155,7 @@ def allocate(state: ModelState, assigned: DataFrame, opts: Options, iteration: i
         keyed.row_key(opts.seed, iteration, F.lit("allocate"), "cell", "gene", "k0", "density").alias("key"),
     )
     gene_type = assigned.schema["gene"].dataType.simpleString()
-    return both.mapInPandas(_allocate(opts.seed, u), f"cell bigint, gene {gene_type}, k0 bigint, density bigint, latent bigint, x bigint")
+    return both.mapInPandas(_allocate(opts.seed, u), f"cell bigint, gene {gene_type}, k0 bigint, density bigint, latent bigint, x bigint, log_lam double")
 
 
 # -- per-cell conditionals -----------------------------------------------------
@@ -282,8 +283,13 @@ def gibbs_step(state: ModelState, opts: Options, burnin: bool, sample_z: bool =
     cells = state.cells.join(vol, "cell")
     comp = _volume_parameters(cells, state.components, seed, it)
 
-    lab = materialize(label_counts(state.counts, state.states), "labelled")
-    alloc = materialize(allocate(state, cell_gene_counts(lab), opts, it), "alloc")
+    seen = {name: Observation() for name in ("counts", "shares", "exposure", "background")}  # filled by the writes below
+    labelled = label_counts(state.counts, state.states)
+    lab = materialize(labelled.observe(seen["counts"], F.sum("n").alias("molecules"), F.sum(F.when(F.col("cell").isNotNull(), F.col("n"))).alias("assigned")), "labelled")
+    own = F.col("latent") >= 0
+    shares = allocate(state, cell_gene_counts(lab), opts, it).observe(
+        seen["shares"], F.sum(F.when(own, F.col("x"))).alias("foreground"), F.sum(F.when(own, F.col("x") * F.col("log_lam"))).alias("gain"))
+    alloc = materialize(shares.drop("log_lam"), "alloc")
     inside = alloc.where("latent >= 0")
     foreground = inside.groupBy("cell", "gene").agg(F.sum("x").alias("n"))
 
@@ -291,11 +297,11 @@ def gibbs_step(state: ModelState, opts: Options, burnin: bool, sample_z: bool =
         F.sort_array(F.collect_list(F.struct("latent", "x"))).alias("lx")  # at most one entry per latent
     )
     rows = cells.join(per_cell, "cell", "left").select(
-        "cell", "z", "scale", "phi", (F.col("volume") * F.col("scale") if opts.use_scaled_cells else F.col("volume")).alias("ev"),
+        "cell", "z", "scale", "phi", "phi_sum", (F.col("volume") * F.col("scale") if opts.use_scaled_cells else F.col("volume")).alias("ev"),
         F.col("lx.latent").alias("ks"), F.col("lx.x").alias("xs"),
         keyed.row_key(seed, it, F.lit("cell"), "cell").alias("key"),
     )
-    updated = rows.mapInPandas(
+    updated = rows.observe(seen["exposure"], F.sum(F.col("ev") * F.col("phi_sum")).alias("exposure")).drop("phi_sum").mapInPandas(
         _update_cells(comp, k_all, opts.use_mixture_weights, sample_z),
         "cell long, z int, scale double, ev double, phi array<double>, phi_sum double, ks array<long>, xs array<long>",
     )
@@ -326,8 +332,12 @@ def gibbs_step(state: ModelState, opts: Options, burnin: bool, sample_z: bool =
         new_cells = updated.select("cell", "z", F.lit(1.0).alias("scale"), "phi", "phi_sum")
 
     theta = _sample_theta(state, inside, seed, it)
-    rates = _sample_rates(state, lab, alloc, seed, it)
-    return replace(state, components=comp, cells=new_cells, theta=theta, rates=rates, foreground=foreground, iteration=it + 1)
+    rates = _sample_rates(state, lab, alloc, seed, it, seen["background"])
+    figures = {k: v or 0 for o in seen.values() for k, v in o.get.items()}
+    metrics = Metrics(it, figures["molecules"], figures["assigned"], figures["foreground"], float(figures["gain"] - figures["exposure"] + figures["background"]))
+    return replace(
+        state, components=comp, cells=new_cells, theta=theta, rates=rates, foreground=foreground, iteration=it + 1, metrics=(*state.metrics, metrics),
+    )
 
 
 def _sample_theta(state: ModelState, inside: DataFrame, seed: int, it: int) -> DataFrame:
@@ -347,11 +357,13 @@ def _sample_theta(state: ModelState, inside: DataFrame, seed: int, it: int) -> D
     return _normalize_theta(state.theta.where(F.col("slot").isNotNull()).unionByName(fresh), state.hidden)
 
 
-def _sample_rates(state: ModelState, lab: DataFrame, alloc: DataFrame, seed: int, it: int) -> DataFrame:
+def _sample_rates(state: ModelState, lab: DataFrame, alloc: DataFrame, seed: int, it: int, seen: Observation) -> DataFrame:
     """Background rates: Gamma(1 + x) / (1 + V) per (gene, layer, density)."""
     from cellgrid.plans.expectations import background_shape_rate
 
     back = unassigned_counts(lab).unionByName(alloc.where("latent = -1").select("gene", "k0", "density", F.col("x").alias("n")))
     post = background_shape_rate(back, state.rates.select("gene", "k0", "density"), state.region, ALPHA_BG, BETA_BG)
     draw = gamma_udf(keyed.row_key(seed, it, F.lit("rate"), "gene", "k0", "density"), F.col("shape").cast("double"))
-    return materialize(post.select("gene", "k0", "density", (draw / F.col("rate")).alias("rate")), "rates")
+    drawn = post.select("gene", "k0", "density", (draw / F.col("rate")).alias("rate"), (F.col("shape") - ALPHA_BG).alias("n"), (F.col("rate") - BETA_BG).alias("volume"))
+    part = F.col("n") * F.log("rate") - F.col("rate") * F.col("volume")
+    return materialize(drawn.observe(seen, F.sum(part).alias("background")).drop("n", "volume"), "rates")

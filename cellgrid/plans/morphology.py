@@ -3,7 +3,8 @@
 A sweep picks boundary edges by hashed priority. Each cell keeps its first
 edge, and an edge is proposed only if it is first for both of its cells, so
 the proposals of a sweep touch disjoint cells and are all evaluated against
-the same state. That is at most one voxel per cell and sweep.
+the same state. That is at most one voxel per cell and sweep; :mod:`cellgrid.plans.passes`
+proposes by area.
 """
 
 from __future__ import annotations
@@ -100,7 +101,11 @@ def neighbourhood(proposals: DataFrame, states: DataFrame, grid: Grid) -> DataFr
     """Tallies of like neighbours around each target, and the target's own prior."""
     marked = proposals.select(*[F.col(t).alias(v) for t, v in zip(TARGET, VOXEL, strict=True)], *TARGET, "cur", "prop")
     near = shift(marked, [(0, 0, 0), *MOORE]).where(in_grid(grid))
-    got = near.join(states.select(*STATE), VOXEL, "left")
+    return near.join(states.select(*STATE), VOXEL, "left").groupBy(*TARGET).agg(*tallies())
+
+
+def tallies() -> list[Column]:
+    """Aggregates over the rows (offset, cell) around a target: like neighbours, masks of them, and the target's own prior."""
     away = F.abs("di") + F.abs("dj") + F.abs("dk")
     is_cur, is_prop = F.col("cell").eqNullSafe(F.col("cur")), F.col("cell").eqNullSafe(F.col("prop"))
     # number of the neighbour in the offset table, which lists a 3 x 3 x 3 cube without its centre
@@ -111,7 +116,7 @@ def neighbourhood(proposals: DataFrame, states: DataFrame, grid: Grid) -> DataFr
     def tally(cond: Column) -> Column:
         return F.sum(F.when(cond, 1).otherwise(0))
 
-    return got.groupBy(*TARGET).agg(
+    return [
         tally(near6).alias("near"), tally(near6 & is_cur).alias("n_cur"), tally(near6 & is_prop).alias("n_prop"),
         tally(near6 & F.col("cell").isNull()).alias("n_bg"),
         tally(flat8 & is_cur).alias("m_cur"), tally(flat8 & is_prop).alias("m_prop"),
@@ -120,7 +125,7 @@ def neighbourhood(proposals: DataFrame, states: DataFrame, grid: Grid) -> DataFr
         F.max(F.when(own, F.col("prior_cell"))).alias("prior_cell"),
         F.max(F.when(own, F.col("log_prior"))).alias("log_prior"),
         F.max(F.when(own, F.col("log_1m_prior"))).alias("log_1m_prior"),
-    )
+    ]
 
 
 def count_gain(proposals: DataFrame, state: ModelState) -> DataFrame:
@@ -220,25 +225,33 @@ def evaluate(proposals: DataFrame, state: ModelState, opts: Options, temperature
 
 def apply_moves(state: ModelState, accepted: DataFrame) -> tuple[DataFrame, DataFrame]:
     """New voxel states and layer shapes after the accepted flips."""
-    own = state.states.select(*STATE, F.lit(None).cast("bigint").alias("to"), F.lit(0).alias("moved"))
+    layers = state.layers.unionByName(layer_changes(accepted)).groupBy("cell", "k").agg(
+        F.sum("volume").alias("volume"), F.sum("surface").alias("surface")).where("volume > 0")
+    return merge_flips(state.states, accepted), layers
+
+
+def merge_flips(states: DataFrame, accepted: DataFrame) -> DataFrame:
+    """Voxel states after the accepted flips."""
+    own = states.select(*STATE, F.lit(None).cast("bigint").alias("to"), F.lit(0).alias("moved"))
     flips = accepted.select(
         *[F.col(t).alias(v) for t, v in zip(TARGET, VOXEL, strict=True)], F.lit(None).cast("bigint").alias("cell"),
         F.lit(None).cast("bigint").alias("prior_cell"), F.lit(None).cast("double").alias("log_prior"),
         F.lit(None).cast("double").alias("log_1m_prior"), F.col("prop").alias("to"), F.lit(1).alias("moved"),
     )
-    states = own.unionByName(flips).groupBy(*VOXEL).agg(
+    return own.unionByName(flips).groupBy(*VOXEL).agg(
         F.when(F.max("moved") == 1, F.max("to")).otherwise(F.max("cell")).alias("cell"),
         *[F.max(c).alias(c) for c in ("prior_cell", "log_prior", "log_1m_prior")],
     ).where("cell IS NOT NULL OR log_prior IS NOT NULL")
+
+
+def layer_changes(accepted: DataFrame) -> DataFrame:
+    """(cell, k, volume, surface): what each flip adds to the shapes of its two cells."""
     side = F.array(
         F.struct(F.col("cur").alias("cell"), F.lit(-1).alias("dv"), (2 * F.col("m_cur") - 8).alias("ds")),
         F.struct(F.col("prop").alias("cell"), F.lit(1).alias("dv"), (8 - 2 * F.col("m_prop")).alias("ds")),
     )
-    change = accepted.select(F.col("tk").alias("k"), F.explode(side).alias("s")).where("s.cell IS NOT NULL").select(
+    return accepted.select(F.col("tk").alias("k"), F.explode(side).alias("s")).where("s.cell IS NOT NULL").select(
         "s.cell", "k", F.col("s.dv").cast("bigint").alias("volume"), F.col("s.ds").cast("bigint").alias("surface"))
-    layers = state.layers.unionByName(change).groupBy("cell", "k").agg(
-        F.sum("volume").alias("volume"), F.sum("surface").alias("surface")).where("volume > 0")
-    return states, layers
 
 
 def sweep(state: ModelState, opts: Options, number: int, temperature: float = 1.0) -> tuple[ModelState, DataFrame]:
@@ -249,7 +262,7 @@ def sweep(state: ModelState, opts: Options, number: int, temperature: float = 1.
     accepted = scored.where(F.log(keyed.uniform(F.col("h"), 2)) < F.col("score"))
     accepted = materialize(accepted.select(*TARGET, "cur", "prop", "m_cur", "m_prop", "delta", "score"), "accepted")
     states, layers = apply_moves(state, accepted)
-    return replace(state, states=materialize(states, "states"), layers=materialize(layers, "layers")), accepted
+    return replace(state, edges=None, states=materialize(states, "states"), layers=materialize(layers, "layers")), accepted
 
 
 def flip_transitions(state: ModelState, accepted: DataFrame) -> DataFrame:

@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from cellgrid.operators import density, initial, measures, prep, results
 from cellgrid.operators.grid import Grid, grid_for, voxel_counts, voxelize
 from cellgrid.options import Options
-from cellgrid.plans import expectations, gibbs, morphology, repositioning
-from cellgrid.plans.state import Components, ModelState
+from cellgrid.plans import expectations, gibbs, morphology, passes, repositioning
+from cellgrid.plans.consistency import census, check_consistency
+from cellgrid.plans.state import Components, Metrics, ModelState
 from cellgrid.session import Scratch, materialize
 
 StatesFn = Callable[[DataFrame, Grid], DataFrame]
@@ -31,6 +32,7 @@ class Result:
     genes: DataFrame
     expected: DataFrame | None
     transitions: DataFrame | None
+    metrics: tuple[Metrics, ...] = ()  # one for each iteration
 
 
 def prepare(transcripts: DataFrame, opts: Options) -> DataFrame:
@@ -97,6 +99,7 @@ def initialize(transcripts: DataFrame, opts: Options, states_fn: StatesFn | None
         cells=materialize(cells, "cells"), theta=theta, rates=materialize(rates, "rates"),
         region=expectations.volumes(binned, grid), components=Components.start(opts.ncomponents, unfactored + hidden),
         unfactored=unfactored, hidden=hidden, genes=ngenes, bins=opts.density_bins, frozen=frozen,
+        census=census(counts) if opts.check_consistency else None,
     )
     return state, index
 
@@ -120,14 +123,20 @@ def refine(
         states = initial.expand_vertically(loose.unionByName(held.select(*initial.STATE)), grid, lottery=True, frozen=state.frozen)
     states = materialize(states, "states")
     return replace(
-        state, grid=grid, states=states, counts=counts, layers=materialize(measures.layer_volume_surface(states, grid), "layers"),
-        region=expectations.volumes(binned, grid),
+        state, grid=grid, states=states, counts=counts, edges=None, layers=materialize(measures.layer_volume_surface(states, grid), "layers"),
+        region=expectations.volumes(binned, grid), census=census(counts) if opts.check_consistency else None,
     )
 
 
 def iterate(state: ModelState, opts: Options, burnin: bool, temperature: float, record: bool) -> ModelState:
-    """One iteration: boundary sweeps, repositioning, parameters."""
+    """One iteration: boundary updates, repositioning, parameters."""
     flows = [] if state.transitions is None else [state.transitions]
+    if not opts.sweeps_per_iter:
+        previous = state
+        state, decided = passes.tile_passes(state, opts, temperature)
+        if record:
+            flips = union_all([d.where("accepted") for d in decided])
+            flows.append(materialize(morphology.flip_transitions(previous, flips), "flips"))
     for n in range(opts.sweeps_per_iter):
         previous = state
         state, accepted = morphology.sweep(state, opts, n, temperature)
@@ -146,20 +155,10 @@ def iterate(state: ModelState, opts: Options, burnin: bool, temperature: float,
     return replace(
         state, recorded=state.recorded + 1,
         expected=materialize(sums.groupBy("cell", "gene").agg(F.sum("n").alias("n")), "expected"),
-        transitions=materialize(_all(flows).groupBy("from_cell", "to_cell").agg(F.sum("n").alias("n")), "transitions"),
+        transitions=materialize(union_all(flows).groupBy("from_cell", "to_cell").agg(F.sum("n").alias("n")), "transitions"),
     )
 
 
-def check_consistency(state: ModelState) -> None:
-    """Raise if incrementally kept layer shapes differ from recomputed ones."""
-    fresh = measures.layer_volume_surface(state.states, state.grid)
-    cols = ["cell", "k", "volume", "surface"]
-    off = fresh.select(*cols).exceptAll(state.layers.select(*cols)).unionByName(state.layers.select(*cols).exceptAll(fresh.select(*cols)))
-    bad = off.take(1)
-    if bad:
-        raise AssertionError(f"inconsistent layer shape: {bad[0]}")
-
-
 def segment(transcripts: DataFrame, opts: Options, states_fn: StatesFn | None = None) -> Result:
     """Run the whole schedule on canonical transcripts.
 
@@ -193,10 +192,10 @@ def _segment(transcripts: DataFrame, opts: Options, states_fn: StatesFn | None,
     if state.foreground is None:
         state = gibbs.gibbs_step(state, opts, burnin=False)
     expected = measures.running_mean(state.expected, ["cell", "gene"], state.recorded) if state.expected is not None else None
-    return Result(state, t, voxelize(t, state.grid), index, prep.gene_dictionary(t), expected, state.transitions)
+    return Result(state, t, voxelize(t, state.grid), index, prep.gene_dictionary(t), expected, state.transitions, state.metrics)
 
 
-def _all(tables: list[DataFrame]) -> DataFrame:
+def union_all(tables: list[DataFrame]) -> DataFrame:
     out = tables[0]
     for t in tables[1:]:
         out = out.unionByName(t)

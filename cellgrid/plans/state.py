@@ -33,6 +33,30 @@ class Components:
         )
 
 
+@dataclass(frozen=True)
+class Metrics:
+    """Progress of one iteration, observed while its tables were written.
+
+    The log likelihood is that of the foreground and background counts; foreground rates
+    are those the counts were allocated with, background rates the new ones.  Tasks that
+    run again after a loss may count twice here; nothing else reads these figures.
+    """
+
+    iteration: int
+    molecules: int
+    assigned: int
+    foreground: int
+    log_likelihood: float
+
+    @property
+    def assigned_share(self) -> float:
+        return self.assigned / self.molecules if self.molecules else 0.0
+
+    @property
+    def foreground_share(self) -> float:
+        return self.foreground / self.molecules if self.molecules else 0.0
+
+
 @dataclass(frozen=True)
 class ModelState:
     """Everything one iteration reads and the next one replaces.
@@ -61,10 +85,13 @@ class ModelState:
     bins: int
     iteration: int = 0
     frozen: DataFrame | None = None
+    edges: DataFrame | None = None  # unlike voxel pairs (a, b, cell_a, cell_b), kept by flips; None: to be made from states
     foreground: DataFrame | None = None
     expected: DataFrame | None = None  # cell, gene, n: foreground summed over recorded samples
     recorded: int = 0
     transitions: DataFrame | None = None  # from_cell, to_cell, n: summed likewise
+    metrics: tuple[Metrics, ...] = ()
+    census: tuple[int, int, int] | None = None  # fingerprint of the counts by origin, if consistency is checked
 
     @property
     def latents(self) -> int:
