@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from cellgrid.llm.automaton import Matcher
 from cellgrid.llm.cutting import cut_bytes, merged
-from cellgrid.llm.store import arrow_map, write_table
+from cellgrid.llm.store import arrow_map, own_columns, write_table
 from cellgrid.llm.words import Lexer, find_words, slices, text_buffer
 
 WINDOW, COVERAGE = 13, 20  # words in a window; a document is contaminated from one hit word in 20
@@ -88,6 +88,7 @@ def contaminated(coverage: int = COVERAGE):
     return (n_hit() > 0) & (coverage * n_hit() >= F.col("__n_words"))
 
 
+@own_columns
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: int = COVERAGE) -> DataFrame:
     """``docs`` without contamination, with its own columns.
 

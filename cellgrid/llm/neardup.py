@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellgrid.llm.store import arrow_map, drop_table, write_table
+from cellgrid.llm.store import arrow_map, drop_table, own_columns, temporary, write_table
 from cellgrid.llm.words import Lexer, Words, find_words, mix, slices
 
 BANDS, ROWS = 32, 4  # two sets at similarity 0.8 share no band with probability 5e-8
@@ -237,15 +237,8 @@ def _open(members: DataFrame) -> DataFrame:
     return members.join(several, "bucket").select(*members.columns)
 
 
-def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80) -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id, kept.
-
-    ``component_id`` is the smallest doc_id reachable over links, itself included; ``kept``
-    marks that document.  A null or empty text has no shingles and no links.  A null doc_id
-    can't be named: such a row has a null component_id and is kept.  A row that repeats is
-    the same document again and gets the same result.  If rows share a doc_id but not the
-    text, the smallest text stands for that id in comparisons.
-    """
+def _classes(docs: DataFrame, size: int, percent: int, keep) -> tuple[DataFrame, DataFrame]:
+    """Sketches of all rows, and the component of each class (f1, f2)."""
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketches = write_table(arrow_map(named, lambda b: _sketch_rows(b, size), "doc_id long, n long, f1 long, f2 long, bands array<long>"), "sketches")
     known = sketches.filter("n > 0 and doc_id is not null")
@@ -268,21 +261,38 @@ def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80) -> DataFr
         label = write_table(components(links.unionByName(more)), "labels")
     named_class = classes.select("f1", "f2", "rep")
     named_class = named_class.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("f1", "f2", F.coalesce("component", "rep").alias("component_id"))
-    found = sketches.drop("bands").join(write_table(named_class, "named"), ["f1", "f2"], "left")
+    return keep(sketches), keep(write_table(named_class, "named"))
+
+
+def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80) -> DataFrame:
+    """Per row: doc_id, n_shingles, component_id, kept.
+
+    ``component_id`` is the smallest doc_id reachable over links, itself included; ``kept``
+    marks that document.  A null or empty text has no shingles and no links.  A null doc_id
+    can't be named: such a row has a null component_id and is kept.  A row that repeats is
+    the same document again and gets the same result.  If rows share a doc_id but not the
+    text, the smallest text stands for that id in comparisons.
+    """
+    with temporary() as keep:
+        sketches, classes = _classes(docs, size, percent, keep)
+    found = sketches.drop("bands").join(classes, ["f1", "f2"], "left")
     component = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
     return found.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
+@own_columns
 def keep_one(docs: DataFrame, size: int = 4, percent: int = 80) -> DataFrame:
     """``docs`` with its own columns, one row of each component: one with the smallest doc_id, or one without if none has an id.
 
     Here each row is a document of its own, so rows that repeat, rows that share an id and
     rows without one are compared like all others.  Rows without words all stay.
     """
-    rows = write_table(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
-    found = near_duplicates(rows.select(F.col("__row").alias("doc_id"), "text"), size, percent)
-    named = rows.select("__row", F.col("doc_id").cast("long").alias("__id"), F.xxhash64("text").alias("__th"))
-    member = found.select(F.col("doc_id").alias("__row"), "component_id").join(named, "__row")
-    first = member.groupBy("component_id").agg(F.min(F.struct(F.col("__id").isNull().alias("none"), "__id", "__th", "__row")).alias("first"))
-    kept = write_table(first.select(F.col("first.__row").alias("__row")), "kept")
-    return rows.join(kept, "__row", "left_semi").select(*(f"`{c}`" for c in docs.columns))
+    with temporary() as keep:
+        rows = keep(write_table(docs.withColumn("__row", F.monotonically_increasing_id()), "rows"))
+        found = near_duplicates(rows.select(F.col("__row").alias("doc_id"), "text"), size, percent)
+        named = rows.select("__row", F.col("doc_id").cast("long").alias("__id"), F.xxhash64("text").alias("__th"))
+        member = found.select(F.col("doc_id").alias("__row"), "component_id").join(named, "__row")
+        first = member.groupBy("component_id").agg(F.min(F.struct(F.col("__id").isNull().alias("none"), "__id", "__th", "__row")).alias("first"))
+        kept = keep(write_table(first.select(F.col("first.__row").alias("__row")), "kept"))
+    # the same join at every size, so that disk and shuffle grow in proportion
+    return rows.join(kept.hint("merge"), "__row", "left_semi").select(*(f"`{c}`" for c in docs.columns))

@@ -18,6 +18,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cellgrid.llm.store import own_columns
+
 BUCKETS = 1 << 16
 THRESHOLD = -0.2  # mean log-likelihood ratio below which a document goes
 PRIOR = 2.0  # pseudo-counts of the trusted model, for each bucket on average
@@ -155,6 +157,7 @@ def _as_it_is(column: str) -> Column:
     return F.when(F.spark_partition_id() >= 0, F.col(column))
 
 
+@own_columns
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` with its own columns, without the documents that the rules reject."""
     return with_verdict(docs, labels, prior=PRIOR).filter("__kept").select(*(f"`{c}`" for c in docs.columns))

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+from functools import wraps
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,6 +23,28 @@ def bound_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
+_written: ContextVar[list[DataFrame] | None] = ContextVar("written", default=None)
+
+
+@contextmanager
+def temporary() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables that :func:`write_table` makes in this block are deleted at its end, but for those given to the yielded function.
+
+    Those that stay belong to the block around this one, if there is one.
+    """
+    outer, made, stay = _written.get(), [], []
+    token = _written.set(made)
+    try:
+        yield lambda df: stay.append(df._stored_at) or df
+    finally:
+        _written.reset(token)
+        for table in made:
+            if table._stored_at not in stay:
+                drop_table(table)
+            elif outer is not None:
+                outer.append(table)
+
+
 def write_table(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` below the shared folder and read it back: lineage ends there.
 
@@ -37,6 +62,9 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
         spark.conf.set(cleanup, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
+    made = _written.get()
+    if made is not None:
+        made.append(out)
     return out
 
 
@@ -70,6 +98,17 @@ def unused(columns: list[str], name: str) -> str:
     return name
 
 
+def own_columns(stage: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """For stages that return the columns of ``docs``: whatever the others are called, the stage sees them under names it never uses."""
+
+    @wraps(stage)
+    def run(docs: DataFrame, *args, **options) -> DataFrame:
+        inside = docs.toDF(*(c if c in ("doc_id", "text") else f"column{i}" for i, c in enumerate(docs.columns)))
+        return stage(inside, *args, **options).toDF(*docs.columns)
+
+    return run
+
+
 def row_key(doc_id: str = "doc_id", text: str = "text") -> list[Column]:
     """(``__id`` long, ``__th`` int), equal for two rows if and only if doc_id and text are equal.
 

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellgrid.llm.cutting import cut_bytes
-from cellgrid.llm.store import arrow_map, drop_table, row_key, write_table
+from cellgrid.llm.store import arrow_map, drop_table, own_columns, row_key, temporary, write_table
 from cellgrid.llm.words import Lexer, Words, find_words, gram_hashes, mix, slices, text_buffer
 
 WINDOW, PREFIX, GROUP_ROWS = 35, 12, 1_000
@@ -206,7 +206,8 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX,
     anchors = write_table(arrow_map(keyed, lambda b: _anchor_rows(b, window, prefix), "fp long, __id long, __th int, pos int"), "anchors")
     shared = write_table(anchors.groupBy("fp").count().filter("count > 1").select("fp", (F.col("count") > group_rows).alias("frequent")), "prefixes")
     marks = anchors.join(shared, "fp").groupBy("__id", "__th").agg(F.collect_set(F.struct("pos", "frequent")).alias("marks"))
-    marked = keyed.join(write_table(marks, "marks"), ["__id", "__th"])
+    # texts meet marks and ranges by the same join at every size, so that disk and shuffle grow in proportion
+    marked = keyed.join(write_table(marks, "marks").hint("merge"), ["__id", "__th"])
     suffixes = write_table(arrow_map(marked, lambda b: _suffix_rows(b, window, prefix), "fp long, more long, leaves int, __id long, __th int, start int, last int, context string"), "suffixes")
     drop_table(anchors)
     grouped = suffixes.filter("context is not null").select("fp", "__id", "__th", "start", "context").repartition("fp").sortWithinPartitions("fp")
@@ -232,10 +233,12 @@ def _cover(piece: pa.RecordBatch, words: Words) -> np.ndarray:
 
 
 def _with_spans(docs: DataFrame, **options) -> DataFrame:
-    ranges = write_table(repeated_ranges(docs, **options), "ranges")
-    return docs.select("*", *row_key()).join(ranges, ["__id", "__th"], "left")
+    with temporary() as keep:
+        ranges = keep(write_table(repeated_ranges(docs, **options), "ranges"))
+    return docs.select("*", *row_key()).join(ranges.hint("merge"), ["__id", "__th"], "left")
 
 
+@own_columns
 def remove_repeats(docs: DataFrame, window: int = WINDOW, **options) -> DataFrame:
     """``docs`` with its own columns; words below deep nodes are cut from ``text``.
 

@@ -196,7 +196,9 @@ def read_archives(manifest: DataFrame) -> DataFrame:
 
     kinds = {"page_id": pa.int64(), "url": pa.string(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "record_type": pa.string(), "refers_to": pa.int64(), "payload": pa.binary()}
     rows = lambda out: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds.values(), strict=True)], list(kinds))
-    return manifest.select("path").distinct().mapInArrow(read, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
+    paths = manifest.select("path").distinct()
+    apart = paths.repartition(max(1, paths.count()))  # a few bytes each, so their number and not their size must set the tasks
+    return apart.mapInArrow(read, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
 
 
 def round_trip(pages: DataFrame, folder: str | None = None) -> DataFrame:

@@ -16,7 +16,7 @@ from cellgrid.llm.neardup import keep_one
 from cellgrid.llm.packing import pack
 from cellgrid.llm.quality import keep_good
 from cellgrid.llm.queries import tokenizer_path
-from cellgrid.llm.store import write_table
+from cellgrid.llm.store import drop_table, temporary, write_table
 from cellgrid.llm.substrings import remove_repeats
 
 
@@ -58,10 +58,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of ``sf_dir``; each stage's result is written and read again."""
+    """All stages over the documents of ``sf_dir``; each stage's result is written and read again, and all else that it wrote is deleted."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for number, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if number < len(STAGES) - 1:
-            docs = write_table(docs, name.replace(" ", "_"))
-    return docs
+    before = None
+    for name, stage in STAGES[:-1]:
+        with temporary() as keep:
+            docs = keep(write_table(stage(spark, docs, sf_dir), name.replace(" ", "_")))
+        if before is not None:
+            drop_table(before)
+        before = docs
+    return STAGES[-1][1](spark, docs, sf_dir)
