@@ -8,7 +8,8 @@ count is the number of leaves below it.  The tree is split vertically by prefixe
    remain.  A prefix above the budget holds one word in ``SHARE`` at least, so there are no
    more than ``SHARE`` of a length, and they are known to every task.
 2. Prefixes are filed in ``BUCKETS`` buckets by hash; neighbouring buckets form groups of
-   about one budget of occurrences.
+   about one budget of occurrences.  Prefixes of full depth are not counted beforehand:
+   their hashes spread the occurrences of the pair above them evenly over all buckets.
 3. Suffixes go to the group of their prefix, equal ones of a slice of text as one row with
    a count.  Each group is sorted and gives its subtrees one below the other: a node is a
    run of rows with the same first words, its count the sum of the run's leaves.  Only the
@@ -36,11 +37,11 @@ from cellgrid.llm.store import arrow_map, drop_table, write_table
 from cellgrid.llm.words import BLOCK, Lexer, Words, find_words, mix, slices
 
 LEAST, CONTAINED_PERCENT, TOP = 10, 50, 2_000
-BUDGET = 1 << 19  # occurrences in a group
+BUDGET = 1 << 17  # occurrences in a group
 SHARE = 4_096
 BUCKETS = 1 << 16
 BITS = 1 << 24
-SLICE = 2 * BLOCK  # text in which equal suffixes become one row
+SLICE = 4 * BLOCK  # text in which equal suffixes become one row
 SALTS = 64  # parts of a language that are ranked on their own first
 
 WORDS = Lexer("space", lower=True)
@@ -106,21 +107,16 @@ def _vocabulary_rows(batch: pa.RecordBatch):
         yield pa.RecordBatch.from_arrays([pa.array(ids[at].view(np.int64)), piece.column("lang").take(pa.array(words.doc[at])), spelled.cast(pa.string()), pa.array(n)], ["id", "lang", "word", "n"])
 
 
-def _prefix_rows(batch: pa.RecordBatch, length: int, above: np.ndarray):
-    """Prefixes of ``length`` words (2 or 3) whose shorter prefix is in ``above``, with counts."""
+def _prefix_rows(batch: pa.RecordBatch, above: np.ndarray):
+    """Prefixes of two words whose first one is in ``above``, with counts."""
     for piece in slices(batch, "text", SLICE):
         _, ids, linked = word_ids(piece)
         at = np.flatnonzero(linked)
-        words = [ids[at], ids[at + 1]]
-        code = words[0]
-        if length == 3:
-            at = at[linked[at + 1]]
-            words = [ids[at], ids[at + 1], ids[at + 2]]
-            code = extended(words[0], words[1])
-        keep = np.flatnonzero(_among(code, above))
-        code = extended(code[keep], words[-1][keep])
+        at = at[_among(ids[at], above)]
+        code = extended(ids[at], ids[at + 1])
         place, n = _counted(code)
-        yield pa.RecordBatch.from_arrays([pa.array(code[place].view(np.int64)), *(pa.array(w[keep][place].view(np.int64)) for w in words[:2]), pa.array(n)], ["code", "w1", "w2", "n"])
+        first = at[place]
+        yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (code[place], ids[first], ids[first + 1])] + [pa.array(n)], ["code", "w1", "w2", "n"])
 
 
 @dataclass
@@ -215,11 +211,8 @@ def _node_rows(batches, forest: Forest, least: int):
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in subtrees(held, forest, least)], ["w1", "w2", "w3", "a"])
 
 
-def _pack(loads: dict[int, int], budget: int) -> np.ndarray:
+def _pack(load: np.ndarray, budget: int) -> np.ndarray:
     """Group of each bucket: neighbouring buckets up to a budget of occurrences."""
-    load = np.zeros(BUCKETS, np.int64)
-    for b, n in loads.items():
-        load[b] = n
     group, number, filled = np.zeros(BUCKETS, np.int32), 0, 0
     for b in range(BUCKETS):
         if filled and filled + load[b] > budget:
@@ -235,18 +228,14 @@ def grow_forest(texts: DataFrame, frequent: DataFrame, budget: int) -> Forest:
     word_rows = [tuple(r) for r in frequent.filter(F.col("n") > budget).select("id", "n").collect()]  # fewer than SHARE
     words, pair_rows, stored = codes(word_rows), [], []
     if word_rows:
-        counted = arrow_map(texts, lambda b: _prefix_rows(b, 2, words), "code long, w1 long, w2 long, n long")
+        counted = arrow_map(texts, lambda b: _prefix_rows(b, words), "code long, w1 long, w2 long, n long")
         stored.append(write_table(counted.groupBy("code", "w1", "w2").agg(F.sum("n").alias("n")), "pairs"))
         pair_rows = [tuple(r) for r in stored[-1].filter(F.col("n") > budget).collect()]  # fewer than SHARE
     pairs = codes(pair_rows)
-    if pair_rows:
-        counted = arrow_map(texts, lambda b: _prefix_rows(b, 3, pairs), "code long, w1 long, w2 long, n long")
-        stored.append(write_table(counted.groupBy("code").agg(F.sum("n").alias("n")), "triples"))
-    loads: dict[int, int] = {}
-    for depth, table in enumerate([frequent.withColumnRenamed("id", "code"), *stored], 1):
-        left = table if depth == 3 else table.filter(F.col("n") <= budget)
-        for r in left.groupBy(F.col("code").bitwiseAND(F.lit(BUCKETS - 1)).alias("bucket")).agg(F.sum("n").alias("n")).collect():  # BUCKETS rows at most
-            loads[r["bucket"]] = loads.get(r["bucket"], 0) + r["n"]
+    loads = np.full(BUCKETS, sum(r[3] for r in pair_rows) // BUCKETS, np.int64)
+    for table in [frequent.withColumnRenamed("id", "code"), *stored]:
+        for r in table.filter(F.col("n") <= budget).groupBy(F.col("code").bitwiseAND(F.lit(BUCKETS - 1)).alias("bucket")).agg(F.sum("n").alias("n")).collect():  # BUCKETS rows at most
+            loads[r["bucket"]] += r["n"]
     for table in stored:
         drop_table(table)
     place = F.col("id").bitwiseAND(F.lit(BITS - 1))

@@ -8,6 +8,7 @@ import sys
 from collections import Counter, defaultdict
 from itertools import permutations
 
+import numpy as np
 import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -199,7 +200,7 @@ def test_collocations_equal_plain_version(spark, budget, top, monkeypatch):
 
 def test_groups_keep_to_the_budget():
     loads = {b: 1 + b % 7 for b in range(0, phrases.BUCKETS, 3)}
-    group = phrases._pack(loads, 100)
+    group = phrases._pack(np.array([loads.get(b, 0) for b in range(phrases.BUCKETS)]), 100)
     held = Counter()
     for b, n in loads.items():
         held[group[b]] += n
