@@ -14,8 +14,9 @@ count is the number of leaves below it.  The tree is split vertically by prefixe
    a count.  Each group is sorted and gives its subtrees one below the other: a node is a
    run of rows with the same first words, its count the sum of the run's leaves.  Only the
    leaves below one node of two words are held at a time, equal ones as one row.
-4. Nodes of two and three words with ``least`` occurrences are candidates.  Counts of their
-   parts, which other subtrees hold, are fetched by joins.
+4. Nodes of two and three words with ``least`` occurrences are candidates.  The count of a
+   candidate's first two words is on its path (or known, if that prefix was extended);
+   counts that other subtrees hold are fetched by joins.
 
 Suffixes with a rare first or second word can't be candidates and are left out; a bitmap of
 fixed size, filled from the words with ``least`` occurrences, tells them without misses.
@@ -126,6 +127,7 @@ class Forest:
     often: np.ndarray
     hot_words: np.ndarray
     hot_pairs: np.ndarray
+    hot_pair_counts: np.ndarray
     group: np.ndarray
     word_rows: list[tuple[int, int]]  # (id, count) of extended words
     pair_rows: list[tuple[int, int, int]]  # (w1, w2, count) of extended pairs
@@ -182,14 +184,18 @@ def leaves_of(rows: list[np.ndarray]) -> list[np.ndarray]:
 
 
 def subtrees(rows: list[np.ndarray], forest: Forest, least: int) -> list[np.ndarray]:
-    """Nodes (w1, w2, w3, a) of two words (w3 is 0) and of three words with ``least`` occurrences, from all leaves below their first two words."""
+    """Nodes (w1, w2, w3, a, first_two) of two words (w3 is 0) and of three words with ``least`` occurrences, from all leaves below their first two words; ``first_two`` counts these."""
     w1, w2, w3, n = leaves_of(rows)
     pairs = _runs(w1, w2)
     both = np.add.reduceat(n, pairs) if len(pairs) else n
-    flat = (both >= least) & ~_among(extended(w1[pairs].view(np.uint64), w2[pairs].view(np.uint64)), forest.hot_pairs)
+    code = extended(w1[pairs].view(np.uint64), w2[pairs].view(np.uint64))
+    hot = _among(code, forest.hot_pairs)
+    flat = (both >= least) & ~hot
+    both[hot] = forest.hot_pair_counts[np.searchsorted(forest.hot_pairs, code[hot])]
+    above = np.repeat(both, np.diff(np.append(pairs, len(n))))
     deep = np.flatnonzero((n >= least) & (w3 != 0))
     at = np.concatenate([pairs[flat], deep])
-    return [w1[at], w2[at], np.concatenate([np.zeros(int(flat.sum()), np.int64), w3[deep]]), np.concatenate([both[flat], n[deep]])]
+    return [w1[at], w2[at], np.concatenate([np.zeros(int(flat.sum()), np.int64), w3[deep]]), np.concatenate([both[flat], n[deep]]), above[at]]
 
 
 def _node_rows(batches, forest: Forest, least: int):
@@ -205,10 +211,10 @@ def _node_rows(batches, forest: Forest, least: int):
             key = np.concatenate([np.full(len(held[0]), held_key), key])
         cut = int(np.searchsorted(key, key[-1]))
         if cut:
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in subtrees([x[:cut] for x in rows], forest, least)], ["w1", "w2", "w3", "a"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in subtrees([x[:cut] for x in rows], forest, least)], ["w1", "w2", "w3", "a", "first_two"])
         held_key, held = key[-1], leaves_of([x[cut:] for x in rows])
     if held is not None:
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in subtrees(held, forest, least)], ["w1", "w2", "w3", "a"])
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in subtrees(held, forest, least)], ["w1", "w2", "w3", "a", "first_two"])
 
 
 def _pack(load: np.ndarray, budget: int) -> np.ndarray:
@@ -232,6 +238,8 @@ def grow_forest(texts: DataFrame, frequent: DataFrame, budget: int) -> Forest:
         stored.append(write_table(counted.groupBy("code", "w1", "w2").agg(F.sum("n").alias("n")), "pairs"))
         pair_rows = [tuple(r) for r in stored[-1].filter(F.col("n") > budget).collect()]  # fewer than SHARE
     pairs = codes(pair_rows)
+    of_pair = {r[0]: r[3] for r in pair_rows}
+    pair_counts = np.array([of_pair[c] for c in pairs.view(np.int64).tolist()], np.int64)
     loads = np.full(BUCKETS, sum(r[3] for r in pair_rows) // BUCKETS, np.int64)
     for table in [frequent.withColumnRenamed("id", "code"), *stored]:
         for r in table.filter(F.col("n") <= budget).groupBy(F.col("code").bitwiseAND(F.lit(BUCKETS - 1)).alias("bucket")).agg(F.sum("n").alias("n")).collect():  # BUCKETS rows at most
@@ -240,7 +248,7 @@ def grow_forest(texts: DataFrame, frequent: DataFrame, budget: int) -> Forest:
         drop_table(table)
     place = F.col("id").bitwiseAND(F.lit(BITS - 1))
     maps = frequent.groupBy(F.bitmap_bucket_number(place).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).collect()  # BITS / 32768 rows
-    return Forest(_bitmap(maps), words, pairs, _pack(loads, budget), word_rows, [r[1:] for r in pair_rows])
+    return Forest(_bitmap(maps), words, pairs, pair_counts, _pack(loads, budget), word_rows, [r[1:] for r in pair_rows])
 
 
 def _bitmap(maps: list) -> np.ndarray:
@@ -273,15 +281,15 @@ def _score(a: Column, left: Column, rest: Column) -> Column:
 
 def _candidates(nodes: DataFrame, forest: Forest) -> DataFrame:
     """Candidates of all subtrees, and the extended pairs, whose subtrees lie in several groups."""
-    return nodes.unionByName(nodes.sparkSession.createDataFrame([(w1, w2, 0, n) for w1, w2, n in forest.pair_rows], nodes.schema))
+    return nodes.unionByName(nodes.sparkSession.createDataFrame([(w1, w2, 0, n, n) for w1, w2, n in forest.pair_rows], nodes.schema))
 
 
 def _not_contained(pairs: DataFrame, triples: DataFrame, percent: int) -> DataFrame:
     """Pairs without a longer candidate around them that has ``percent`` of their count."""
     around = triples.select("w1", "w2", "a").unionByName(triples.select(F.col("w2").alias("w1"), F.col("w3").alias("w2"), "a"))
-    most = around.groupBy("w1", "w2").agg(F.max("a").alias("around"))
-    joined = pairs.join(most.hint("merge"), ["w1", "w2"], "left")
-    return joined.filter(F.col("around").isNull() | (100 * F.col("around") < percent * F.col("a"))).drop("around")
+    both = pairs.select("w1", "w2", "a", F.lit(None).cast("long").alias("around")).unionByName(around.select("w1", "w2", F.lit(None).cast("long").alias("a"), F.col("a").alias("around")))
+    most = both.groupBy("w1", "w2").agg(F.max("a").alias("a"), F.max("around").alias("around")).filter("a is not null")
+    return most.filter(F.col("around").isNull() | (100 * F.col("around") < percent * F.col("a"))).select("w1", "w2", F.lit(0).cast("long").alias("w3"), "a")
 
 
 def _scored(candidates: DataFrame, frequent: DataFrame, forest: Forest, budget: int, percent: int) -> DataFrame:
@@ -289,7 +297,6 @@ def _scored(candidates: DataFrame, frequent: DataFrame, forest: Forest, budget:
     spark = candidates.sparkSession
     copies = lambda n: 1 + n // budget
     hot_words = spark.createDataFrame([(w, copies(n)) for w, n in forest.word_rows], "w long, copies long")
-    hot_pairs = spark.createDataFrame([(w1, w2, copies(n)) for w1, w2, n in forest.pair_rows], "w1 long, w2 long, copies long")
 
     def with_word(rows: DataFrame, k: str) -> DataFrame:
         known = frequent.select(F.col("id").alias(k), F.col("word").alias(f"word_{k}"), F.col("n").alias(f"n_{k}"), *(["lang"] if k == "w1" else []))
@@ -298,11 +305,9 @@ def _scored(candidates: DataFrame, frequent: DataFrame, forest: Forest, budget:
     pairs, triples = candidates.filter("w3 = 0"), candidates.filter("w3 <> 0")
     two = with_word(with_word(_not_contained(pairs, triples, percent), "w1"), "w2")
     two = two.select("lang", F.concat_ws(" ", "word_w1", "word_w2").alias("phrase"), "a", F.col("n_w1").alias("l"), F.col("n_w2").alias("r"), _score(F.col("a"), F.col("n_w1"), F.col("n_w2")).alias("score"))
-
-    def with_pair(rows: DataFrame, first: str, second: str, count: str) -> DataFrame:
-        return _lookup(rows, [first, second], pairs.select(F.col("w1").alias(first), F.col("w2").alias(second), F.col("a").alias(count)), hot_pairs.toDF(first, second, "copies"))
-
-    three = with_pair(with_pair(triples, "w1", "w2", "first_two"), "w2", "w3", "last_two")
+    # a pair of words is in no more candidates than there are frequent words
+    last = pairs.select(F.col("w1").alias("w2"), F.col("w2").alias("w3"), F.col("a").alias("last_two"))
+    three = triples.join(last.hint("merge"), ["w2", "w3"])
     three = with_word(with_word(with_word(three, "w1"), "w2"), "w3")
     three = three.withColumns({"s1": _score(F.col("a"), F.col("n_w1"), F.col("last_two")), "s2": _score(F.col("a"), F.col("first_two"), F.col("n_w3"))})
     second = F.col("s2") < F.col("s1")
@@ -344,7 +349,7 @@ def collocations(docs: DataFrame, least: int = LEAST, contained_percent: int = C
     forest = grow_forest(texts, frequent, budget)
     leaves = arrow_map(texts, lambda b: _suffix_rows(b, forest), "key long, w1 long, w2 long, w3 long, n long")
     ordered = leaves.repartition(F.shiftright("key", 32)).sortWithinPartitions("key")
-    nodes = ordered.mapInArrow(lambda batches: _node_rows(batches, forest, least), "w1 long, w2 long, w3 long, a long")
+    nodes = ordered.mapInArrow(lambda batches: _node_rows(batches, forest, least), "w1 long, w2 long, w3 long, a long, first_two long")
     nodes = write_table(nodes, "nodes")
     scored = _scored(_candidates(nodes, forest), frequent, forest, budget, contained_percent)
     found = write_table(_best(scored, top).join(sizes, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score"), "collocations")
