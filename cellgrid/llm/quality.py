@@ -38,7 +38,11 @@ def with_ngrams(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def buckets(n: int) -> Column:
-    return F.concat(F.transform("__words", lambda w: F.pmod(F.xxhash64(w), F.lit(n)).cast("int")), F.transform("__pairs", lambda p: F.pmod(p, F.lit(n)).cast("int")))
+    """Buckets of the words and the pairs; ``n`` is a power of two, so the lowest bits of a hash are its remainder (and never null)."""
+    if n & (n - 1):
+        raise ValueError("the number of buckets must be a power of two")
+    low = lambda h: h.bitwiseAND(F.lit(n - 1).cast("long")).cast("int")
+    return F.concat(F.transform("__words", lambda w: low(F.xxhash64(w))), F.transform("__pairs", low))
 
 
 def _windows() -> Column:
@@ -63,7 +67,7 @@ def with_base(docs: DataFrame, text: str = "text") -> DataFrame:
     out = out.withColumns(
         {
             "__n_words": F.size("__words").cast("long"),
-            "__word_chars": F.length(F.regexp_replace(whole, _SPACE, "")).cast("long"),
+            "__word_chars": F.length(F.array_join("__words", "")).cast("long"),
             "__n_symbols": F.length(F.regexp_replace(whole, r"[^#*$%&|<>]+", "")).cast("long"),
             "__n_dup_lines": (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"),
             "__n_repeat_words": F.coalesce(F.when(F.col("__placed").isNotNull(), _covered(F.col("__placed"))), F.lit(0)).cast("long"),
@@ -109,21 +113,38 @@ def _numbers(values: list) -> Column:
 
 
 def _with_mean_ratio(rows: DataFrame, corpus: list[int], trusted: list[int], prior: float) -> DataFrame:
-    """``rows`` (with buckets and ``__trusted``) and ``__mean``: its mean log ratio with ``prior``, its own counts left out."""
+    """``rows`` (with buckets and ``__trusted``) and ``__mean``: its mean log ratio with ``prior``, its own counts left out.
+
+    Buckets that a document has once need one look-up and one logarithm each; the ratios of
+    the counts without that one are made beforehand.  Only the others are counted.
+    """
     n, in_corpus, in_trusted = len(corpus), _numbers(corpus), _numbers(trusted)
-    own = F.when(F.col("__trusted").isNotNull(), F.lit(1.0)).otherwise(F.lit(0.0))
+    is_trusted, smooth = F.col("__trusted").isNotNull(), F.lit(prior * n)
+    own = F.when(is_trusted, F.lit(1.0)).otherwise(F.lit(0.0))
     rows = rows.withColumns({"__sorted": F.sort_array("__buckets"), "__size": F.size("__buckets"), "__own": own})
-    last = F.filter(F.sequence(F.lit(0), F.col("__size") - 1), lambda i: F.coalesce(F.get("__sorted", i) != F.get("__sorted", i + 1), F.lit(True)))
-    rows = rows.withColumn("__last", F.when(F.col("__size") > 0, last))  # where each different bucket ends
-
-    def weight(i: Column, j: Column) -> Column:
-        times, b = (i - F.coalesce(F.get("__last", j - 1), F.lit(-1))).cast("double"), F.get("__sorted", i)
-        share = (F.get(in_corpus, b) - times + 1.0) / (F.lit(float(sum(corpus) + n)) - F.col("__size"))
-        return times * F.log((F.get(in_trusted, b) - times * F.col("__own")) / share + F.lit(prior * n))
-
-    total = F.aggregate(F.transform("__last", weight), F.lit(0.0), lambda a, x: a + x)
-    mean = total / F.col("__size") - F.log(F.lit(sum(trusted) + prior * n) - F.col("__own") * F.col("__size"))
-    return rows.withColumn("__mean", mean).drop("__sorted", "__size", "__own", "__last")
+    rows = rows.withColumns(
+        {
+            "__again": F.filter("__sorted", lambda b, i: b == F.get("__sorted", i + 1)),  # one entry less than the document has, of each bucket
+            "__others": F.lit(float(sum(corpus) + n)) - F.col("__size"),
+        }
+    )
+    ends = F.filter(F.sequence(F.lit(0), F.size("__again") - 1), lambda i: F.coalesce(F.get("__again", i) != F.get("__again", i + 1), F.lit(True)))
+    rows = rows.withColumns({"__once": F.array_except("__sorted", "__again"), "__ends": F.when(F.size("__again") > 0, ends)})
+
+    def of_once(left: int) -> Column:
+        without = [(t - left) / c if c else 0.0 for t, c in zip(trusted, corpus, strict=True)]
+        ratios = _numbers(without)
+        return F.aggregate("__once", F.lit(0.0), lambda a, b: a + F.log(F.get(ratios, b) * F.col("__others") + smooth))
+
+    def of_again(i: Column, j: Column) -> Column:
+        times, b = (i - F.coalesce(F.get("__ends", j - 1), F.lit(-1)) + 1).cast("double"), F.get("__again", i)
+        left = (F.get(in_trusted, b) - times * F.col("__own")) / (F.get(in_corpus, b) - times + 1.0)
+        return times * F.log(left * F.col("__others") + smooth)
+
+    once = F.when(is_trusted, of_once(1)).otherwise(of_once(0))
+    again = F.coalesce(F.aggregate(F.transform("__ends", of_again), F.lit(0.0), lambda a, x: a + x), F.lit(0.0))
+    mean = (once + again) / F.col("__size") - F.log(F.lit(sum(trusted) + prior * n) - F.col("__own") * F.col("__size"))
+    return rows.withColumn("__mean", mean).drop("__sorted", "__size", "__own", "__again", "__others", "__once", "__ends")
 
 
 def with_verdict(docs: DataFrame, labels: DataFrame, n: int = BUCKETS, threshold: float = THRESHOLD, prior: float | None = None) -> DataFrame:
