@@ -36,21 +36,30 @@ SIBLINGS = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr", "
 SCOPES = {"li": {"ul", "ol", "menu"}, "dd": {"dl"}, "dt": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
 # Elements, roles and names of page furniture.
 FURNITURE = frozenset("script style noscript template iframe nav footer aside form button select textarea input svg canvas object embed head title dialog menu".split())
-NAMES = re.compile(
-    r"(?:^|[\s_-])(ads?|adverts?|advertisements?|advertising|sponsor(?:ed|s)?|promo(?:tion)?s?|banners?|cookies?|consent|gdpr|notices?|alerts?|popups?|modals?|overlays?"
-    r"|nav|navbar|navigation|menus?|breadcrumbs?|sidebars?|side|footers?|headers?|masthead|comments?|disqus|replies|respond|share|sharing|social|related|recommended"
-    r"|newsletter|subscribe|subscription|login|signup|search|widgets?|pagination|pager|toolbar)(?=$|[\s_-])",
-    re.I,
+NAMES = frozenset(
+    "ad ads advert adverts advertisement advertisements advertising sponsor sponsored sponsors promo promos promotion promotions banner banners cookie cookies consent gdpr"
+    " notice notices alert alerts popup popups modal modals overlay overlays nav navbar navigation menu menus breadcrumb breadcrumbs sidebar sidebars footer footers"
+    " header headers masthead comment comments disqus reply replies respond share sharing social related recommended newsletter subscribe subscription login signup search"
+    " widget widgets pagination pager toolbar".split()
 )
+# Parts of names that say where or in what form something stands, not what it is.
+LAYOUT = frozenset(
+    "site page main global top bottom left right inner outer side sticky fixed floating inline mobile desktop primary secondary box bar block blocks wrapper wrap container"
+    " content area panel section region row col column inc slot unit zone list links link items item buttons button icons form group strip text body title label"
+    " posts post articles stories reader readers user users thread".split()
+)
+REFERENCES = frozenset("reference references refs reflist bibliography citation citations footnote footnotes endnotes sources".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+_TOKEN = re.compile(r"<!--|<[!?]|<(/?)([a-zA-Z][^\s/>]{0,63})")
+_STOP = re.compile(r"[>\"']")
+_ATTRIBUTE = re.compile(r"(?<![^\s/\"'>])([^\s=/\"'>]++)\s*+=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+_PARTS = re.compile(r"[_-]+")
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 
 
 class Node:
-    __slots__ = ("tag", "parent", "items", "furniture", "inside", "open_p", "chars", "tags", "link_chars", "link_tags", "heading_chars", "density", "total")
+    __slots__ = ("tag", "parent", "items", "furniture", "inside", "open_p", "chars", "tags", "link_chars", "link_tags", "heading_chars", "density", "total", "references")
 
     def __init__(self, tag: str, parent: Node | None):
         self.tag, self.parent = tag, parent
@@ -58,10 +67,18 @@ class Node:
         self.open_p = self if tag == "p" else None if parent is None or tag in ("table", "button") else parent.open_p
         self.items: list[Node | str] = []
         self.furniture = 0
+        self.references = tag == "ol" or (parent is not None and parent.references)  # may be a list of sources
         self.chars = self.tags = self.link_chars = self.link_tags = self.heading_chars = 0
         self.density = self.total = 0.0
 
 
+def _furniture_names(token: str) -> set[str]:
+    """Furniture that one name speaks of, if it speaks of nothing else: "ad-box" does, "related-work" and "search-results-analysis" do not."""
+    parts = {x for x in _PARTS.split(token) if x and not x.strip("0123456789x") == ""}
+    names = parts & NAMES
+    return names if parts <= NAMES | LAYOUT else set()
+
+
 def _is_furniture(tag: str, rest: str, parent: Node) -> int:
     """0: no; 1: by its kind; 2: by its name, which may also be that of a frame around everything."""
     if tag in FURNITURE:
@@ -76,7 +93,7 @@ def _is_furniture(tag: str, rest: str, parent: Node) -> int:
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(rest)}
     if found.get("role", "").lower() in ROLES:
         return 1
-    names = {m[1].lower() for k in ("class", "id") if k in found for m in NAMES.finditer(found[k])}
+    names = {n for k in ("class", "id") if k in found for token in found[k].lower().split() for n in _furniture_names(token)}
     if tag == "article":  # readers' comments often are articles of their own
         names = {n for n in names if n.startswith(("comment", "repl"))}
     elif inside:  # the article's own head
@@ -90,6 +107,56 @@ def _within(node: Node | None, tags: tuple[str, ...]) -> Node | None:
     return node
 
 
+class _Tags:
+    """Where tags end.  All searches together take time in proportion to the page, also if quotes or tags never close."""
+
+    def __init__(self, page: str):
+        self.page, self.last = page, page.rfind(">")
+        self.next = -1  # first stop at or after the place asked for last
+        self.failed: set[int] = set()  # stops outside quotes after which no tag ends
+
+    def _stop(self, at: int) -> int:
+        found = _STOP.search(self.page, at)
+        return found.start() if found else len(self.page)
+
+    def end(self, at: int) -> int:
+        """Place of the ">" that closes the tag whose name ends at ``at``, -1 if there is none.  Places must ascend."""
+        if at > self.last:
+            return -1
+        if self.next < at:
+            self.next = self._stop(at)
+        stop, seen = self.next, []
+        while stop < len(self.page) and stop not in self.failed:
+            if self.page[stop] == ">":
+                return stop
+            seen.append(stop)
+            close = self.page.find(self.page[stop], stop + 1)
+            if close < 0:
+                break
+            stop = self._stop(close + 1)
+        self.failed.update(seen)
+        return -1
+
+
+def _tokens(page: str):
+    """(start, end, is it a closing tag, its lower-case name or None, what follows the name) of each tag, comment and declaration; takes the place to go on from."""
+    tags, at = _Tags(page), 0
+    while found := _TOKEN.search(page, at):
+        start, at = found.start(), found.end()
+        if found[2]:
+            stop = tags.end(at)
+            if stop >= 0:
+                at = (yield start, stop + 1, bool(found[1]), found[2].lower(), page[at:stop]) or stop + 1
+            continue
+        if found[0] == "<!--":
+            stop = page.find("-->", at)
+            stop = len(page) if stop < 0 else stop + 3
+        else:
+            stop = page.find(">", at) + 1 if at <= tags.last else 0
+        if stop:
+            at = (yield start, stop, False, None, "") or stop
+
+
 def parse(page: str) -> Node:
     """The page's tree; texts have their character references decoded.  Unclosed and stray tags are taken as browsers do in the main."""
     root = Node("#root", None)
@@ -104,18 +171,19 @@ def parse(page: str) -> Node:
             inner = inner.parent
         return up_to
 
-    while at < end:
-        token = _TOKEN.search(page, at)
-        stop = token.start() if token else end
-        if stop > at:
-            node.items.append(entities.unescape(page[at:stop]))
-        if token is None:
+    tokens, go_on = _tokens(page), None
+    while True:
+        try:
+            start, stop, closes, tag, rest = tokens.send(go_on)
+        except StopIteration:
             break
-        at = token.end()
-        if token[2] is None:
+        go_on = None
+        if start > at:
+            node.items.append(entities.unescape(page[at:start]))
+        at = stop
+        if tag is None:
             continue
-        tag = token[2].lower()
-        if token[1]:
+        if closes:
             if opened[tag]:
                 node = close(_within(node, (tag,)).parent)
             continue
@@ -130,7 +198,9 @@ def parse(page: str) -> Node:
             if outer is not None:
                 node = close(outer.parent)
         made = Node(tag, node)
-        made.furniture = _is_furniture(tag, token[3], node)
+        made.furniture = _is_furniture(tag, rest, node)
+        if not made.references and rest:
+            made.references = any(x in REFERENCES for m in _ATTRIBUTE.finditer(rest) if m[1].lower() in ("class", "id") for x in re.split(r"[\s_-]+", (m[2] or m[3] or m[4] or "").lower()))
         if made.inside and not node.inside and not made.furniture:
             above = node
             while above is not None:  # a frame named for what else it holds
@@ -140,25 +210,28 @@ def parse(page: str) -> Node:
         if tag in RAW:
             closing = re.compile(rf"</{tag}\s*>|\Z", re.I).search(page, at)
             made.items.append(page[at : closing.start()])
-            at = closing.end()
-        elif tag not in VOID and not token[3].endswith("/"):
+            at = go_on = closing.end()
+        elif tag not in VOID and not rest.endswith("/"):
             node = made
             opened[tag] += 1
+    if at < end:
+        node.items.append(entities.unescape(page[at:]))
     return root
 
 
-def _order(root: Node) -> list[Node]:
-    """Nodes outside furniture, parents first."""
+def _order(root: Node, named: bool = False) -> list[Node]:
+    """Nodes outside furniture (``named``: but for what only its name makes so), parents first."""
     out, open_ = [], [root]
     while open_:
         node = open_.pop()
         out.append(node)
-        open_.extend(x for x in reversed(node.items) if isinstance(x, Node) and not x.furniture)
+        open_.extend(x for x in reversed(node.items) if isinstance(x, Node) and (not x.furniture or (named and x.furniture == 2)))
     return out
 
 
 def _measure(nodes: list[Node]) -> None:
     for node in nodes:
+        node.tags = node.link_chars = node.link_tags = node.heading_chars = 0
         node.chars = sum(len("".join(x.split())) for x in node.items if isinstance(x, str))
     for node in reversed(nodes):
         if node.tag == "a":
@@ -218,6 +291,11 @@ def article(page: str) -> tuple[Node, set[Node], float] | None:
     body = next((n for n in nodes if n.tag == "body"), root)
     nodes = _order(body)
     _measure(nodes)
+    if not body.chars:  # names alone don't empty a page
+        for node in _order(root, named=True):
+            node.furniture = node.furniture if node.furniture == 1 else 0
+        nodes = _order(body)
+        _measure(nodes)
     if not body.chars:
         return None
     _densities(nodes, body)
@@ -245,7 +323,7 @@ def main_text(page: str | None) -> str:
     blocks: list[list[str]] = [[]]
 
     def links_only(node: Node) -> bool:
-        return node.tag in ("ul", "ol", "div", "section", "table") and node.link_tags > 1 and 2 * node.link_chars > node.chars and node.density < threshold
+        return not node.references and node.tag in ("ul", "ol", "div", "section", "table") and node.link_tags > 1 and 2 * node.link_chars > node.chars and node.density < threshold
 
     def parts(node: Node) -> list[Node | str]:
         """Of a node around taken ones: those, nodes around others, loose texts that reach the threshold, and headings before them."""

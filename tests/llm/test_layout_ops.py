@@ -1,6 +1,7 @@
 """Shards, packing, archives, pages: exact laws and round trips."""
 
 import itertools
+import time
 import zlib
 
 import llm_samples as S
@@ -165,6 +166,33 @@ def test_pages_with_text_in_several_wrappers():
     assert html.main_text(page("<article>" + half(0) + "</article>" + nav + "<article>" + half(5) + "</article>")) == text
 
 
+def test_pages_whose_names_resemble_furniture():
+    line = "Some words of an article that go on for long enough to count as running text. " * 5
+    parts = {"related-work": "Earlier work.", "social-history": "Social history.", "search-results-analysis": "Analysis of results."}
+    body = "".join(f"<section id='{k}'><p>{v} {line}</p></section>" for k, v in parts.items())
+    sources = "<h2>References</h2><ol><li><a href=a>First source</a></li><li><a href=b>Second source</a></li></ol>"
+    cited = "<div class='references'><ul><li><a href=a>Third source</a></li><li><a href=b>Fourth source</a></li></ul></div>"
+    furniture = "<div class='ad-box'>buy this</div><div class='related-posts'>more to read</div><div id=comments>first!</div>"
+    got = html.main_text(f"<body><article><p>{line}</p>{body}{sources}{cited}{furniture}</article></body>")
+    want = [line, *(f"{v} {line}" for v in parts.values()), "References", "First source", "Second source", "Third source", "Fourth source"]
+    assert got == "\n".join(x.strip() for x in want)
+    for name in ("left-side", "sidebar"):  # the only text of a page
+        assert html.main_text(f"<body><div class='{name}'><p>{line}</p></div></body>") == line.strip()
+    assert html.main_text(f"<body><div class='sidebar'>{line}</div><div class='text'><p>{line}!</p></div></body>") == line + "!"
+
+
+def test_stray_quotes_take_linear_time():
+    for bad in ("<a '\"", "<!x ", "<? ", "<a ", "<a<a", "<a b='\" "):
+        for tail in ("", ">x"):
+            start = time.perf_counter()
+            html.main_text(bad * (1_000_000 // len(bad)) + tail)
+            assert time.perf_counter() - start < 10  # quadratic searches take over an hour
+    start = time.perf_counter()
+    html.main_text("<p " + "a" * 1_000_000 + ">x")
+    assert time.perf_counter() - start < 10
+    assert html.main_text("<p title='a > b'>one</p> 1 < 2 <b c=\"d>") == "one\n1 < 2 <b c=\"d>"
+
+
 def test_extract_keeps_rows(spark):
     pages = spark.createDataFrame([(1, "u", page("<p>x y</p>"), "e"), (1, "u", page("<p>x y</p>"), "e"), (None, None, None, None)], "page_id long, url string, html string, text string")
     got = html.extract(pages).collect()
