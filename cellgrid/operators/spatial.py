@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cellgrid.session import materialize
+
+_STEP = 3  # bits by which bucket numbers shrink from one level of a pyramid to the next
 _RING = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1)]
 
 
@@ -44,46 +49,71 @@ def range_semi_join(points: DataFrame, centers: DataFrame, radius: float, salts:
     return p.join(spread, cond, "left_semi").drop("bu", "bv", "bs")
 
 
+def _closest(pairs: DataFrame, key: str, center_key: str) -> DataFrame:
+    """Per point the closest of the centres it was paired with; of equally close ones the lowest key."""
+    d2 = (F.col("x") - F.col("cx")) ** 2 + (F.col("y") - F.col("cy")) ** 2
+    best = F.min(F.struct(d2.alias("d2"), F.col(center_key).alias("c"))).alias("b")
+    return pairs.groupBy(key, "x", "y").agg(best).select(key, "x", "y", F.col("b.d2").alias("distance2"), F.col("b.c").alias("nearest"))
+
+
 def nearest_center(points: DataFrame, centers: DataFrame, key: str, size: float, center_key: str = "cell") -> DataFrame:
     """Squared distance from each point to its closest centre (ties: lowest centre key).
 
     Looks in the 3x3 buckets around a point; a hit no farther than one bucket
-    is final. Unresolved points try again with buckets twice as large, so the
-    work per round is local and shrinks.
+    is final. Points without one go down a pyramid of occupied buckets
+    (:func:`_near_buckets`). Centres at one place count once; points without
+    coordinates have no distance.
     """
     points = points.select(key, "x", "y")
+    centers = centers.where("cx is not null and cy is not null").groupBy("cx", "cy").agg(F.min(center_key).alias(center_key))
     extent = centers.agg(F.min("cx"), F.max("cx"), F.min("cy"), F.max("cy")).first()
     if extent[0] is None:
         raise ValueError("no centres")
-    reach = points.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
-    limit = max(
-        max(extent[1], reach[1] or 0.0) - min(extent[0], reach[0] or 0.0),
-        max(extent[3], reach[3] or 0.0) - min(extent[2], reach[2] or 0.0),
-    )
-    found, left = None, points
-    while True:
-        spread = _spread(centers.select(center_key, "cx", "cy"), size)
-        p = left.withColumns({"bu": _bucket(F.col("x"), size), "bv": _bucket(F.col("y"), size)})
-        d2 = (F.col("x") - F.col("cx")) ** 2 + (F.col("y") - F.col("cy")) ** 2
-        best = (
-            p.join(spread, ["bu", "bv"], "left")
-            .groupBy(key, "x", "y")
-            .agg(F.min(F.struct(d2.alias("d2"), F.col(center_key).alias("c"))).alias("b"))
-            .select(key, "x", "y", F.col("b.d2").alias("distance2"), F.col("b.c").alias("nearest"))
-        )
-        done = F.coalesce(F.col("distance2") <= F.lit(size * size), F.lit(False))
-        if size > limit:
-            hit = best
-        else:
-            hit = best.where(done)
-        hit = hit.select(key, "distance2", "nearest")
-        found = hit if found is None else found.unionByName(hit)
-        if size > limit:
-            return found
-        left = best.where(~done).select(key, "x", "y")
-        if left.isEmpty():
-            return found
-        size *= 2.0
+    bucketed = points.withColumns({"bu": _bucket(F.col("x"), size), "bv": _bucket(F.col("y"), size)})
+    first = materialize(_closest(bucketed.join(_spread(centers, size), ["bu", "bv"], "left"), key, center_key), "nearest")
+    done = F.coalesce(F.col("distance2") <= F.lit(size * size), F.col("x").isNull() | F.col("y").isNull())
+    found, left = first.where(done).select(key, "distance2", "nearest"), first.where(~done).select(key, "x", "y")
+    if left.isEmpty():
+        return found
+    left = left.withColumns({"qu": _bucket(F.col("x"), size), "qv": _bucket(F.col("y"), size)})
+    leaves = centers.withColumns({"bu": _bucket(F.col("cx"), size), "bv": _bucket(F.col("cy"), size)})
+    near = _near_buckets(left.select("qu", "qv").distinct(), leaves.select("bu", "bv").distinct(), [math.floor(v / size) for v in extent])
+    rest = _closest(left.join(near, ["qu", "qv"]).join(leaves, ["bu", "bv"]), key, center_key)
+    return found.unionByName(rest.select(key, "distance2", "nearest"))
+
+
+def _near_buckets(queries: DataFrame, leaves: DataFrame, extent: list[int]) -> DataFrame:
+    """Per query bucket (qu, qv) all occupied buckets (bu, bv) that may hold the closest centre of a point in it.
+
+    A bucket of one level has 8 x 8 buckets of the next finer one. From at most
+    2 x 2 buckets around everything (``extent``: lowest and highest bu, bv) each
+    level keeps those not farther, at best, than the closest one is at worst. So
+    the steps follow the logarithm of the extent, and a query meets a thin rim of
+    buckets and never all centres. Many queries share a coarse bucket, which has
+    at most 64 finer ones: adaptive execution splits that side.
+    """
+    umin, umax, vmin, vmax = extent
+    top = 1
+    while (umax >> _STEP * top) - (umin >> _STEP * top) > 1 or (vmax >> _STEP * top) - (vmin >> _STEP * top) > 1:
+        top += 1
+    roots = [F.struct(F.lit(u).cast("bigint").alias("pu"), F.lit(v).cast("bigint").alias("pv")) for u in {umin >> _STEP * top, umax >> _STEP * top} for v in {vmin >> _STEP * top, vmax >> _STEP * top}]
+    kept = queries.select("qu", "qv", F.explode(F.array(*roots)).alias("r")).select("qu", "qv", "r.*")
+    for level in range(top - 1, -1, -1):
+        width = float(1 << _STEP * level)
+        finer = leaves.select(F.shiftright("bu", _STEP * level).alias("bu"), F.shiftright("bv", _STEP * level).alias("bv")).distinct()
+        pairs = kept.join(finer.withColumns({"pu": F.shiftright("bu", _STEP), "pv": F.shiftright("bv", _STEP)}), ["pu", "pv"])
+
+        def gap(q: str, b: str) -> Column:
+            return F.greatest(F.col(b) * width - F.col(q) - 1.0, F.col(q) - (F.col(b) + 1) * width, F.lit(0.0))
+
+        def span(q: str, b: str) -> Column:
+            return F.greatest((F.col(b) + 1) * width - F.col(q), F.col(q) + 1.0 - F.col(b) * width)
+
+        low, high = gap("qu", "bu") ** 2 + gap("qv", "bv") ** 2, span("qu", "bu") ** 2 + span("qv", "bv") ** 2
+        bound = F.min(high).over(Window.partitionBy("qu", "qv"))  # one query bucket's candidates, never many
+        pairs = pairs.select("qu", "qv", "bu", "bv", low.alias("low"), bound.alias("bound"))
+        kept = materialize(pairs.where(F.col("low") <= F.col("bound") * (1 + 1e-9)).select("qu", "qv", F.col("bu").alias("pu"), F.col("bv").alias("pv")), "near")
+    return kept.select("qu", "qv", F.col("pu").alias("bu"), F.col("pv").alias("bv"))
 
 
 def bounding_box(df: DataFrame, low: tuple[float, float], high: tuple[float, float]) -> DataFrame:

@@ -1,6 +1,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -136,6 +137,25 @@ def test_nearest_center_against_brute_force(spark):
     assert got == want
 
 
+def test_nearest_center_of_far_clusters_takes_few_jobs(spark):
+    rng = np.random.default_rng(5)
+    at = np.concatenate([rng.normal((-4e4, 7e4), 30, (150, 2)), rng.normal((9e5, -3e5), 30, (150, 2))]).round(1)
+    at = np.concatenate([at, at[:20]])  # places taken twice: the lower key counts
+    centers = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(at)], "cell long, cx double, cy double")
+    where = np.concatenate([at[::7], rng.uniform(-1e6, 1e6, (150, 2)), [[4.3e5, -1.15e5], [-4e4, 7e4]]]).round(1)
+    rows = [(i, float(x), float(y)) for i, (x, y) in enumerate(where)] + [(-1, None, 2.0)]
+    points = spark.createDataFrame(rows, "id long, x double, y double")
+    sc = spark.sparkContext
+    sc.setJobGroup("nearest", "nearest centres")
+    got = {r.id: (r.nearest, r.distance2) for r in nearest_center(points, centers, "id", size=5.0).collect()}
+    jobs = len(sc.statusTracker().getJobIdsForGroup("nearest"))
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    d2 = ((where[:, None, :] - at[None, :, :]) ** 2).sum(axis=2)
+    assert len(got) == len(rows) and got.pop(-1) == (None, None)
+    assert {i: n for i, (n, _) in got.items()} == {i: int(n) for i, n in enumerate(d2.argmin(axis=1))}
+    assert all(abs(d - d2[i].min()) <= 1e-6 * max(d2[i].min(), 1.0) for i, (_, d) in got.items())
+    assert jobs < 40, jobs  # doubling buckets takes 19 rounds and repeats the earlier ones in each
+
 def _inside(x, y, ring):
     hit = False
     for (x1, y1), (x2, y2) in zip(ring, ring[1:], strict=False):
