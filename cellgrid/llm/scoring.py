@@ -1,17 +1,20 @@
 """Cross-entropy difference of documents under a target and a background language model.
 
-Both models are interpolated bigram models with absolute discounting over one vocabulary:
-the corpus's most frequent words (above a count), and one symbol for all others.  The target model counts
-labelled good documents, the background model all documents.  A document's score is its
-mean loss per token under the target model minus that under the background model; the
-lower, the more it reads like the target.
-
-The vocabulary has a fixed size, so unigram and context statistics are bounded and are
-broadcast.  Bigram counts grow with the corpus.  They are kept as sorted arrays in model
-shards by hash of the bigram, and documents send the bigrams they need there: a chunk of
-documents sends one row to each shard, each shard has copies for groups of chunks, so that
-a frequent bigram's requests spread over tasks, and answers are sums per document.
-Bigrams counted once in the corpus are not stored: a bigram that the model lacks is one.
+Both models are bigram models with absolute discounting over one vocabulary: every word
+that the corpus holds ``MIN_COUNT`` times, a boundary between documents, and one symbol for
+words seen more rarely.  The background model counts all documents, the target model the
+labelled good ones; the target's unigrams are discounted towards the background's.
+Bigrams seen more rarely than ``MIN_COUNT`` times are left to the back-off, in both models.
+A document's score is its mean loss per token (its words and its end) under the target
+model minus that under the background model; the lower, the more it reads like the target.
+
+A token that backs off loses the sum of a part of its context and a part of its own word, and
+a stored bigram adds a correction.  So the difference of the models is one table of
+(fingerprint, gain) for words and bigrams, and a score is a sum of looked-up gains.  That table grows with the
+corpus.  It is kept as sorted arrays in shards by hash; a chunk of documents sends one row
+with its different fingerprints to each shard, each shard has copies for groups of chunks, so
+that requests for a frequent one spread over tasks, and answers are sums per document.
+Nothing that grows is broadcast.
 """
 
 from __future__ import annotations
@@ -19,21 +22,22 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellgrid.llm.store import arrow_map, drop_table, write_table
+from cellgrid.llm.store import temporary, write_table
 from cellgrid.llm.words import Lexer, Words, find_words, mix, slices
 
-VOCABULARY = 65_535  # words in the shared vocabulary at most; symbol 0 is every other word
+MIN_COUNT = 2  # words and bigrams that occur less often are not told apart
 DISCOUNT = 0.75
 CHUNK_BYTES = 4 << 20  # documents that ask together
-SHARD_ENTRIES, CELL_ENTRIES = 500_000, 8_000_000  # different bigrams in a model shard; asked ones in a task, both on average
+COUNT_ENTRIES = 1_000_000  # tokens for each task that adds bigram counts up, on average
+SHARD_ENTRIES, CELL_ENTRIES = 4_000_000, 8_000_000  # gains in a model shard; tokens and bigrams asked in a task, both on average
 HELD_ENTRIES = 1_000_000  # sums that a task holds before it sends them on
 BROADCAST_IDS = 500_000  # more target documents than this are joined by a shuffle
+BOUNDARY = np.uint64(0x5851F42D4C957F2D)  # fingerprint of what stands between documents
 WORDS = Lexer("space", lower=True)
 
 
@@ -47,12 +51,13 @@ def mark_target(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return named.join(good, F.col("doc_id") == F.col("__good"), "left").select("doc_id", "text", F.col("__good").isNotNull().alias("target"))
 
 
-def _summed(keys: np.ndarray, *weights: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Distinct keys in order with their summed weights."""
+def _summed(keys: np.ndarray, corpus: np.ndarray, target: np.ndarray, *carried: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct keys in order with their summed counts, and the carried values of one row each."""
     order = np.argsort(keys, kind="stable")
     keys = keys[order]
     first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))[: len(keys)]
-    return (keys[first], *(np.add.reduceat(w[order], first) if len(first) else w for w in weights))
+    sums = (np.add.reduceat(w[order], first) if len(first) else w for w in (corpus, target))
+    return (keys[first], *sums, *(c[order[first]] for c in carried))
 
 
 class _Sums:
@@ -78,9 +83,10 @@ def _counted(batches, keyed, rows):
     sums = _Sums()
     for batch in batches:
         for piece in slices(batch, "text"):
-            keys, words = keyed(piece)
-            target = np.asarray(piece.column("target").cast(pa.int8()), np.int64)[words.doc]
-            sums.add(*_summed(keys, np.ones(len(keys), np.int64), target))
+            context, word, doc = sequence(find_words(piece.column("text"), WORDS))
+            target = np.asarray(piece.column("target").cast(pa.int8()), np.int64)[doc]
+            keys, *carried = keyed(context, word)
+            sums.add(*_summed(keys, np.ones(len(keys), np.int64), target, *carried))
             if len(sums) > 2 * HELD_ENTRIES:
                 found = sums.get()
                 sums = _Sums()
@@ -92,188 +98,200 @@ def _counted(batches, keyed, rows):
         yield from rows(*sums.get())
 
 
-def vocabulary(marked: DataFrame, most: int = VOCABULARY) -> tuple[np.ndarray, np.ndarray]:
-    """(word fingerprints in order, counts per symbol); counts[:, 0] are the corpus's, [:, 1] the target's.
+def sequence(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(context, word after it, row) of each token; a document with words is a ring of a boundary and its words."""
+    filled = np.flatnonzero(np.diff(words.first) > 0)
+    at = words.first[filled]
+    context = np.insert(words.hash, at, BOUNDARY)
+    return context, np.append(context[1:], BOUNDARY)[: len(context)], np.insert(words.doc, at, filled)
+
+
+def pair_key(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Fingerprint of a bigram."""
+    return mix(context * np.uint64(0x9E3779B97F4A7C15) + mix(word + np.uint64(1)))
 
-    Words above a count, the lowest that leaves at most ``most`` of them; so equally
-    frequent words are in together or out together.
-    """
 
-    def keyed(piece: pa.RecordBatch):
-        words = find_words(piece.column("text"), WORDS)
-        return words.hash, words
+@dataclass
+class Totals:
+    """Index 0 is the corpus (background), 1 the target."""
+
+    symbols: int  # kept words and the symbol for the rest
+    tokens: tuple[int, int]
+    rest: tuple[int, int]  # tokens of words that are not kept
+    kinds: int  # symbols that the target holds
+
+    def unigrams(self, corpus: Column, target: Column) -> tuple[Column, Column]:
+        """Probabilities of a symbol with these counts."""
+        background = (corpus + 1.0) / F.lit(float(self.tokens[0] + self.symbols))
+        if not self.tokens[1]:
+            return background, background
+        n = float(self.tokens[1])
+        return background, F.greatest(target - DISCOUNT, F.lit(0.0)) / n + F.lit(DISCOUNT * self.kinds / n) * background
+
+    def rest_gain(self) -> float:
+        """log p(background) - log p(target) of the rest."""
+        background = (self.rest[0] + 1.0) / (self.tokens[0] + self.symbols)
+        if not self.tokens[1]:
+            return 0.0
+        target = (max(self.rest[1] - DISCOUNT, 0.0) + DISCOUNT * self.kinds * background) / self.tokens[1]
+        return float(np.log(background) - np.log(target))
+
+
+def count_words(marked: DataFrame) -> tuple[DataFrame, Totals]:
+    """((word, corpus, target) of the words that are kept, totals)."""
 
     def rows(keys: np.ndarray, corpus: np.ndarray, target: np.ndarray):
         for low in range(0, len(keys), 1 << 16):
             part = slice(low, low + (1 << 16))
             yield pa.RecordBatch.from_arrays([pa.array(keys[part].view(np.int64)), pa.array(corpus[part]), pa.array(target[part])], ["word", "corpus", "target"])
 
-    count = lambda batches: _counted(batches, keyed, rows)
+    count = lambda batches: _counted(batches, lambda context, word: (context,), rows)
 
     counted = marked.mapInArrow(count, "word long, corpus long, target long").groupBy("word").agg(F.sum("corpus").alias("corpus"), F.sum("target").alias("target"))
     stored = write_table(counted, "unigrams")
-    total = stored.agg(F.coalesce(F.sum("corpus"), F.lit(0)).alias("corpus"), F.coalesce(F.sum("target"), F.lit(0)).alias("target")).first()
-    top = stored.filter(F.col("corpus") > _cutoff(stored, most)).toPandas()  # at most ``most`` rows
-    drop_table(stored)
-    words = top["word"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(words)
-    counts = top[["corpus", "target"]].to_numpy(np.int64).reshape(-1, 2)[order]
-    rest = np.array([[total["corpus"], total["target"]]], np.int64) - counts.sum(0)
-    return words[order], np.concatenate([rest, counts])
-
-
-def _cutoff(stored: DataFrame, most: int) -> int:
-    """The smallest count that no more than ``most`` words exceed, from a histogram on a logarithmic scale and one of the bin it falls in."""
-    bin_ = F.floor(F.log2("corpus") * 64)
-    coarse = stored.groupBy(bin_.alias("b")).agg(F.count("*").alias("n")).collect()  # at most 64 rows for each doubling
-    above, cut = 0, None
-    for b, n in sorted(((r["b"], r["n"]) for r in coarse), reverse=True):
-        if above + n > most:
-            cut = b
-            break
-        above += n
-    if cut is None:
-        return 0
-    fine = stored.filter(bin_ == cut).groupBy("corpus").agg(F.count("*").alias("n")).collect()  # counts within one hundredth of each other
-    for value, n in sorted(((r["corpus"], r["n"]) for r in fine), reverse=True):
-        above += n
-        if above > most:
-            return value
-    raise AssertionError("the bin holds the cutoff")
-
-
-def symbols(words: Words, known: np.ndarray) -> np.ndarray:
-    """Symbol of each word."""
-    if not len(known) or not len(words):
-        return np.zeros(len(words), np.uint32)
-    code, kinds = pd.factorize(words.hash)
-    at = np.minimum(np.searchsorted(known, kinds), len(known) - 1)
-    return np.where(known[at] == kinds, at + 1, 0).astype(np.uint32)[code]
-
-
-def bigrams(words: Words, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(bigram as context * 2**16 + word, index of its second word); a document's first word follows symbol 0."""
-    own = symbols(words, known)
-    before = np.zeros(len(own), np.uint32)
-    before[1:] = own[:-1]
-    before[words.first[:-1][np.diff(words.first) > 0]] = 0
-    return (before << np.uint32(16)) | own, np.arange(len(own))
+    kept = F.col("corpus") >= MIN_COUNT
+    total = lambda column, where: F.coalesce(F.sum(F.when(where, F.col(column))), F.lit(0))
+    t = stored.agg(
+        F.count_if(kept).alias("kept"), F.count_if(kept & (F.col("target") > 0)).alias("kinds"),
+        total("corpus", F.lit(True)).alias("n0"), total("target", F.lit(True)).alias("n1"), total("corpus", ~kept).alias("r0"), total("target", ~kept).alias("r1"),
+    ).first()
+    return stored.filter(kept), Totals(t["kept"] + 1, (t["n0"], t["n1"]), (t["r0"], t["r1"]), t["kinds"] + (t["r1"] > 0))
 
 
 def _shard(keys: np.ndarray, shards: int) -> np.ndarray:
-    return (mix(keys.astype(np.uint64)) % np.uint64(shards)).astype(np.int64)
+    return (mix(keys) % np.uint64(shards)).astype(np.int64)
 
 
 def _by_shard(keys: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
-    """(order that puts keys of a shard together and in order, bounds of the shards)."""
+    """(order that puts the sorted ``keys`` of a shard together and keeps them in order, bounds of the shards)."""
     shard = _shard(keys, shards)
-    order = np.lexsort((keys, shard))
+    order = np.argsort(shard, kind="stable")
     return order, np.searchsorted(shard[order], np.arange(shards + 1))
 
 
-def count_bigrams(marked: DataFrame, known: np.ndarray, shards: int) -> DataFrame:
-    """(shard, keys, corpus, target): the corpus's bigrams as one row of sorted arrays per shard."""
-    shared = marked.sparkSession.sparkContext.broadcast(known)
-
-    def keyed(piece: pa.RecordBatch):
-        words = find_words(piece.column("text"), WORDS)
-        return bigrams(words, shared.value)[0], words
-
-    def rows(keys: np.ndarray, corpus: np.ndarray, target: np.ndarray):
-        order, bounds = _by_shard(keys, shards)
-        yield _arrays({"shard": np.arange(shards)}, bounds, {"keys": keys[order], "corpus": corpus[order].astype(np.uint32), "target": target[order].astype(np.uint32)})
+def _pack(values: np.ndarray) -> bytes:
+    """Whole numbers in as few bytes each as the largest needs, after one byte that says how many."""
+    most = int(values.max()) if len(values) else 0
+    width = next(w for w in (1, 2, 4, 8) if most < 1 << (8 * w))
+    return bytes([width]) + values.astype(f"<u{width}").tobytes()
 
-    count = lambda batches: _counted(batches, keyed, rows)
 
-    def merge(batches):
-        held: dict[int, _Sums] = {}
-        for batch in batches:
-            columns = [batch.column(k).to_pylist() for k in ("shard", "keys", "corpus", "target")]
-            for shard, *raw in zip(*columns, strict=True):
-                if raw[0]:
-                    keys, corpus, target = (np.frombuffer(x, np.uint32) for x in raw)
-                    held.setdefault(shard, _Sums()).add(keys, corpus.astype(np.int64), target.astype(np.int64))
-        for shard, sums in held.items():
-            keys, corpus, target = (x.astype(np.uint32) for x in sums.get())
-            yield _arrays({"shard": np.array([shard])}, np.array([0, len(keys)]), {"keys": keys, "corpus": corpus, "target": target})
+def _unpack(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, f"<u{raw[0]}", offset=1).astype(np.int64)
 
-    kind = "shard long, keys binary, corpus binary, target binary"
-    return write_table(marked.mapInArrow(count, kind).repartition(shards, "shard").mapInArrow(merge, kind), "bigrams")
 
+def count_pairs(marked: DataFrame, tasks: int) -> DataFrame:
+    """(key, context, word, corpus, target) of the bigrams that occur ``MIN_COUNT`` times."""
 
-def _arrays(head: dict[str, np.ndarray], bounds: np.ndarray, columns: dict[str, np.ndarray]) -> pa.RecordBatch:
-    """Rows of number arrays as binary values: row i has elements ``bounds[i]:bounds[i+1]`` of each column."""
-    rows = [pa.array([memoryview(np.ascontiguousarray(v))[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary()) for v in columns.values()]
-    return pa.RecordBatch.from_arrays([*map(pa.array, head.values()), *rows], [*head, *columns])
+    def rows(keys, corpus, target, context, word):
+        order, bounds = _by_shard(keys, tasks)
+        cut = [order[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        arrays = [[context[x].tobytes() for x in cut], [word[x].tobytes() for x in cut], [_pack(corpus[x]) for x in cut], [_pack(target[x]) for x in cut]]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(tasks)), *(pa.array(a, pa.binary()) for a in arrays)], ["shard", "context", "word", "corpus", "target"])
 
+    count = lambda batches: _counted(batches, lambda context, word: (pair_key(context, word), context, word), rows)
 
-@dataclass
-class Models:
-    """What both models need besides bigram counts.  Index 0 is the corpus's (background), 1 the target's."""
-
-    known: np.ndarray
-    unigram: np.ndarray  # (symbols, 2): probabilities
-    total: np.ndarray  # (symbols, 2): how often a context occurs
-    kinds: np.ndarray  # (symbols, 2): how many words follow it
-
-    def gain(self, keys: np.ndarray, corpus: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """log p(background) - log p(target) of bigrams with these counts."""
-        context, word = keys >> np.uint32(16), keys & np.uint32(0xFFFF)
-        logs = []
-        for model, counts in enumerate((corpus, target)):
-            total = self.total[context, model]
-            backoff = np.where(total > 0, DISCOUNT * self.kinds[context, model] / np.maximum(total, 1), 1.0)
-            logs.append(np.log(np.maximum(counts - DISCOUNT, 0) / np.maximum(total, 1) + backoff * self.unigram[word, model]))
-        return logs[0] - logs[1]
-
-
-def fit(marked: DataFrame, most: int = VOCABULARY) -> tuple[DataFrame, Models, int]:
-    """(bigram shards, bounded statistics, number of shards)."""
-    known, counts = vocabulary(marked, most)
-    tokens = counts.sum(0)
-    width = len(counts)
-    shards = max(1, int(min(tokens[0], width * width) // (4 * SHARD_ENTRIES)))  # different bigrams are several times fewer than tokens
-    table = count_bigrams(marked, known, shards)
-
-    def contexts(batches):
-        sums = np.zeros((width, 4), np.int64)
+    def merge(batches):
+        held: dict[int, _Sums] = {}
         for batch in batches:
-            for keys, *raw in zip(*(batch.column(k).to_pylist() for k in ("keys", "corpus", "target")), strict=True):
-                context = np.frombuffer(keys, np.uint32) >> np.uint32(16)
-                for model, values in enumerate(np.frombuffer(x, np.uint32).astype(np.int64) for x in raw):
-                    sums[:, model] += np.bincount(context, values, width).astype(np.int64)
-                    sums[:, 2 + model] += np.bincount(context, values > 0, width).astype(np.int64)
-        at = np.flatnonzero(sums.any(1))
-        yield pa.RecordBatch.from_arrays([pa.array(at), *(pa.array(sums[at, k]) for k in range(4))], ["context", "a", "b", "c", "d"])
+            for shard, *raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                context, word = (np.frombuffer(x, np.uint64) for x in raw[:2])
+                if len(context):
+                    held.setdefault(shard, _Sums()).add(pair_key(context, word), *map(_unpack, raw[2:]), context, word)
+        for sums in held.values():
+            keys, corpus, target, context, word = sums.get()
+            often = np.flatnonzero(corpus >= MIN_COUNT)
+            for low in range(0, len(often), 1 << 16):
+                at = often[low : low + (1 << 16)]
+                columns = [keys[at].view(np.int64), context[at].view(np.int64), word[at].view(np.int64), corpus[at], target[at]]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "context", "word", "corpus", "target"])
+
+    parts = marked.mapInArrow(count, "shard long, context binary, word binary, corpus binary, target binary").repartition(tasks, "shard")
+    return write_table(parts.mapInArrow(merge, "key long, context long, word long, corpus long, target long"), "bigrams")
+
+
+def gains(words: DataFrame, pairs: DataFrame, totals: Totals) -> DataFrame:
+    """(key, gain): what each word and each stored bigram adds to log p(background) - log p(target).
+
+    A word's gain is that of its unigram and of its back-off as a context, less that of the
+    rest; a bigram's is what remains between the models' probabilities and the back-off's.
+    """
+    above = lambda n: F.greatest(F.col(n) - DISCOUNT, F.lit(0.0))
+    used = pairs.groupBy("context").agg(F.sum(above("corpus")).alias("s0"), F.sum(above("target")).alias("s1"))
+    left = lambda s, n: F.when(F.col(n) > 0, 1 - F.coalesce(F.col(s), F.lit(0.0)) / F.col(n)).otherwise(1.0)
+    u0, u1 = totals.unigrams(F.col("corpus"), F.col("target"))
+    joined = words.join(used.hint("merge"), words["word"] == used["context"], "left")
+    symbols = write_table(joined.select("word", F.col("corpus").alias("n0"), F.col("target").alias("n1"), left("s0", "corpus").alias("b0"), left("s1", "target").alias("b1"), u0.alias("u0"), u1.alias("u1")), "symbols")
+    own = symbols.select(F.col("word").alias("key"), (F.ln("b0") - F.ln("b1") + F.ln("u0") - F.ln("u1") - totals.rest_gain()).alias("gain"))
+    before = symbols.select(F.col("word").alias("context"), "n0", "n1", "b0", "b1")
+    both = pairs.join(before.hint("merge"), "context").join(symbols.select("word", "u0", "u1").hint("merge"), "word")
+    more = lambda count, n, b, u: F.when(F.col(n) > 0, F.log1p(above(count) / F.col(n) / (F.col(b) * F.col(u)))).otherwise(0.0)
+    pair = both.select("key", (more("corpus", "n0", "b0", "u0") - more("target", "n1", "b1", "u1")).alias("gain"))
+    return own.unionByName(pair)
+
+
+def fit(marked: DataFrame) -> tuple[DataFrame, Totals, int]:
+    """(model of rows (shard, keys, gains) with arrays in order of the keys, totals, number of shards)."""
+    with temporary() as keep:
+        words, totals = count_words(marked)
+        pairs = count_pairs(marked, max(1, totals.tokens[0] // COUNT_ENTRIES))
+        shards = max(1, (totals.symbols + pairs.count()) // SHARD_ENTRIES)
+
+        def sharded(batches):
+            for batch in batches:
+                shard = _shard(batch.column(0).to_numpy().view(np.uint64), shards)
+                yield pa.RecordBatch.from_arrays([pa.array(shard), batch.column(0), batch.column(1).cast(pa.float32())], ["shard", "key", "gain"])
+
+        def arrays(batches):
+            shard, held = None, []
+            for batch in batches:
+                at = batch.column(0).to_numpy()
+                cuts = [0, *(np.flatnonzero(np.diff(at)) + 1), len(at)]
+                for low, high in zip(cuts[:-1], cuts[1:], strict=True):
+                    if low == high:
+                        continue
+                    if held and at[low] != shard:
+                        yield row(shard, held)
+                        held = []
+                    shard = at[low]
+                    held.append(batch.slice(low, high - low))
+            if held:
+                yield row(shard, held)
 
-    found = table.select("keys", "corpus", "target").mapInArrow(contexts, "context long, a long, b long, c long, d long")
-    sums = found.groupBy("context").agg(*(F.sum(k).alias(k) for k in "abcd")).toPandas()  # one row for each symbol at most
-    filled = np.zeros((width, 4), np.int64)
-    filled[sums["context"].to_numpy(np.int64)] = sums[list("abcd")].to_numpy(np.int64)
-    unigram = (counts + 1) / (tokens + width)
-    return table, Models(known, unigram, filled[:, :2], filled[:, 2:]), shards
+        def row(shard: int, held: list[pa.RecordBatch]) -> pa.RecordBatch:
+            keys, values = (np.concatenate([b.column(k).to_numpy() for b in held]) for k in (1, 2))
+            order = np.argsort(keys.view(np.uint64))
+            return pa.RecordBatch.from_arrays([pa.array([shard]), *(pa.array([x[order].tobytes()], pa.binary()) for x in (keys, values))], ["shard", "keys", "gains"])
 
+        rows = gains(words, pairs, totals).mapInArrow(sharded, "shard long, key long, gain float")
+        packed = rows.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(arrays, "shard long, keys binary, gains binary")
+        return keep(write_table(packed, "model")), totals, shards
 
-def score(docs: DataFrame, labels: DataFrame, most: int = VOCABULARY) -> DataFrame:
-    """Per row: doc_id, n_tokens, score (mean loss per token, target minus background, in nats).
+
+def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Per row: doc_id, n_tokens (words), score (mean loss per token, target minus background, in nats).
 
     A null or empty text has no tokens and score 0.  Without target documents the target
-    model is uniform over the vocabulary.  Rows that repeat are counted and scored singly.
+    model is the background's unigrams.  Rows that repeat are counted and scored singly; a tie cannot arise.
+    Very long texts are counted in one task each and never cut.  Empty tables give no rows.
+    Other columns are not read, whatever they are called.
     """
-    spark = docs.sparkSession
     marked = mark_target(docs, labels)
-    table, models, shards = fit(marked, most)
-    shared = spark.sparkContext.broadcast(models)
-    asked = int(models.total[:, 0].sum())
-    copies = max(1, asked // (shards * CELL_ENTRIES))
-
-    def model_rows(batch: pa.RecordBatch):
-        for shard, *raw in zip(*(batch.column(k).to_pylist() for k in ("shard", "keys", "corpus", "target")), strict=True):
-            keys, corpus, target = (np.frombuffer(x, np.uint32) for x in raw)
-            several = corpus > 1
-            keys, gain = keys[several], shared.value.gain(keys[several], corpus[several], target[several]).astype(np.float32)
-            for copy in range(copies):
-                yield _request(shard * copies + copy, -1, keys=keys, doc=gain)
+    with temporary() as keep:
+        model, totals, shards = fit(marked)
+        return _collect(keep(_answers(marked, model, totals, shards)))
+
+
+def _answers(marked: DataFrame, model: DataFrame, totals: Totals, shards: int) -> DataFrame:
+    """Sums of gains for documents of a chunk from one shard (``_ANSWER``)."""
+    copies = max(1, 2 * totals.tokens[0] // (shards * CELL_ENTRIES))
+    rest = totals.rest_gain()
+
+    def model_rows(batches):
+        for batch in batches:
+            for shard, keys, values in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for copy in range(copies):
+                    yield _rows(_REQUEST, [{"cell": shard * copies + copy, "chunk": -1, "keys": keys, "docs": values}])
 
     def ask(batches):
         part, number = TaskContext.get().partitionId(), 0
@@ -281,44 +299,52 @@ def score(docs: DataFrame, labels: DataFrame, most: int = VOCABULARY) -> DataFra
             for piece in slices(batch, "text", CHUNK_BYTES):
                 chunk = (part << 32) | number
                 number += 1
+                copy = int(mix(np.array([chunk], np.uint64))[0] % np.uint64(copies))
                 words = find_words(piece.column("text"), WORDS)
-                keys, at = bigrams(words, shared.value.known)
-                both, n = _summed((keys.astype(np.uint64) << np.uint64(32)) | words.doc[at].astype(np.uint64), np.ones(len(keys), np.int64))
-                keys, doc = (both >> np.uint64(32)).astype(np.uint32), both.astype(np.uint32)
-                target = np.asarray(piece.column("target").cast(pa.int8()), np.uint32)[doc]
+                context, word, doc = sequence(words)
+                keys, doc = np.concatenate([context, pair_key(context, word)]), np.concatenate([doc, doc])
+                order = np.argsort(keys, kind="stable")
+                keys, doc = keys[order], doc[order]
+                first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))[: len(keys)]
+                times, keys = np.diff(np.append(first, len(doc))), keys[first]
                 order, bounds = _by_shard(keys, shards)
-                keys, doc, n = keys[order], doc[order], ((n.astype(np.uint32) << np.uint32(1)) | target)[order]
-                copy = int(mix(np.array([chunk], np.uint64))[0] % np.uint64(copies))
                 named = piece.column("doc_id")
+                rows = []
                 for shard in range(shards):  # the first shard's row also names the documents
-                    if shard and bounds[shard] == bounds[shard + 1]:
+                    at = order[bounds[shard] : bounds[shard + 1]]
+                    if shard and not len(at):
                         continue
-                    part_ = slice(bounds[shard], bounds[shard + 1])
-                    rows = {} if shard else {"ids": np.asarray(named.fill_null(0), np.int64), "null_ids": np.asarray(named.is_null()), "tokens": np.diff(words.first)}
-                    yield _request(shard * copies + copy, chunk, keys=keys[part_], doc=doc[part_], n=n[part_], **rows)
+                    n = times[at]
+                    where = np.repeat(first[at] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                    head = {} if shard else {"ids": np.asarray(named.fill_null(0), np.int64).tobytes(), "null_ids": np.asarray(named.is_null()).tobytes(), "tokens": np.diff(words.first).tobytes()}
+                    rows.append({"cell": shard * copies + copy, "chunk": chunk, "keys": keys[at].tobytes(), "times": _pack(n), "docs": _pack(doc[where]), **head})
+                yield _rows(_REQUEST, rows)
 
     def answer(batches):
-        known, gains = np.zeros(0, np.uint32), np.zeros(0, np.float32)
+        cell, known, values = None, np.zeros(0, np.uint64), np.zeros(0, np.float32)
         for batch in batches:
             for row in batch.to_pylist():
-                keys = np.frombuffer(row["keys"], np.uint32)
+                if row["cell"] != cell:
+                    cell, known, values = row["cell"], np.zeros(0, np.uint64), np.zeros(0, np.float32)
+                keys = np.frombuffer(row["keys"], np.uint64)
                 if row["chunk"] < 0:  # a cell's model comes before its requests
-                    known, gains, cell = keys, np.frombuffer(row["doc"], np.float32), row["cell"]
+                    known, values = keys, np.frombuffer(row["docs"], np.float32)
                     continue
-                if not len(known) or row["cell"] != cell:
-                    known, cell = np.zeros(0, np.uint32), row["cell"]
-                doc, packed = np.frombuffer(row["doc"], np.uint32), np.frombuffer(row["n"], np.uint32)
-                n, once = packed >> np.uint32(1), (packed & np.uint32(1)).astype(np.int64)
-                gain = shared.value.gain(keys, np.ones(len(keys), np.int64), once)
+                found = np.zeros(len(keys))
                 if len(known):
                     at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-                    gain = np.where(known[at] == keys, gains[at], gain)
-                sums = np.bincount(doc, n * gain) if len(doc) else np.zeros(0)
-                yield _answer(row, sums)
+                    found = np.where(known[at] == keys, values[at], 0.0).astype(np.float64)
+                sums = np.bincount(_unpack(row["docs"]), np.repeat(found, _unpack(row["times"])))
+                some = np.flatnonzero(sums)
+                yield _rows(_ANSWER, [{"chunk": row["chunk"], "cell": cell, "docs": _pack(some), "sums": sums[some].tobytes(), **{k: row[k] for k in ("ids", "null_ids", "tokens")}}])
 
-    requests = marked.mapInArrow(ask, _REQUEST).unionByName(arrow_map(table, model_rows, _REQUEST))
+    requests = marked.mapInArrow(ask, _ddl(_REQUEST)).unionByName(model.mapInArrow(model_rows, _ddl(_REQUEST)))
     cells = requests.repartition(shards * copies, "cell").sortWithinPartitions("cell", "chunk")
-    answers = write_table(cells.mapInArrow(answer, _ANSWER), "answers")
+    return write_table(cells.mapInArrow(answer, _ddl(_ANSWER)).withColumn("rest", F.lit(rest)), "answers")
+
+
+def _collect(answers: DataFrame) -> DataFrame:
+    """The documents of each chunk from the answers of all shards."""
 
     def collect(batches):
         held: list[dict] = []
@@ -334,27 +360,23 @@ def score(docs: DataFrame, labels: DataFrame, most: int = VOCABULARY) -> DataFra
     return answers.repartition("chunk").sortWithinPartitions("chunk", "cell").mapInArrow(collect, "doc_id long, n_tokens long, score double")
 
 
-_REQUEST = "cell long, chunk long, keys binary, doc binary, n binary, ids binary, null_ids binary, tokens binary"
-_ANSWER = "chunk long, cell long, sums binary, ids binary, null_ids binary, tokens binary"
+_REQUEST = ["cell", "chunk", "keys", "times", "docs", "ids", "null_ids", "tokens"]
+_ANSWER = ["chunk", "cell", "docs", "sums", "ids", "null_ids", "tokens"]
 
 
-def _request(cell: int, chunk: int, **arrays: np.ndarray) -> pa.RecordBatch:
-    values = [pa.array([np.ascontiguousarray(arrays[k]).tobytes() if k in arrays else None], pa.binary()) for k in ("keys", "doc", "n", "ids", "null_ids", "tokens")]
-    return pa.RecordBatch.from_arrays([pa.array([cell]), pa.array([chunk]), *values], ["cell", "chunk", "keys", "doc", "n", "ids", "null_ids", "tokens"])
+def _ddl(columns: list[str]) -> str:
+    return ", ".join(f"{c} {'long' if c in ('cell', 'chunk') else 'binary'}" for c in columns)
 
 
-def _answer(row: dict, sums: np.ndarray) -> pa.RecordBatch:
-    values = [pa.array([x], pa.binary()) for x in (sums.tobytes(), row["ids"], row["null_ids"], row["tokens"])]
-    return pa.RecordBatch.from_arrays([pa.array([row["chunk"]]), pa.array([row["cell"]]), *values], ["chunk", "cell", "sums", "ids", "null_ids", "tokens"])
+def _rows(columns: list[str], rows: list[dict]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r.get(c) for r in rows], pa.int64() if c in ("cell", "chunk") else pa.binary()) for c in columns], columns)
 
 
 def _document_rows(answers: list[dict]) -> pa.RecordBatch:
-    """The documents of one chunk from the answers of all shards."""
     (named,) = (a for a in answers if a["ids"] is not None)
     ids, tokens = np.frombuffer(named["ids"], np.int64), np.frombuffer(named["tokens"], np.int64)
-    total = np.zeros(len(ids))
+    total = np.where(tokens > 0, (tokens + 1) * named["rest"], 0.0)
     for a in answers:
-        sums = np.frombuffer(a["sums"], np.float64)
-        total[: len(sums)] += sums
+        total[_unpack(a["docs"])] += np.frombuffer(a["sums"], np.float64)
     doc_id = pa.array(ids, mask=np.frombuffer(named["null_ids"], bool))
-    return pa.RecordBatch.from_arrays([doc_id, pa.array(tokens), pa.array(total / np.maximum(tokens, 1))], ["doc_id", "n_tokens", "score"])
+    return pa.RecordBatch.from_arrays([doc_id, pa.array(tokens), pa.array(np.where(tokens > 0, total / (tokens + 1), 0.0))], ["doc_id", "n_tokens", "score"])

@@ -109,49 +109,72 @@ def test_quality_plan_is_native(spark):
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
+def brute_losses(texts, good, d=0.75, least=2):
+    """(words, mean target loss minus background loss) of each text, by plain dictionaries."""
+    docs = [[x.translate(S.LOWER) for x in S.words(t)] for t in texts]
+    ring = lambda x: list(zip([None, *x], [*x, None])) if x else []
+    counts = [Counter(w for x in docs for _, w in ring(x)), Counter(w for k, x in enumerate(docs) if k in good for _, w in ring(x))]
+    pairs = [Counter(p for x in docs for p in ring(x)), Counter(p for k, x in enumerate(docs) if k in good for p in ring(x))]
+    kept = {w for w, n in counts[0].items() if n >= least}
+    symbol = lambda w: w if w in kept else "rest of words"
+    seen = [Counter(), Counter()]
+    for m in (0, 1):
+        for w, n in counts[m].items():
+            seen[m][symbol(w)] += n
+    n = [sum(c.values()) for c in counts]
+
+    def unigram(m, w):
+        p = (seen[0][symbol(w)] + 1) / (n[0] + len(kept) + 1)
+        if not m or not n[1]:
+            return p
+        return max(seen[1][symbol(w)] - d, 0) / n[1] + d * len(seen[1]) / n[1] * p
+
+    stored, used = {p for p, k in pairs[0].items() if k >= least}, [Counter(), Counter()]
+    for m in (0, 1):
+        for a, w in stored:
+            used[m][a] += max(pairs[m][a, w] - d, 0)
+
+    def p(m, a, w):
+        total = counts[m][a]
+        if not total:
+            return unigram(m, w)
+        return (max(pairs[m][a, w] - d, 0) / total if (a, w) in stored else 0) + (1 - used[m][a] / total) * unigram(m, w)
+
+    assert not n[1] or abs(sum(unigram(1, w) for w in [*kept, "never seen"]) - 1) < 1e-9
+    return [(len(x), sum(math.log(p(0, a, w) / p(1, a, w)) for a, w in ring(x)) / (len(x) + 1)) for x in docs]
+
+
+def check_scores(spark, rows, labels, good):
+    want = sorted((str(i), *x) for (i, _), x in zip(rows, brute_losses([t for _, t in rows], good), strict=True))
+    got = sorted((str(r.doc_id), r.n_tokens, r.score) for r in scoring.score(S.frame(spark, rows), labels).collect())
+    assert len(got) == len(want)
+    for a, b in zip(got, want, strict=True):
+        assert a[:2] == b[:2] and abs(a[2] - b[2]) < 1e-4
+
+
 def test_scoring(spark):
     rows = [(i, t) for i, t in S.nasty_texts() if t is None or len(t) < 5000]
     labels = spark.createDataFrame([(7, 1), (9, 1), (9, 0), (10, 1), (None, 1), (21, 1)], "doc_id long, quality int")
-    good, most = {7, 10, 21}, 60
-    docs = {k: [x.translate(S.LOWER) for x in S.words(t)] for k, (_, t) in enumerate(rows)}
-    counts = Counter(w for x in docs.values() for w in x)
-    cutoff = min(c for c in [0, *counts.values()] if sum(n > c for n in counts.values()) <= most)
-    assert 20 < sum(n > cutoff for n in counts.values()) <= most
-    place = {w: i + 1 for i, w in enumerate(sorted(w for w, n in counts.items() if n > cutoff))}
-    seq = {k: [place.get(w, 0) for w in x] for k, x in docs.items()}
-    models = []
-    for chosen in (lambda i: True, lambda i: i in good):
-        uni, pairs = Counter(), Counter()
-        for k, s in seq.items():
-            if chosen(rows[k][0]):
-                uni.update(s)
-                pairs.update(zip([0, *s], s))
-        total, kinds = Counter(), Counter()
-        for (a, _), n in pairs.items():
-            total[a] += n
-            kinds[a] += 1
-        models.append((uni, pairs, total, kinds))
-
-    def log_p(m, a, w):
-        uni, pairs, total, kinds = models[m]
-        p = (uni[w] + 1) / (sum(uni.values()) + len(place) + 1)
-        return math.log(max(pairs[a, w] - 0.75, 0) / total[a] + 0.75 * kinds[a] / total[a] * p if total[a] else p)
-
-    want = sorted((str(rows[k][0]), len(s), round(sum(log_p(0, a, w) - log_p(1, a, w) for a, w in zip([0, *s], s)) / max(1, len(s)), 4)) for k, s in seq.items())
-    got = scoring.score(S.frame(spark, rows), labels, most).collect()
-    for a, b in zip(sorted((str(r.doc_id), r.n_tokens, round(r.score, 4)) for r in got), want, strict=True):
-        assert a[:2] == b[:2] and abs(a[2] - b[2]) < 1e-3
-    assert scoring.score(S.frame(spark, rows).limit(0), labels, most).count() == 0
-    assert {r.score for r in scoring.score(S.frame(spark, rows[:4]), labels.limit(0), most).collect() if r.n_tokens == 0} == {0.0}
+    check_scores(spark, rows, labels, {k for k, (i, _) in enumerate(rows) if i in (7, 10, 21)})
+    check_scores(spark, rows, labels.limit(0), set())
+    assert scoring.score(S.frame(spark, rows).limit(0), labels).count() == 0
+    assert {r.score for r in scoring.score(S.frame(spark, rows[:4]), labels.limit(0)).collect() if r.n_tokens == 0} == {0.0}
+
+
+def test_scoring_keeps_every_word_seen_twice(spark):
+    rows = [(i, " ".join(f"w{(i * 2_500 + k) % 90_000}" for k in range(5_000))) for i in range(36)]  # 90,000 words, each twice
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(36)], "doc_id long, quality int")
+    _, totals, _ = scoring.fit(scoring.mark_target(S.frame(spark, rows), labels))
+    assert totals.symbols == 90_002 and totals.rest == (0, 0)
+    check_scores(spark, rows, labels, set(range(0, 36, 5)))
 
 
 def test_scoring_shards_and_copies(spark, monkeypatch):
     docs, labels = S.frame(spark, S.nasty_texts()), spark.createDataFrame([(7, 1), (10, 1)], "doc_id long, quality int")
-    one = S.collect(scoring.score(docs, labels, 200))
-    monkeypatch.setattr(scoring, "SHARD_ENTRIES", 500)
-    monkeypatch.setattr(scoring, "CELL_ENTRIES", 300)
-    monkeypatch.setattr(scoring, "CHUNK_BYTES", 400)
-    many = S.collect(scoring.score(docs, labels, 200))
+    one = S.collect(scoring.score(docs, labels))
+    for name, value in {"SHARD_ENTRIES": 500, "COUNT_ENTRIES": 3_000, "CELL_ENTRIES": 300, "CHUNK_BYTES": 400, "HELD_ENTRIES": 2_000}.items():
+        monkeypatch.setattr(scoring, name, value)
+    many = S.collect(scoring.score(docs, labels))
     for a, b in zip(one, many, strict=True):
         assert a[:2] == b[:2] and abs(a[2][1] - b[2][1]) < 1e-5
 
