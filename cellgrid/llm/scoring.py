@@ -13,8 +13,9 @@ a stored bigram adds a correction.  So the difference of the models is one table
 (fingerprint, gain) for words and bigrams, and a score is a sum of looked-up gains.  That table grows with the
 corpus.  It is kept as sorted arrays in shards by hash; a chunk of documents sends one row
 with its different fingerprints to each shard, each shard has copies for groups of chunks, so
-that requests for a frequent one spread over tasks, and answers are sums per document.
-Nothing that grows is broadcast.
+that many requests spread over tasks, and answers are sums per document.  Only words and
+bigrams that hold a ``1 / FREQUENT`` share of all tokens each are looked up in place: there
+are ``2 * FREQUENT`` of them at most, whatever the corpus, and no shard is burdened by one.
 """
 
 from __future__ import annotations
@@ -27,15 +28,16 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellgrid.llm.store import temporary, write_table
+from cellgrid.llm.store import drop_table, temporary, write_table
 from cellgrid.llm.words import Lexer, Words, find_words, mix, slices
 
 MIN_COUNT = 2  # words and bigrams that occur less often are not told apart
 DISCOUNT = 0.75
 CHUNK_BYTES = 4 << 20  # documents that ask together
 COUNT_ENTRIES = 1_000_000  # tokens for each task that adds bigram counts up, on average
-SHARD_ENTRIES, CELL_ENTRIES = 4_000_000, 8_000_000  # gains in a model shard; tokens and bigrams asked in a task, both on average
-HELD_ENTRIES = 1_000_000  # sums that a task holds before it sends them on
+SHARD_ENTRIES, CELL_ENTRIES = 1_000_000, 8_000_000  # gains in a model shard; tokens and bigrams asked in a task, both on average
+HELD_ENTRIES = 600_000  # sums that a task holds before it sends them on
+FREQUENT = 100_000
 BROADCAST_IDS = 500_000  # more target documents than this are joined by a shuffle
 BOUNDARY = np.uint64(0x5851F42D4C957F2D)  # fingerprint of what stands between documents
 WORDS = Lexer("space", lower=True)
@@ -56,7 +58,7 @@ def _summed(keys: np.ndarray, corpus: np.ndarray, target: np.ndarray, *carried:
     order = np.argsort(keys, kind="stable")
     keys = keys[order]
     first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))[: len(keys)]
-    sums = (np.add.reduceat(w[order], first) if len(first) else w for w in (corpus, target))
+    sums = (np.add.reduceat(w[order], first, dtype=w.dtype) if len(first) else w for w in (corpus, target))
     return (keys[first], *sums, *(c[order[first]] for c in carried))
 
 
@@ -84,9 +86,9 @@ def _counted(batches, keyed, rows):
     for batch in batches:
         for piece in slices(batch, "text"):
             context, word, doc = sequence(find_words(piece.column("text"), WORDS))
-            target = np.asarray(piece.column("target").cast(pa.int8()), np.int64)[doc]
+            target = np.asarray(piece.column("target").cast(pa.int8()), np.uint32)[doc]
             keys, *carried = keyed(context, word)
-            sums.add(*_summed(keys, np.ones(len(keys), np.int64), target, *carried))
+            sums.add(*_summed(keys, np.ones(len(keys), np.uint32), target, *carried))
             if len(sums) > 2 * HELD_ENTRIES:
                 found = sums.get()
                 sums = _Sums()
@@ -143,7 +145,7 @@ def count_words(marked: DataFrame) -> tuple[DataFrame, Totals]:
     def rows(keys: np.ndarray, corpus: np.ndarray, target: np.ndarray):
         for low in range(0, len(keys), 1 << 16):
             part = slice(low, low + (1 << 16))
-            yield pa.RecordBatch.from_arrays([pa.array(keys[part].view(np.int64)), pa.array(corpus[part]), pa.array(target[part])], ["word", "corpus", "target"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys[part].view(np.int64)), pa.array(corpus[part], pa.int64()), pa.array(target[part], pa.int64())], ["word", "corpus", "target"])
 
     count = lambda batches: _counted(batches, lambda context, word: (context,), rows)
 
@@ -181,7 +183,7 @@ def _unpack(raw: bytes) -> np.ndarray:
 
 
 def count_pairs(marked: DataFrame, tasks: int) -> DataFrame:
-    """(key, context, word, corpus, target) of the bigrams that occur ``MIN_COUNT`` times."""
+    """(context, word, corpus, target) of the bigrams that occur ``MIN_COUNT`` times."""
 
     def rows(keys, corpus, target, context, word):
         order, bounds = _by_shard(keys, tasks)
@@ -199,48 +201,80 @@ def count_pairs(marked: DataFrame, tasks: int) -> DataFrame:
                 if len(context):
                     held.setdefault(shard, _Sums()).add(pair_key(context, word), *map(_unpack, raw[2:]), context, word)
         for sums in held.values():
-            keys, corpus, target, context, word = sums.get()
+            _, corpus, target, context, word = sums.get()
             often = np.flatnonzero(corpus >= MIN_COUNT)
             for low in range(0, len(often), 1 << 16):
                 at = often[low : low + (1 << 16)]
-                columns = [keys[at].view(np.int64), context[at].view(np.int64), word[at].view(np.int64), corpus[at], target[at]]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "context", "word", "corpus", "target"])
+                columns = [context[at].view(np.int64), word[at].view(np.int64), corpus[at], target[at]]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["context", "word", "corpus", "target"])
 
     parts = marked.mapInArrow(count, "shard long, context binary, word binary, corpus binary, target binary").repartition(tasks, "shard")
-    return write_table(parts.mapInArrow(merge, "key long, context long, word long, corpus long, target long"), "bigrams")
+    return write_table(parts.mapInArrow(merge, "context long, word long, corpus long, target long"), "bigrams")
 
 
 def gains(words: DataFrame, pairs: DataFrame, totals: Totals) -> DataFrame:
-    """(key, gain): what each word and each stored bigram adds to log p(background) - log p(target).
+    """(context, word, gain, often): what each word (without context) and each stored bigram adds to log p(background) - log p(target).
 
     A word's gain is that of its unigram and of its back-off as a context, less that of the
     rest; a bigram's is what remains between the models' probabilities and the back-off's.
+    Each join's result is written, so that its shuffle files go before the next.
     """
     above = lambda n: F.greatest(F.col(n) - DISCOUNT, F.lit(0.0))
-    used = pairs.groupBy("context").agg(F.sum(above("corpus")).alias("s0"), F.sum(above("target")).alias("s1"))
-    left = lambda s, n: F.when(F.col(n) > 0, 1 - F.coalesce(F.col(s), F.lit(0.0)) / F.col(n)).otherwise(1.0)
-    u0, u1 = totals.unigrams(F.col("corpus"), F.col("target"))
-    joined = words.join(used.hint("merge"), words["word"] == used["context"], "left")
-    symbols = write_table(joined.select("word", F.col("corpus").alias("n0"), F.col("target").alias("n1"), left("s0", "corpus").alias("b0"), left("s1", "target").alias("b1"), u0.alias("u0"), u1.alias("u1")), "symbols")
-    own = symbols.select(F.col("word").alias("key"), (F.ln("b0") - F.ln("b1") + F.ln("u0") - F.ln("u1") - totals.rest_gain()).alias("gain"))
-    before = symbols.select(F.col("word").alias("context"), "n0", "n1", "b0", "b1")
-    both = pairs.join(before.hint("merge"), "context").join(symbols.select("word", "u0", "u1").hint("merge"), "word")
-    more = lambda count, n, b, u: F.when(F.col(n) > 0, F.log1p(above(count) / F.col(n) / (F.col(b) * F.col(u)))).otherwise(0.0)
-    pair = both.select("key", (more("corpus", "n0", "b0", "u0") - more("target", "n1", "b1", "u1")).alias("gain"))
-    return own.unionByName(pair)
-
-
-def fit(marked: DataFrame) -> tuple[DataFrame, Totals, int]:
-    """(model of rows (shard, keys, gains) with arrays in order of the keys, totals, number of shards)."""
+    often = (F.col("corpus") * FREQUENT >= totals.tokens[0]).alias("often")
+    with temporary() as keep:
+        used = pairs.groupBy("context").agg(F.sum(above("corpus")).alias("s0"), F.sum(above("target")).alias("s1"))
+        left = lambda s, n: F.when(F.col(n) > 0, 1 - F.coalesce(F.col(s), F.lit(0.0)) / F.col(n)).otherwise(1.0)
+        u0, u1 = totals.unigrams(F.col("corpus"), F.col("target"))
+        joined = words.join(used.hint("merge"), words["word"] == used["context"], "left")
+        stats = [F.col("corpus").alias("n0"), F.col("target").alias("n1"), left("s0", "corpus").alias("b0"), left("s1", "target").alias("b1"), u0.alias("u0"), u1.alias("u1")]
+        symbols = write_table(joined.select("word", *stats, often), "symbols")
+        own = symbols.select(F.lit(None).cast("long").alias("context"), "word", (F.ln("b0") - F.ln("b1") + F.ln("u0") - F.ln("u1") - totals.rest_gain()).cast("float").alias("gain"), "often")
+        before = symbols.select(F.col("word").alias("context"), "n0", "n1", "b0", "b1").hint("merge")
+        odds = lambda count, n, b: F.when(F.col(n) > 0, above(count) / F.col(n) / F.col(b)).otherwise(0.0).cast("float")
+        both = write_table(pairs.join(before, "context").select("context", "word", odds("corpus", "n0", "b0").alias("x0"), odds("target", "n1", "b1").alias("x1"), often), "odds")
+        pair = both.join(symbols.select("word", "u0", "u1").hint("merge"), "word").select("context", "word", (F.log1p(F.col("x0") / F.col("u0")) - F.log1p(F.col("x1") / F.col("u1"))).cast("float").alias("gain"), "often")
+        return keep(write_table(own.unionByName(pair), "gains"))
+
+
+def _keys(table: pa.Table | pa.RecordBatch) -> np.ndarray:
+    """Fingerprints of the words and bigrams of :func:`gains`."""
+    context, word = (np.asarray(table.column(k).fill_null(0), np.int64).view(np.uint64) for k in ("context", "word"))
+    return np.where(np.asarray(table.column("context").is_null()), word, pair_key(context, word))
+
+
+def _look_up(keys: np.ndarray, known: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(value of each key or 0, whether it is known)."""
+    if not len(known):
+        return np.zeros(len(keys)), np.zeros(len(keys), bool)
+    at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+    found = known[at] == keys
+    return np.where(found, values[at], 0.0).astype(np.float64), found
+
+
+@dataclass
+class Model:
+    table: DataFrame  # (shard, keys, gains) with arrays in order of the keys
+    shards: int
+    keys: np.ndarray  # the frequent words and bigrams in order, and their gains
+    gains: np.ndarray
+
+
+def fit(marked: DataFrame) -> tuple[Model, Totals]:
+    """Gains of all words and bigrams."""
     with temporary() as keep:
         words, totals = count_words(marked)
         pairs = count_pairs(marked, max(1, totals.tokens[0] // COUNT_ENTRIES))
-        shards = max(1, (totals.symbols + pairs.count()) // SHARD_ENTRIES)
+        found = gains(words, pairs, totals)
+        drop_table(pairs)
+        shards = max(1, found.filter(~F.col("often")).count() // SHARD_ENTRIES)
+        frequent = found.filter("often").toArrow()  # 2 * FREQUENT rows at most
+        keys = _keys(frequent)
+        order = np.argsort(keys)
 
         def sharded(batches):
             for batch in batches:
-                shard = _shard(batch.column(0).to_numpy().view(np.uint64), shards)
-                yield pa.RecordBatch.from_arrays([pa.array(shard), batch.column(0), batch.column(1).cast(pa.float32())], ["shard", "key", "gain"])
+                made = _keys(batch)
+                yield pa.RecordBatch.from_arrays([pa.array(_shard(made, shards)), pa.array(made.view(np.int64)), batch.column("gain")], ["shard", "key", "gain"])
 
         def arrays(batches):
             shard, held = None, []
@@ -263,9 +297,10 @@ def fit(marked: DataFrame) -> tuple[DataFrame, Totals, int]:
             order = np.argsort(keys.view(np.uint64))
             return pa.RecordBatch.from_arrays([pa.array([shard]), *(pa.array([x[order].tobytes()], pa.binary()) for x in (keys, values))], ["shard", "keys", "gains"])
 
-        rows = gains(words, pairs, totals).mapInArrow(sharded, "shard long, key long, gain float")
+        rows = found.filter(~F.col("often")).select("context", "word", "gain").mapInArrow(sharded, "shard long, key long, gain float")
         packed = rows.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(arrays, "shard long, keys binary, gains binary")
-        return keep(write_table(packed, "model")), totals, shards
+        table = keep(write_table(packed, "model"))
+        return Model(table, shards, keys[order], np.asarray(frequent.column("gain"), np.float32)[order]), totals
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -278,14 +313,15 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """
     marked = mark_target(docs, labels)
     with temporary() as keep:
-        model, totals, shards = fit(marked)
-        return _collect(keep(_answers(marked, model, totals, shards)))
+        model, totals = fit(marked)
+        return _collect(keep(_answers(marked, model, totals)))
 
 
-def _answers(marked: DataFrame, model: DataFrame, totals: Totals, shards: int) -> DataFrame:
+def _answers(marked: DataFrame, model: Model, totals: Totals) -> DataFrame:
     """Sums of gains for documents of a chunk from one shard (``_ANSWER``)."""
+    shards, rest = model.shards, totals.rest_gain()
     copies = max(1, 2 * totals.tokens[0] // (shards * CELL_ENTRIES))
-    rest = totals.rest_gain()
+    frequent = marked.sparkSession.sparkContext.broadcast((model.keys, model.gains))
 
     def model_rows(batches):
         for batch in batches:
@@ -307,6 +343,11 @@ def _answers(marked: DataFrame, model: DataFrame, totals: Totals, shards: int) -
                 keys, doc = keys[order], doc[order]
                 first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))[: len(keys)]
                 times, keys = np.diff(np.append(first, len(doc))), keys[first]
+                values, known = _look_up(keys, *frequent.value)
+                tokens = np.diff(words.first)
+                here = np.repeat(known, times)
+                base = np.where(tokens > 0, (tokens + 1) * rest, 0.0) + np.bincount(doc[here], np.repeat(values[known], times[known]), len(tokens))
+                first, times, keys = first[~known], times[~known], keys[~known]
                 order, bounds = _by_shard(keys, shards)
                 named = piece.column("doc_id")
                 rows = []
@@ -316,7 +357,7 @@ def _answers(marked: DataFrame, model: DataFrame, totals: Totals, shards: int) -
                         continue
                     n = times[at]
                     where = np.repeat(first[at] - np.cumsum(n) + n, n) + np.arange(n.sum())
-                    head = {} if shard else {"ids": np.asarray(named.fill_null(0), np.int64).tobytes(), "null_ids": np.asarray(named.is_null()).tobytes(), "tokens": np.diff(words.first).tobytes()}
+                    head = {} if shard else {"ids": np.asarray(named.fill_null(0), np.int64).tobytes(), "null_ids": np.asarray(named.is_null()).tobytes(), "tokens": tokens.tobytes(), "base": base.tobytes()}
                     rows.append({"cell": shard * copies + copy, "chunk": chunk, "keys": keys[at].tobytes(), "times": _pack(n), "docs": _pack(doc[where]), **head})
                 yield _rows(_REQUEST, rows)
 
@@ -330,17 +371,14 @@ def _answers(marked: DataFrame, model: DataFrame, totals: Totals, shards: int) -
                 if row["chunk"] < 0:  # a cell's model comes before its requests
                     known, values = keys, np.frombuffer(row["docs"], np.float32)
                     continue
-                found = np.zeros(len(keys))
-                if len(known):
-                    at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-                    found = np.where(known[at] == keys, values[at], 0.0).astype(np.float64)
+                found, _ = _look_up(keys, known, values)
                 sums = np.bincount(_unpack(row["docs"]), np.repeat(found, _unpack(row["times"])))
                 some = np.flatnonzero(sums)
-                yield _rows(_ANSWER, [{"chunk": row["chunk"], "cell": cell, "docs": _pack(some), "sums": sums[some].tobytes(), **{k: row[k] for k in ("ids", "null_ids", "tokens")}}])
+                yield _rows(_ANSWER, [{"chunk": row["chunk"], "cell": cell, "docs": _pack(some), "sums": sums[some].tobytes(), **{k: row[k] for k in ("ids", "null_ids", "tokens", "base")}}])
 
-    requests = marked.mapInArrow(ask, _ddl(_REQUEST)).unionByName(model.mapInArrow(model_rows, _ddl(_REQUEST)))
+    requests = marked.mapInArrow(ask, _ddl(_REQUEST)).unionByName(model.table.mapInArrow(model_rows, _ddl(_REQUEST)))
     cells = requests.repartition(shards * copies, "cell").sortWithinPartitions("cell", "chunk")
-    return write_table(cells.mapInArrow(answer, _ddl(_ANSWER)).withColumn("rest", F.lit(rest)), "answers")
+    return write_table(cells.mapInArrow(answer, _ddl(_ANSWER)), "answers")
 
 
 def _collect(answers: DataFrame) -> DataFrame:
@@ -360,8 +398,8 @@ def _collect(answers: DataFrame) -> DataFrame:
     return answers.repartition("chunk").sortWithinPartitions("chunk", "cell").mapInArrow(collect, "doc_id long, n_tokens long, score double")
 
 
-_REQUEST = ["cell", "chunk", "keys", "times", "docs", "ids", "null_ids", "tokens"]
-_ANSWER = ["chunk", "cell", "docs", "sums", "ids", "null_ids", "tokens"]
+_REQUEST = ["cell", "chunk", "keys", "times", "docs", "ids", "null_ids", "tokens", "base"]
+_ANSWER = ["chunk", "cell", "docs", "sums", "ids", "null_ids", "tokens", "base"]
 
 
 def _ddl(columns: list[str]) -> str:
@@ -375,7 +413,7 @@ def _rows(columns: list[str], rows: list[dict]) -> pa.RecordBatch:
 def _document_rows(answers: list[dict]) -> pa.RecordBatch:
     (named,) = (a for a in answers if a["ids"] is not None)
     ids, tokens = np.frombuffer(named["ids"], np.int64), np.frombuffer(named["tokens"], np.int64)
-    total = np.where(tokens > 0, (tokens + 1) * named["rest"], 0.0)
+    total = np.frombuffer(named["base"], np.float64).copy()
     for a in answers:
         total[_unpack(a["docs"])] += np.frombuffer(a["sums"], np.float64)
     doc_id = pa.array(ids, mask=np.frombuffer(named["null_ids"], bool))

@@ -152,7 +152,9 @@ def check_scores(spark, rows, labels, good):
         assert a[:2] == b[:2] and abs(a[2] - b[2]) < 1e-4
 
 
-def test_scoring(spark):
+@pytest.mark.parametrize("frequent", [0, 100, scoring.FREQUENT])
+def test_scoring(spark, monkeypatch, frequent):
+    monkeypatch.setattr(scoring, "FREQUENT", frequent)
     rows = [(i, t) for i, t in S.nasty_texts() if t is None or len(t) < 5000]
     labels = spark.createDataFrame([(7, 1), (9, 1), (9, 0), (10, 1), (None, 1), (21, 1)], "doc_id long, quality int")
     check_scores(spark, rows, labels, {k for k, (i, _) in enumerate(rows) if i in (7, 10, 21)})
@@ -164,7 +166,7 @@ def test_scoring(spark):
 def test_scoring_keeps_every_word_seen_twice(spark):
     rows = [(i, " ".join(f"w{(i * 2_500 + k) % 90_000}" for k in range(5_000))) for i in range(36)]  # 90,000 words, each twice
     labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(36)], "doc_id long, quality int")
-    _, totals, _ = scoring.fit(scoring.mark_target(S.frame(spark, rows), labels))
+    _, totals = scoring.fit(scoring.mark_target(S.frame(spark, rows), labels))
     assert totals.symbols == 90_002 and totals.rest == (0, 0)
     check_scores(spark, rows, labels, set(range(0, 36, 5)))
 
@@ -172,7 +174,7 @@ def test_scoring_keeps_every_word_seen_twice(spark):
 def test_scoring_shards_and_copies(spark, monkeypatch):
     docs, labels = S.frame(spark, S.nasty_texts()), spark.createDataFrame([(7, 1), (10, 1)], "doc_id long, quality int")
     one = S.collect(scoring.score(docs, labels))
-    for name, value in {"SHARD_ENTRIES": 500, "COUNT_ENTRIES": 3_000, "CELL_ENTRIES": 300, "CHUNK_BYTES": 400, "HELD_ENTRIES": 2_000}.items():
+    for name, value in {"SHARD_ENTRIES": 500, "COUNT_ENTRIES": 3_000, "CELL_ENTRIES": 300, "CHUNK_BYTES": 400, "HELD_ENTRIES": 2_000, "FREQUENT": 200}.items():
         monkeypatch.setattr(scoring, name, value)
     many = S.collect(scoring.score(docs, labels))
     for a, b in zip(one, many, strict=True):
