@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from cellgrid.functions import variates as V
 from cellgrid.functions.diffusion import displacement_probs, mirrored
 from cellgrid.functions.offsets import MOORE, MOORE_2D, VON_NEUMANN
+from cellgrid.operators import density, measures
 from cellgrid.plans import gibbs, morphology, repositioning, segment
+from cellgrid.session import materialize
 
 KEYS = V.stream(np.arange(100_000), 0)
 
@@ -184,6 +186,36 @@ def test_repositioning_conserves_molecules(spark, small):
     assert after.counts.agg(F.min("n")).first()[0] > 0
 
 
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_voxels_are_never_broadcast_to_counts(spark, small):
+    _, _, state, _ = small
+    bins = state.counts.select("i", "j", F.lit(0).cast("bigint").alias("bin")).distinct()
+    moved = state.counts.select("i", "j", "k").limit(9).toDF("ti", "tj", "tk").withColumns({c: F.lit(None).cast("bigint") for c in ("cur", "prop")})
+    for joined in (
+        measures.label_counts(state.counts, state.states), density.attach_origin(state.counts, bins),
+        morphology.neighbourhood(moved, state.states, state.grid),
+    ):
+        assert "BroadcastHashJoin" not in plan(joined) and "SortMergeJoin" in plan(joined)
+
+
+def test_moves_are_drawn_once(small, monkeypatch):
+    opts, _, state, _ = small
+    plans = defaultdict(list)
+
+    def spy(df, name="t"):
+        plans[name].append(plan(df))
+        return materialize(df, name)
+
+    monkeypatch.setattr(repositioning, "materialize", spy)
+    repositioning.reposition(state, opts)
+    assert plans["proposed"][0].count("ArrowEvalPython") == 3  # a call for each axis
+    assert "explode" not in plans["rates"][0] + plans["moves"][0]
+    assert not any(f"BroadcastHashJoin [{c}" in plans["proposed"][0] + plans["moves"][0] for c in ("ni#", "i#", "_c#"))
+
+
 def test_allocation_uses_every_molecule(spark, small):
     from cellgrid.operators.measures import cell_gene_counts, label_counts
 
