@@ -216,6 +216,16 @@ def test_moves_are_drawn_once(small, monkeypatch):
     assert not any(f"BroadcastHashJoin [{c}" in plans["proposed"][0] + plans["moves"][0] for c in ("ni#", "i#", "_c#"))
 
 
+def test_the_distance_join_of_a_run_is_made_once(spark, sf, small, monkeypatch):
+    from cellgrid.catalogue.inputs import canonical
+
+    opts, _, _, _ = small
+    ranked, normalize = [], segment.prep.normalize_z
+    monkeypatch.setattr(segment.prep, "normalize_z", lambda t: ranked.append(plan(t)) or normalize(t))
+    segment.prepare(canonical(spark, sf), opts)
+    assert len(ranked) == 1 and "LeftSemi" not in ranked[0]
+
+
 def test_allocation_uses_every_molecule(spark, small):
     from cellgrid.operators.measures import cell_gene_counts, label_counts
 
