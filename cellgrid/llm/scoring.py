@@ -20,6 +20,7 @@ are ``2 * FREQUENT`` of them at most, whatever the corpus, and no shard is burde
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -37,6 +38,7 @@ CHUNK_BYTES = 4 << 20  # documents that ask together
 COUNT_ENTRIES = 1_000_000  # tokens for each task that adds bigram counts up, on average
 SHARD_ENTRIES, CELL_ENTRIES = 1_000_000, 8_000_000  # gains in a model shard; tokens and bigrams asked in a task, both on average
 HELD_ENTRIES = 600_000  # sums that a task holds before it sends them on
+SENT_ENTRIES = 1 << 17  # sums in a batch of them, on average
 FREQUENT = 100_000
 BROADCAST_IDS = 500_000  # more target documents than this are joined by a shuffle
 BOUNDARY = np.uint64(0x5851F42D4C957F2D)  # fingerprint of what stands between documents
@@ -53,13 +55,32 @@ def mark_target(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return named.join(good, F.col("doc_id") == F.col("__good"), "left").select("doc_id", "text", F.col("__good").isNotNull().alias("target"))
 
 
-def _summed(keys: np.ndarray, corpus: np.ndarray, target: np.ndarray, *carried: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Distinct keys in order with their summed counts, and the carried values of one row each."""
+def _summed(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """Distinct keys in order with their summed corpus and target counts, and the carried values of one row each.
+
+    Empties ``parts``: one column after the other is joined and let go, so no second copy of them all is held.
+    """
+    columns = [list(c) for c in zip(*parts, strict=True)]
+    parts.clear()
+
+    def whole(number: int) -> np.ndarray:
+        joined = np.concatenate(columns[number])
+        columns[number].clear()
+        return joined
+
+    keys = whole(0)
     order = np.argsort(keys, kind="stable")
     keys = keys[order]
     first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))[: len(keys)]
-    sums = (np.add.reduceat(w[order], first, dtype=w.dtype) if len(first) else w for w in (corpus, target))
-    return (keys[first], *sums, *(c[order[first]] for c in carried))
+    found = [keys[first]]
+    del keys
+    for number in range(1, len(columns)):
+        values = whole(number)
+        if number > 2:
+            found.append(values[order[first]])
+        else:
+            found.append(np.add.reduceat(values[order], first, dtype=values.dtype) if len(first) else values)
+    return tuple(found)
 
 
 class _Sums:
@@ -77,7 +98,7 @@ class _Sums:
         return sum(len(p[0]) for p in self.parts)
 
     def get(self) -> tuple[np.ndarray, ...]:
-        return _summed(*(np.concatenate(c) for c in zip(*self.parts, strict=True)))
+        return _summed(self.parts)
 
 
 def _counted(batches, keyed, rows):
@@ -88,7 +109,7 @@ def _counted(batches, keyed, rows):
             context, word, doc = sequence(find_words(piece.column("text"), WORDS))
             target = np.asarray(piece.column("target").cast(pa.int8()), np.uint32)[doc]
             keys, *carried = keyed(context, word)
-            sums.add(*_summed(keys, np.ones(len(keys), np.uint32), target, *carried))
+            sums.add(*_summed([(keys, np.ones(len(keys), np.uint32), target, *carried)]))
             if len(sums) > 2 * HELD_ENTRIES:
                 found = sums.get()
                 sums = _Sums()
@@ -178,6 +199,12 @@ def _pack(values: np.ndarray) -> bytes:
     return bytes([width]) + values.astype(f"<u{width}").tobytes()
 
 
+def _one_by_one(batch: pa.RecordBatch) -> Iterator[tuple]:
+    """The rows of a batch of large values, of which only one at a time is copied."""
+    for row in range(batch.num_rows):
+        yield tuple(c[row].as_py() for c in batch.columns)
+
+
 def _unpack(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw, f"<u{raw[0]}", offset=1).astype(np.int64)
 
@@ -187,28 +214,31 @@ def count_pairs(marked: DataFrame, tasks: int) -> DataFrame:
 
     def rows(keys, corpus, target, context, word):
         order, bounds = _by_shard(keys, tasks)
-        cut = [order[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-        arrays = [[context[x].tobytes() for x in cut], [word[x].tobytes() for x in cut], [_pack(corpus[x]) for x in cut], [_pack(target[x]) for x in cut]]
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(tasks)), *(pa.array(a, pa.binary()) for a in arrays)], ["shard", "context", "word", "corpus", "target"])
+        step = max(1, SENT_ENTRIES * tasks // max(1, len(keys)))
+        for low in range(0, tasks, step):
+            sent = range(low, min(low + step, tasks))
+            cut = [order[bounds[x] : bounds[x + 1]] for x in sent]
+            arrays = [[context[x].tobytes() for x in cut], [word[x].tobytes() for x in cut], [_pack(corpus[x]) for x in cut], [_pack(target[x]) for x in cut]]
+            yield pa.RecordBatch.from_arrays([pa.array(sent, pa.int32()), *(pa.array(a, pa.binary()) for a in arrays)], ["shard", "context", "word", "corpus", "target"])
 
     count = lambda batches: _counted(batches, lambda context, word: (pair_key(context, word), context, word), rows)
 
     def merge(batches):
         held: dict[int, _Sums] = {}
         for batch in batches:
-            for shard, *raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for shard, *raw in _one_by_one(batch):
                 context, word = (np.frombuffer(x, np.uint64) for x in raw[:2])
                 if len(context):
                     held.setdefault(shard, _Sums()).add(pair_key(context, word), *map(_unpack, raw[2:]), context, word)
-        for sums in held.values():
-            _, corpus, target, context, word = sums.get()
+        while held:
+            _, corpus, target, context, word = held.popitem()[1].get()
             often = np.flatnonzero(corpus >= MIN_COUNT)
             for low in range(0, len(often), 1 << 16):
                 at = often[low : low + (1 << 16)]
                 columns = [context[at].view(np.int64), word[at].view(np.int64), corpus[at], target[at]]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["context", "word", "corpus", "target"])
 
-    parts = marked.mapInArrow(count, "shard long, context binary, word binary, corpus binary, target binary").repartition(tasks, "shard")
+    parts = marked.mapInArrow(count, "shard int, context binary, word binary, corpus binary, target binary").repartitionById(tasks, "shard")
     return write_table(parts.mapInArrow(merge, "context long, word long, corpus long, target long"), "bigrams")
 
 
@@ -271,34 +301,24 @@ def fit(marked: DataFrame) -> tuple[Model, Totals]:
         keys = _keys(frequent)
         order = np.argsort(keys)
 
+        schema = pa.schema({"shard": pa.int32(), "key": pa.int64(), "gain": pa.float32()})
+
         def sharded(batches):
             for batch in batches:
                 made = _keys(batch)
-                yield pa.RecordBatch.from_arrays([pa.array(_shard(made, shards)), pa.array(made.view(np.int64)), batch.column("gain")], ["shard", "key", "gain"])
+                yield pa.RecordBatch.from_arrays([pa.array(_shard(made, shards), pa.int32()), pa.array(made.view(np.int64)), batch.column("gain")], schema.names)
 
         def arrays(batches):
-            shard, held = None, []
-            for batch in batches:
-                at = batch.column(0).to_numpy()
-                cuts = [0, *(np.flatnonzero(np.diff(at)) + 1), len(at)]
-                for low, high in zip(cuts[:-1], cuts[1:], strict=True):
-                    if low == high:
-                        continue
-                    if held and at[low] != shard:
-                        yield row(shard, held)
-                        held = []
-                    shard = at[low]
-                    held.append(batch.slice(low, high - low))
-            if held:
-                yield row(shard, held)
-
-        def row(shard: int, held: list[pa.RecordBatch]) -> pa.RecordBatch:
-            keys, values = (np.concatenate([b.column(k).to_numpy() for b in held]) for k in (1, 2))
-            order = np.argsort(keys.view(np.uint64))
-            return pa.RecordBatch.from_arrays([pa.array([shard]), *(pa.array([x[order].tobytes()], pa.binary()) for x in (keys, values))], ["shard", "keys", "gains"])
-
-        rows = found.filter(~F.col("often")).select("context", "word", "gain").mapInArrow(sharded, "shard long, key long, gain float")
-        packed = rows.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(arrays, "shard long, keys binary, gains binary")
+            held = pa.Table.from_batches(batches, schema)
+            shard, made = (held.column(k).to_numpy() for k in ("shard", "key"))
+            order = np.lexsort((made.view(np.uint64), shard))
+            shard, made, values = shard[order], made[order], held.column("gain").to_numpy()[order]
+            for number in np.unique(shard):  # one, as tasks are dealt out by shard
+                part = slice(*np.searchsorted(shard, [number, number + 1]))
+                yield pa.RecordBatch.from_arrays([pa.array([number]), *(pa.array([x[part].tobytes()], pa.binary()) for x in (made, values))], ["shard", "keys", "gains"])
+
+        rows = found.filter(~F.col("often")).select("context", "word", "gain").mapInArrow(sharded, "shard int, key long, gain float")
+        packed = rows.repartitionById(shards, "shard").mapInArrow(arrays, "shard int, keys binary, gains binary")
         table = keep(write_table(packed, "model"))
         return Model(table, shards, keys[order], np.asarray(frequent.column("gain"), np.float32)[order]), totals
 
@@ -317,6 +337,24 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
         return _collect(keep(_answers(marked, model, totals)))
 
 
+def _asked(piece: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(fingerprints of all words and bigrams in order, row of each, words of each row)."""
+    keys, docs, tokens = [], [], []
+    row = 0
+    for part in slices(piece, "text"):
+        words = find_words(part.column("text"), WORDS)
+        context, word, doc = sequence(words)
+        doc = (doc + row).astype(np.uint32)
+        keys += [context, pair_key(context, word)]
+        docs += [doc, doc]
+        tokens.append(np.diff(words.first))
+        row += part.num_rows
+    joined, doc = np.concatenate(keys), np.concatenate(docs)
+    del keys, docs
+    order = np.argsort(joined, kind="stable")
+    return joined[order], doc[order], np.concatenate(tokens)
+
+
 def _answers(marked: DataFrame, model: Model, totals: Totals) -> DataFrame:
     """Sums of gains for documents of a chunk from one shard (``_ANSWER``)."""
     shards, rest = model.shards, totals.rest_gain()
@@ -325,7 +363,7 @@ def _answers(marked: DataFrame, model: Model, totals: Totals) -> DataFrame:
 
     def model_rows(batches):
         for batch in batches:
-            for shard, keys, values in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for shard, keys, values in _one_by_one(batch):
                 for copy in range(copies):
                     yield _rows(_REQUEST, [{"cell": shard * copies + copy, "chunk": -1, "keys": keys, "docs": values}])
 
@@ -336,15 +374,10 @@ def _answers(marked: DataFrame, model: Model, totals: Totals) -> DataFrame:
                 chunk = (part << 32) | number
                 number += 1
                 copy = int(mix(np.array([chunk], np.uint64))[0] % np.uint64(copies))
-                words = find_words(piece.column("text"), WORDS)
-                context, word, doc = sequence(words)
-                keys, doc = np.concatenate([context, pair_key(context, word)]), np.concatenate([doc, doc])
-                order = np.argsort(keys, kind="stable")
-                keys, doc = keys[order], doc[order]
+                keys, doc, tokens = _asked(piece)
                 first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))[: len(keys)]
                 times, keys = np.diff(np.append(first, len(doc))), keys[first]
                 values, known = _look_up(keys, *frequent.value)
-                tokens = np.diff(words.first)
                 here = np.repeat(known, times)
                 base = np.where(tokens > 0, (tokens + 1) * rest, 0.0) + np.bincount(doc[here], np.repeat(values[known], times[known]), len(tokens))
                 first, times, keys = first[~known], times[~known], keys[~known]
@@ -364,7 +397,7 @@ def _answers(marked: DataFrame, model: Model, totals: Totals) -> DataFrame:
     def answer(batches):
         cell, known, values = None, np.zeros(0, np.uint64), np.zeros(0, np.float32)
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in (dict(zip(_REQUEST, r, strict=True)) for r in _one_by_one(batch)):
                 if row["cell"] != cell:
                     cell, known, values = row["cell"], np.zeros(0, np.uint64), np.zeros(0, np.float32)
                 keys = np.frombuffer(row["keys"], np.uint64)
@@ -377,7 +410,7 @@ def _answers(marked: DataFrame, model: Model, totals: Totals) -> DataFrame:
                 yield _rows(_ANSWER, [{"chunk": row["chunk"], "cell": cell, "docs": _pack(some), "sums": sums[some].tobytes(), **{k: row[k] for k in ("ids", "null_ids", "tokens", "base")}}])
 
     requests = marked.mapInArrow(ask, _ddl(_REQUEST)).unionByName(model.table.mapInArrow(model_rows, _ddl(_REQUEST)))
-    cells = requests.repartition(shards * copies, "cell").sortWithinPartitions("cell", "chunk")
+    cells = requests.repartitionById(shards * copies, F.col("cell").cast("int")).sortWithinPartitions("cell", "chunk")
     return write_table(cells.mapInArrow(answer, _ddl(_ANSWER)), "answers")
 
 
@@ -387,7 +420,7 @@ def _collect(answers: DataFrame) -> DataFrame:
     def collect(batches):
         held: list[dict] = []
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in (dict(zip(_ANSWER, r, strict=True)) for r in _one_by_one(batch)):
                 if held and held[0]["chunk"] != row["chunk"]:
                     yield _document_rows(held)
                     held = []

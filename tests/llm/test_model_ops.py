@@ -2,6 +2,7 @@
 
 import math
 import re
+import tracemalloc
 from collections import Counter
 
 import llm_samples as S
@@ -152,6 +153,22 @@ def check_scores(spark, rows, labels, good):
         assert a[:2] == b[:2] and abs(a[2] - b[2]) < 1e-4
 
 
+def test_sums_of_a_task_are_merged_without_a_second_copy_of_all():
+    tracemalloc.start()
+    sums, n = scoring._Sums(), 200_000
+    for low in (0, n // 2):  # half of the keys occur twice
+        keys = np.arange(low, low + n, dtype=np.uint64)[::-1]
+        sums.add(keys.copy(), np.ones(n, np.uint32), np.full(n, 2, np.uint32), keys + np.uint64(1), keys + np.uint64(2))
+    parts = tracemalloc.get_traced_memory()[0]
+    tracemalloc.reset_peak()
+    keys, corpus, target, context, word = sums.get()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2.2 * parts
+    assert (keys == np.arange(n + n // 2)).all() and (corpus.sum(), target.sum()) == (2 * n, 4 * n)
+    assert (corpus[n // 2 : n] == 2).all() and (context == keys + 1).all() and (word == keys + 2).all()
+
+
 @pytest.mark.parametrize("frequent", [0, 100, scoring.FREQUENT])
 def test_scoring(spark, monkeypatch, frequent):
     monkeypatch.setattr(scoring, "FREQUENT", frequent)
