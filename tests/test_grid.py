@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cellgrid.functions.offsets import MOORE, MOORE_2D, VERTICAL, VON_NEUMANN, VON_NEUMANN_XY, diamond
-from cellgrid.operators import initial, measures, outline, prep, results
+from cellgrid.operators import initial, measures, outline, prep, results, spatial
 from cellgrid.operators.grid import Grid, neighbour_messages
 from cellgrid.operators.spatial import nearest_center, range_semi_join
 
@@ -137,6 +137,20 @@ def test_nearest_center_against_brute_force(spark):
     assert got == want
 
 
+def test_nearest_center_sorts_no_pairs_and_pairs_only_crowded_buckets(spark, monkeypatch):
+    rnd = random.Random(7)
+    pts = [(i, rnd.uniform(0, 60), rnd.uniform(0, 60)) for i in range(300)] + [(-1, None, 3.0)]
+    cen = [(f"c{k}", rnd.uniform(0, 60), rnd.uniform(0, 60)) for k in range(60)] + [(f"d{k}", 20 + rnd.random(), 20 + rnd.random()) for k in range(30)]
+    want = {i: None if x is None else min(cen, key=lambda c: (c[1] - x) ** 2 + (c[2] - y) ** 2)[0] for i, x, y in pts}
+    points = spark.createDataFrame(pts, "id long, x double, y double")
+    centers = spark.createDataFrame(cen, "cell string, cx double, cy double")
+    plan = spatial._in_reach(points, centers, "id", 12.0, "cell")._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "SortMergeJoin" not in plan
+    for listed in (spatial.LISTED, 20, 0):
+        monkeypatch.setattr(spatial, "LISTED", listed)
+        assert {r.id: r.nearest for r in nearest_center(points.union(points), centers, "id", 12.0).collect()} == want
+
+
 def test_nearest_center_of_far_clusters_takes_few_jobs(spark):
     rng = np.random.default_rng(5)
     at = np.concatenate([rng.normal((-4e4, 7e4), 30, (150, 2)), rng.normal((9e5, -3e5), 30, (150, 2))]).round(1)
