@@ -127,6 +127,13 @@ def test_range_semi_join_against_brute_force(spark):
     assert got == {i for i, _, x, y in pts if any((x - a) ** 2 + (y - b) ** 2 <= 81.0 for a, b in cen)}
 
 
+def test_votes_are_ranked_once(spark):
+    rows = [(0, 0, 0, "a", "a", 1), (0, 0, 0, "b", None, 5), (1, 0, 0, "a", None, 2), (2, 0, 0, "c", None, 2)]
+    found = initial.states_from_assignments(spark.createDataFrame(rows, "i long, j long, k long, cell string, nucleus string, n long"))
+    assert found.inputFiles() and all("ranked-" in f for f in found.inputFiles())
+    assert {(r.i, r.cell, r.prior_cell) for r in found.collect()} == {(0, "a", "a"), (1, None, "a")}
+
+
 def test_nearest_center_against_brute_force(spark):
     rnd = random.Random(6)
     pts = [(i, rnd.uniform(0, 100), rnd.uniform(0, 100)) for i in range(200)] + [(999, 500.0, -300.0)]
