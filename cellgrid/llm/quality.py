@@ -8,7 +8,9 @@ counts are left out of both models.  Its score is the mean of log(trusted / corp
 hashed n-grams, so it does not grow with length; documents below ``THRESHOLD`` go.
 
 Everything on the way is a DataFrame expression.  Counts are aggregated before they are
-shuffled; the counts are two arrays of fixed length in the plan.
+shuffled; they are kept as one row of arrays of fixed length, which the scoring plan gets by
+scalar subqueries.  As literals these arrays would be in every printed plan, megabytes each
+time, and Spark's driver prints and keeps plans.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellgrid.llm.store import own_columns
+from cellgrid.llm.store import own_columns, write_table
 
 BUCKETS = 1 << 16
 THRESHOLD = -0.2  # mean log-likelihood ratio below which a document goes
@@ -88,63 +90,64 @@ def _with_trusted(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
     return docs.join(F.broadcast(trusted_ids(labels, most)), F.col("doc_id") == F.col("__trusted"), "left")
 
 
-def bucket_counts(docs: DataFrame, labels: DataFrame, n: int = BUCKETS, most: int = TRUSTED) -> tuple[list[int], list[int]]:
-    """n-grams in each bucket: of all documents, of trusted ones."""
+def bucket_counts(docs: DataFrame, labels: DataFrame, n: int = BUCKETS, most: int = TRUSTED) -> DataFrame:
+    """One row, written: n-grams in each bucket, ``corpus`` of all documents and ``trusted`` of trusted ones (array<double>), and the sums ``n_corpus`` and ``n_trusted``."""
     rows = with_ngrams(_with_trusted(docs.select("doc_id", "text"), labels, most))
-    counted = rows.select(F.col("__trusted").isNotNull().cast("long").alias("trusted"), F.explode(buckets(n)).alias("bucket"))
-    found = counted.groupBy("bucket").agg(F.count("*").alias("corpus"), F.sum("trusted").alias("trusted")).collect()  # one row for each bucket at most
-    corpus, trusted = [0] * n, [0] * n
-    for r in found:
-        corpus[r["bucket"]], trusted[r["bucket"]] = r["corpus"], r["trusted"]
-    return corpus, trusted
+    counted = rows.select(F.explode(buckets(n)).alias("bucket"), F.lit(1).cast("long").alias("corpus"), F.col("__trusted").isNotNull().cast("long").alias("trusted"))
+    none = docs.sparkSession.range(n).select(F.col("id").cast("int").alias("bucket"), F.lit(0).cast("long").alias("corpus"), F.lit(0).cast("long").alias("trusted"))
+    found = counted.unionAll(none).groupBy("bucket").agg(F.sum("corpus").alias("corpus"), F.sum("trusted").alias("trusted"))
+    one = found.agg(F.sort_array(F.collect_list(F.struct("bucket", "corpus", "trusted"))).alias("all"), F.sum("corpus").alias("n_corpus"), F.sum("trusted").alias("n_trusted"))  # n buckets
+    return write_table(one.select(*(F.col(f"all.{c}").cast("array<double>").alias(c) for c in ("corpus", "trusted")), "n_corpus", "n_trusted"), "bucket_counts")
 
 
-def log_ratios(corpus: list[int], trusted: list[int]) -> list[float]:
-    """log(trusted / corpus) for each bucket with one count added, to six decimals; zeros if no document is trusted."""
-    n = len(corpus)
-    if not any(trusted):
-        return [0.0] * n
-    shift = math.log(sum(corpus) + n) - math.log(sum(trusted) + n)
-    return [round(math.log(t + 1) - math.log(c + 1) + shift, 6) for t, c in zip(trusted, corpus, strict=True)]
+def log_ratios(n: int, n_corpus: int, n_trusted: int) -> Column:
+    """Of the arrays of counts: log(trusted / corpus) for each bucket with one count added, to six decimals; zeros if no document is trusted."""
+    if not n_trusted:
+        return F.transform("corpus", lambda c: F.lit(0.0))
+    shift = math.log(n_corpus + n) - math.log(n_trusted + n)
+    return F.zip_with("trusted", "corpus", lambda t, c: F.round(F.log(t + 1) - F.log(c + 1) + shift, 6))
 
 
-def _numbers(values: list) -> Column:
-    return F.split(F.lit(",".join(map(repr, values))), ",").cast("array<double>")
-
-
-def _with_mean_ratio(rows: DataFrame, corpus: list[int], trusted: list[int], prior: float) -> DataFrame:
+def _with_mean_ratio(rows: DataFrame, counts: DataFrame, n: int, n_corpus: int, n_trusted: int, prior: float) -> DataFrame:
     """``rows`` (with buckets and ``__trusted``) and ``__mean``: its mean log ratio with ``prior``, its own counts left out.
 
     Buckets that a document has once need one look-up and one logarithm each; the ratios of
     the counts without that one are made beforehand.  Only the others are counted.
+
+    Array functions take no subqueries, so the arrays are columns of a projection of their own,
+    kept apart from the steps before.  Each is used at one place: Spark then puts the subquery
+    there, and no row holds the array.
     """
-    n, in_corpus, in_trusted = len(corpus), _numbers(corpus), _numbers(trusted)
     is_trusted, smooth = F.col("__trusted").isNotNull(), F.lit(prior * n)
     own = F.when(is_trusted, F.lit(1.0)).otherwise(F.lit(0.0))
     rows = rows.withColumns({"__sorted": F.sort_array("__buckets"), "__size": F.size("__buckets"), "__own": own})
     rows = rows.withColumns(
         {
             "__again": F.filter("__sorted", lambda b, i: b == F.get("__sorted", i + 1)),  # one entry less than the document has, of each bucket
-            "__others": F.lit(float(sum(corpus) + n)) - F.col("__size"),
+            "__others": F.lit(float(n_corpus + n)) - F.col("__size"),
         }
     )
     ends = F.filter(F.sequence(F.lit(0), F.size("__again") - 1), lambda i: F.coalesce(F.get("__again", i) != F.get("__again", i + 1), F.lit(True)))
-    rows = rows.withColumns({"__once": F.array_except("__sorted", "__again"), "__ends": F.when(F.size("__again") > 0, ends)})
+    rows = rows.withColumns({"__once": _as_it_is(F.array_except("__sorted", "__again")), "__ends": F.when(F.size("__again") > 0, ends)})
+
+    def ratios(left: int) -> Column:
+        return F.zip_with("trusted", "corpus", lambda t, c: F.when(c > 0, (t - left) / c).otherwise(F.lit(0.0)))
+
+    arrays = {"__ratios0": ratios(0), "__ratios1": ratios(1), "__in_corpus": F.col("corpus"), "__in_trusted": F.col("trusted")}
+    rows = rows.withColumns({k: counts.select(v).scalar() for k, v in arrays.items()})
 
     def of_once(left: int) -> Column:
-        without = [(t - left) / c if c else 0.0 for t, c in zip(trusted, corpus, strict=True)]
-        ratios = _numbers(without)
-        return F.aggregate("__once", F.lit(0.0), lambda a, b: a + F.log(F.get(ratios, b) * F.col("__others") + smooth))
+        return F.aggregate("__once", F.lit(0.0), lambda a, b: a + F.log(F.get(f"__ratios{left}", b) * F.col("__others") + smooth))
 
     def of_again(i: Column, j: Column) -> Column:
         times, b = (i - F.coalesce(F.get("__ends", j - 1), F.lit(-1)) + 1).cast("double"), F.get("__again", i)
-        left = (F.get(in_trusted, b) - times * F.col("__own")) / (F.get(in_corpus, b) - times + 1.0)
+        left = (F.get("__in_trusted", b) - times * F.col("__own")) / (F.get("__in_corpus", b) - times + 1.0)
         return times * F.log(left * F.col("__others") + smooth)
 
     once = F.when(is_trusted, of_once(1)).otherwise(of_once(0))
     again = F.coalesce(F.aggregate(F.transform("__ends", of_again), F.lit(0.0), lambda a, x: a + x), F.lit(0.0))
-    mean = (once + again) / F.col("__size") - F.log(F.lit(sum(trusted) + prior * n) - F.col("__own") * F.col("__size"))
-    return rows.withColumn("__mean", mean).drop("__sorted", "__size", "__own", "__again", "__others", "__once", "__ends")
+    mean = (once + again) / F.col("__size") - F.log(F.lit(n_trusted + prior * n) - F.col("__own") * F.col("__size"))
+    return rows.withColumn("__mean", mean).drop("__sorted", "__size", "__own", "__again", "__others", "__once", "__ends", *arrays)
 
 
 def with_verdict(docs: DataFrame, labels: DataFrame, n: int = BUCKETS, threshold: float = THRESHOLD, prior: float | None = None) -> DataFrame:
@@ -156,26 +159,28 @@ def with_verdict(docs: DataFrame, labels: DataFrame, n: int = BUCKETS, threshold
     A null or empty text has no words: it fails the base rules, its score is 0.  Each row
     gives one row, also if rows repeat.  Rows without a doc_id are scored like any other.
     """
-    corpus, trusted = bucket_counts(docs, labels, n)
+    counts = bucket_counts(docs, labels, n)
+    sums = counts.select("n_corpus", "n_trusted").first()
     if prior is None:
-        rows = with_base(with_ngrams(docs)).withColumn("__buckets", buckets(n))
-        weights = _numbers(log_ratios(corpus, trusted))
-        rows = rows.withColumn("__mean", F.aggregate("__buckets", F.lit(0.0), lambda a, b: a + F.get(weights, b)) / F.size("__buckets"))
+        rows = with_base(with_ngrams(docs)).withColumn("__buckets", _as_it_is(buckets(n)))
+        rows = rows.withColumn("__weights", counts.select(log_ratios(n, *sums)).scalar())
+        rows = rows.withColumn("__mean", F.aggregate("__buckets", F.lit(0.0), lambda a, b: a + F.get("__weights", b)) / F.size("__buckets")).drop("__weights")
     else:
         rows = with_base(with_ngrams(_with_trusted(docs, labels, TRUSTED))).withColumn("__buckets", buckets(n))
-        rows = _with_mean_ratio(rows, corpus, trusted, prior).drop("__trusted")
+        rows = _with_mean_ratio(rows, counts, n, *sums, prior).drop("__trusted")
     scored = rows.withColumn("__score", F.when(F.size("__buckets") > 0, F.col("__mean")).otherwise(F.lit(0.0)))
     scored = scored.withColumn("__kept", ~F.col("__base_failed") & (F.col("__score") >= threshold)).drop("__words", "__pairs", "__buckets", "__mean")
     return scored.withColumns({c: _as_it_is(c) for c in scored.columns if c not in docs.columns})
 
 
-def _as_it_is(column: str) -> Column:
+def _as_it_is(column: str | Column) -> Column:
     """The column, behind a condition that always holds but that the optimizer can't know.
 
     Otherwise a filter on the column would be pushed below the steps that make the word
-    arrays, and every element of an array would make the array anew.
+    arrays, and every element of an array would make the array anew; and the step above
+    would be drawn into the one that makes the column.
     """
-    return F.when(F.spark_partition_id() >= 0, F.col(column))
+    return F.when(F.spark_partition_id() >= 0, F.col(column) if isinstance(column, str) else column)
 
 
 @own_columns

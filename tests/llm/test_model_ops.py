@@ -110,6 +110,14 @@ def test_quality_plan_is_native(spark):
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
+@pytest.mark.parametrize("prior", [None, quality.PRIOR])
+def test_quality_plan_holds_no_counts(spark, prior):
+    labels = spark.createDataFrame([(7, 1), (14, 0)], "doc_id long, quality int")
+    made = quality.with_verdict(S.frame(spark, S.nasty_texts()), labels, prior=prior)._jdf.queryExecution()
+    assert len(made.executedPlan().toString()) < 200_000  # quality.BUCKETS numbers alone are more
+    assert not re.search("__ratios|__in_|__weights", made.optimizedPlan().toString())  # no row holds an array of counts either
+
+
 def brute_losses(texts, good, d=0.75, least=2):
     """(words, mean target loss minus background loss) of each text, by plain dictionaries."""
     docs = [[x.translate(S.LOWER) for x in S.words(t)] for t in texts]
